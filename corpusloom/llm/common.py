@@ -6,7 +6,8 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these bytes (ASCII white space).
@@ -114,18 +115,87 @@ def _block_scan(x: np.ndarray, width: int, op, fill) -> np.ndarray:
     return op(tail[:n], head[width - 1 : width - 1 + n])
 
 
-def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Positions whose hash is the least of some window of ``width`` positions.
+def window_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The least hash of every window of ``width`` consecutive hashes."""
+    if len(hashes) < width:
+        return np.zeros(0, dtype=_U)
+    return _block_scan(hashes, width, np.minimum, np.iinfo(_U).max)
+
+
+def winnow(hashes: np.ndarray, least: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Positions whose hash is the least of some valid window (``least``: window_least).
 
     Which positions of a window are chosen depends on that window's hashes only, so equal
-    windows have equal choices, and each full window has at least one.  Shorter inputs have none.
+    windows have equal choices, and each valid window has at least one.
     """
-    if len(hashes) < width:
+    if not len(least):
         return np.zeros(0, dtype=np.int64)
-    least = _block_scan(hashes, width, np.minimum, np.iinfo(_U).max)
+    width = len(hashes) - len(least) + 1
     pad = np.zeros(width - 1, dtype=_U)
-    most = _block_scan(np.concatenate([pad, least, pad]), width, np.maximum, 0)
-    return np.flatnonzero(most == hashes)
+    most = _block_scan(np.concatenate([pad, np.where(valid, least, _U(0)), pad]), width, np.maximum, 0)
+    return np.flatnonzero((most == hashes) & (most > 0))
+
+
+def is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which x are in the sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), dtype=bool)
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return ordered[at] == x
+
+
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash range (of ``ranges`` equal ones) of each hash; grows with the hash."""
+    return ((hashes >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
+
+
+#: Stands for a null doc_id in packed columns.
+NO_ID = -(1 << 63)
+
+
+def group_of(key: Column, groups: int) -> Column:
+    """The document group of a row, from its doc_id: for joins of whole texts with packed rows."""
+    return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+
+
+def with_groups(docs: DataFrame, groups: int) -> DataFrame:
+    """(db, doc_id, text): the group, the id (NO_ID if null) and the text's UTF-8 bytes (null: empty)."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.select(group_of(key, groups).alias("db"), key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+
+
+def chunks(texts: list[bytes], size: int):
+    """(first, last) ranges of texts of about ``size`` bytes together; a longer text stands alone."""
+    first = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > size:
+            yield first, i
+            first, total = i, 0
+        total += len(t) + 1
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def packed(columns: list[np.ndarray], cuts: np.ndarray) -> list[pa.Array]:
+    """Each column cut at ``cuts`` (n + 1 places) into n binary values."""
+    out = []
+    for c in columns:
+        c = np.ascontiguousarray(c)
+        out.append(pa.array([c[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()))
+    return out
+
+
+def unpacked(column, dtype) -> np.ndarray:
+    parts = [np.frombuffer(x, dtype=dtype) for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+
+
+def runs_of(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    if not len(ordered):
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
 
 
 def span_sums(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

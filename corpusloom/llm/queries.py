@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeated_windows(_table(spark, sf_dir, "documents"), window=20, digest=True)
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -65,5 +70,18 @@ FROM p JOIN ca ON p.source IS NOT DISTINCT FROM ca.source AND p.shard = ca.shard
 QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL = {"op7_mix_sources": OP7_SQL}
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM g WHERE k > 1),
+n AS (SELECT doc_id, count(*) AS n_removed, list(j) AS js FROM gone GROUP BY doc_id),
+e AS (SELECT d.doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d WHERE len(w) > 0),
+k AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.j) AS kept FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.j = e.j WHERE gone.j IS NULL GROUP BY e.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op10_substring_dedup": OP10_SQL}
