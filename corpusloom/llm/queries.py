@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, substring, suffix
+from . import mixing, quality_rules, simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"), width=3, seed=42, distance=2)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=200, digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
@@ -73,6 +77,7 @@ FROM p JOIN ca ON p.source IS NOT DISTINCT FROM ca.source AND p.shard = ca.shard
 """
 
 QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
