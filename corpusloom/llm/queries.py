@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, substring, suffix
+from . import langid, mixing, quality_rules, simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), width=3, seed=42, distance=2)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.identify_languages(docs, langid.fit(docs), ["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=200, digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
@@ -78,6 +85,7 @@ FROM p JOIN ca ON p.source IS NOT DISTINCT FROM ca.source AND p.shard = ca.shard
 
 QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_language_id": op3_language_id,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
