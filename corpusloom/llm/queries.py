@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality_rules, simhash, substring, suffix
+from . import langid, mixing, pieces, quality_rules, simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the public vocabulary of the piece model lies; any SentencePiece BPE model will do.
+PIECE_MODEL = os.environ.get("CORPUSLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), pieces.PieceModel.load(PIECE_MODEL), ["doc_id"])
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), width=3, seed=42, distance=2)
 
@@ -84,6 +94,7 @@ FROM p JOIN ca ON p.source IS NOT DISTINCT FROM ca.source AND p.shard = ca.shard
 """
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_language_id": op3_language_id,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
