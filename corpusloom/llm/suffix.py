@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, is_in, materialize, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups
+from .common import chunks, is_in, materialize, mix64, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -58,6 +58,7 @@ class Bytes:
         self.valid = np.cumsum(step[:-1]) > 0
         self.at = winnow(self.grams, self.least, self.valid)
         self.doc = np.searchsorted(self.first, self.at, side="right") - 1
+        self.prints = mix64(self.grams[self.at])  # mixed again: least hashes crowd into the low ranges
 
 
 def _pack(h: np.ndarray, g: np.ndarray, ranges: int) -> pa.RecordBatch:
@@ -83,7 +84,7 @@ def _anchors(batches, length: int, gram: int, ranges: int):
         h, g = [], []
         for a, b in chunks(texts, CHUNK):
             w = Bytes(texts[a:b], length, gram)
-            h.append(w.grams[w.at])
+            h.append(w.prints)
             g.append(group[a:b][w.doc])
         if h:
             yield _pack(np.concatenate(h), np.concatenate(g), ranges)
@@ -129,16 +130,16 @@ def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table, lengt
     hashes, doc, pos, around, whole = [], [], [], [], []
     for a, b in chunks(texts, CHUNK):
         w = Bytes(texts[a:b], length, gram)
-        take = is_in(w.grams[w.at], plain)
+        take = is_in(w.prints, plain)
         at, d = w.at[take], w.doc[take]
         low, high = w.first[d], w.first[d + 1]
         start, end = np.maximum(low, at - (length - gram)), np.minimum(high, at + length)
         around += [(at_ - s, w.joined[s:e]) for at_, s, e in zip(at.tolist(), start.tolist(), end.tolist(), strict=True)]
-        hashes.append(w.grams[at])
+        hashes.append(w.prints[take])
         doc.append(d + a)
         pos.append(at - low)
         if len(hot):
-            whole.append(rolling(w.values, length, 0xD1342543DE82EF95)[np.flatnonzero(w.valid & is_in(w.least, hot))])
+            whole.append(rolling(w.values, length, 0xD1342543DE82EF95)[np.flatnonzero(w.valid & is_in(mix64(w.least), hot))])
     h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=_U)
     doc = np.concatenate(doc) if len(h) else np.zeros(0, dtype=np.int64)
     pos = np.concatenate(pos) if len(h) else np.zeros(0, dtype=np.int64)
