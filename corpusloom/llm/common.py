@@ -159,10 +159,10 @@ def group_of(key: Column, groups: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
 
 
-def with_groups(docs: DataFrame, groups: int) -> DataFrame:
-    """(db, doc_id, text): the group, the id (NO_ID if null) and the text's UTF-8 bytes (null: empty)."""
+def with_groups(docs: DataFrame, groups: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(db, doc_id, text, carry): the group, the id (NO_ID if null), the text's UTF-8 bytes (null: empty), more columns."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(group_of(key, groups).alias("db"), key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return docs.select(group_of(key, groups).alias("db"), key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
 
 
 def chunks(texts: list[bytes], size: int):

@@ -27,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, mix64
 
 LAST_ID = (1 << 63) - 1
 ODD = 0x5555555555555555
@@ -123,3 +123,129 @@ def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, dista
     out = prints.join(named, "fp")
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component").alias("component_id"))
+
+
+# ------------------------------------------------- near copies by shingle similarity
+
+#: Fingerprints of 64 bits in a word print: longer ones make the distance of a pair follow its similarity closely.
+PRINTS_EACH = 4
+#: Chance that a segment's count differs between texts of 0.8 shared five-word shingles: their
+#: word sets share about 0.95 and a bit differs with about 0.075; with a margin.
+SEGMENT_DIFFERS = 0.15
+
+
+def calibrated_grids(rows: int, *, miss: float = 0.002, spare_bits: int = 3, seed: int = 2) -> list[list[int]]:
+    """Masks (one for each fingerprint) of random choices of segments: as many segments as keep chance cell
+    mates few at this row count (a segment holds 1.5 bits), as many grids as bring the chance to miss a
+    pair to ``miss``."""
+    from math import ceil, log, log2
+
+    segments = max(6, ceil((log2(max(rows, 2)) + spare_bits) / 1.5))
+    grids = ceil(log(miss) / log(1 - (1 - SEGMENT_DIFFERS) ** segments))
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(grids):
+        chosen = rng.choice(32 * PRINTS_EACH, segments, replace=False).tolist()
+        out.append([_signed(sum(3 << (2 * (s % 32)) for s in chosen if s // 32 == k)) for k in range(PRINTS_EACH)])
+    return out
+
+
+FPS = [f"fp{k}" for k in range(PRINTS_EACH)]
+WORD_PRINTS = "doc_id long, " + ", ".join(f"{f} long" for f in FPS) + ", content long, size int"
+
+
+def _word_prints(batches):
+    """Fingerprints of the sets of words, and a hash of the whole text."""
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        fps, content, size = [], [], []
+        for t in batch.column("text").to_pylist():
+            h = np.fromiter([xxh64_intdigest(w, 42) for w in set(t.lower().split())], dtype=np.uint64)
+            counts = np.zeros(64 * PRINTS_EACH, dtype=np.int64)
+            for lo in range(0, len(h), 1 << 12):
+                part = h[lo : lo + (1 << 12)]
+                many = np.stack([part, *[mix64(part ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) for k in range(1, PRINTS_EACH)]], axis=1)
+                counts += np.unpackbits(many.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+            fps.append(np.packbits(2 * counts > len(h)).tobytes())
+            content.append(_signed(xxh64_intdigest(t, 42)))
+            size.append(len(t))
+        cols = np.frombuffer(b"".join(fps), dtype=">i8").astype(np.int64).reshape(-1, PRINTS_EACH)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(cols[:, k]) for k in range(PRINTS_EACH)], pa.array(content, pa.int64()), pa.array(size, pa.int32())], names=["doc_id", *FPS, "content", "size"])
+
+
+def _shingle_sets(batches, width: int):
+    """The sorted distinct 64-bit hashes of each text's word shingles (shorter texts: of all words)."""
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        out = []
+        for t in batch.column("text").to_pylist():
+            w = t.lower().split()
+            h = {xxh64_intdigest(b" ".join(w[i : i + width]), 5) for i in range(max(1, len(w) - width + 1))} if w else set()
+            out.append(np.array(sorted(h), dtype=np.uint64).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "shingles"])
+
+
+def _similar(batches, similarity: float):
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True):
+            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+            small, large = (x, y) if len(x) <= len(y) else (y, x)
+            if len(small) < similarity * len(large) or not len(large):
+                keep.append(not len(large))
+                continue
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            both = int((large[at] == small).sum())
+            keep.append(both >= similarity * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 44, cell_cap: int = 64, neighbours: int = 8) -> DataFrame:
+    """doc_id, content (XXH64 of the text, seed 42), component_id: documents whose word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates come from grids over segment counts of SimHashes of the word sets, calibrated to
+    the row count; candidates within ``distance`` bits are verified on their exact shingle sets, and links
+    go to components.  In cells of more than ``cell_cap`` texts, each meets the cell's first and the next
+    ``neighbours`` in an order of that grid instead of all others; large groups of near copies
+    connect through these over the grids.
+    """
+    prints = materialize(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_word_prints, WORD_PRINTS))
+    reps = materialize(prints.groupBy(*FPS, "content", "size").agg(F.min("doc_id").alias("rep")))
+    masks = calibrated_grids(reps.count())
+    coded = reps.select("rep", *FPS, *[segment_counts(F.col(f)).alias(f"code{k}") for k, f in enumerate(FPS)])
+    cells = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"code{k}").bitwiseAND(F.lit(x)) for k, x in enumerate(m) if x]) for i, m in enumerate(masks)])
+    rows = coded.select("rep", *FPS, F.explode(cells).alias("cell"))
+    sizes = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1"))
+    held = materialize(rows.join(sizes, "cell"))
+    small = held.where(F.col("n") <= cell_cap)
+    side = lambda s: small.select("cell", *[F.col(c).alias(c + s) for c in ("rep", *FPS)])
+    apart = sum((F.bit_count(F.col(f + "1").bitwiseXOR(F.col(f + "2"))) for f in FPS), F.lit(0))
+    pairs = side("1").join(side("2"), "cell").where("rep1 < rep2").where(apart <= distance).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+    dense = held.where(F.col("n") > cell_cap)
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("cell", "rep"))
+    mates = F.array("first", *[F.lead("rep", k).over(order) for k in range(1, neighbours + 1)])
+    more = dense.select("rep", mates.alias("m")).select("rep", F.explode("m").alias("mate")).where("mate is not null and mate <> rep")
+    pairs = pairs.unionByName(more.select(F.least("rep", "mate").alias("a"), F.greatest("rep", "mate").alias("b")))
+    pairs = materialize(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("rep"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    sets = materialize(texts.join(wanted, "rep", "left_semi").mapInArrow(partial(_shingle_sets, width=width), "rep long, shingles binary"))
+    of = lambda c, s: sets.select(F.col("rep").alias(c), F.col("shingles").alias(s))
+    links = pairs.join(of("a", "s1"), "a").join(of("b", "s2"), "b").mapInArrow(partial(_similar, similarity=similarity), "a long, b long")
+    known = components(reps.select(F.col("rep").alias("node")), links).select(F.col("node").alias("rep"), "component")
+    named = materialize(reps.join(known, "rep", "left").select("fp0", "content", "size", F.coalesce("component", "rep").alias("component")))
+    real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return prints.join(named, ["fp0", "content", "size"]).select(real("doc_id").alias("doc_id"), "content", real("component").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id; columns as in ``docs``.
+
+    A row without a doc_id gives way to near copies that have one, and to equal texts.
+    """
+    first = near_copies(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = materialize(first.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct())
+    here = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_content"))
+    return docs.join(first, here, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, is_in, materialize, mix64, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
+from .common import NO_ID, chunks, is_in, materialize, mix64, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -57,9 +57,6 @@ class Windows:
         self.valid = self.doc[:n] == self.doc[window - 1 : window - 1 + n] if n else np.zeros(0, dtype=bool)
         self.window = window
 
-    def anchors(self) -> np.ndarray:
-        return self.grams[winnow(self.grams, self.least, self.valid)]
-
     def full(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of every window."""
         again = mix64(self.words ^ _U(0x5851F42D4C957F2D))
@@ -74,7 +71,7 @@ def _fingerprints(batches, window: int, gram: int, ranges: int):
         for a, b in chunks(texts, CHUNK):
             w = Windows(texts[a:b], window, gram)
             at = winnow(w.grams, w.least, w.valid)
-            h.append(w.grams[at])
+            h.append(mix64(w.grams[at]))  # mixed again: least hashes crowd into the low ranges
             g.append(group[a:b][w.doc[at]])
         if h:
             yield from pack_fingerprints(np.concatenate(h), np.concatenate(g), ranges)
@@ -187,18 +184,19 @@ class FingerprintIndex:
         self.runs = [self.spark.read.parquet(path)]
 
 
-def _in_order(docs: pa.Table) -> tuple[list[int], list[bytes]]:
-    rows = sorted(zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True))
-    return [d for d, _ in rows], [t for _, t in rows]
+def _in_order(docs: pa.Table) -> tuple[list[int], list[bytes], list[int]]:
+    """Ids, texts and places of the rows of a group, ordered by id and text."""
+    rows = sorted(zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), range(len(docs)), strict=True))
+    return [d for d, *_ in rows], [t for _, t, _ in rows], [i for *_, i in rows]
 
 
 def _candidates(docs: pa.Table, marks: pa.Table, window: int, gram: int):
     """Marked windows of a group, chunk by chunk: (chunk, texts, doc_ids, Windows, starts, h1, h2)."""
-    ids, texts = _in_order(docs)
+    ids, texts, _ = _in_order(docs)
     marked = np.unique(unpacked(marks["hashes"], _U))
     for a, b in chunks(texts, CHUNK):
         w = Windows(texts[a:b], window, gram)
-        at = np.flatnonzero(w.valid & is_in(w.least, marked))
+        at = np.flatnonzero(w.valid & is_in(mix64(w.least), marked))
         h1, h2 = w.full()
         doc = np.array(ids[a:b], dtype=np.int64)[w.doc[at]] if len(at) else np.zeros(0, dtype=np.int64)
         yield texts[a:b], ids[a:b], w, at, h1[at], h2[at], doc, at - w.first_word[w.doc[at]]
@@ -287,7 +285,9 @@ def _clean(key: tuple[pa.Scalar, ...], docs: pa.Table, rows: pa.Table, window: i
                 kept = t
             out.append((ids[i], n, k, hashlib.sha256(kept).hexdigest().encode() if digest else kept))
     cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+    carried = [c for c in docs.column_names if c not in ("db", "doc_id", "text")]
+    more = docs.select(carried).take(pa.array(_in_order(docs)[2], pa.int64()))
+    return pa.table([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), *more.columns], names=["doc_id", "n_words", "n_removed", "kept", *carried])
 
 
 def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
@@ -308,8 +308,8 @@ def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     return out
 
 
-def remove_repeated_windows(docs: DataFrame, *, window: int = 20, gram: int = 5, batches: int = 2, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept of every document (kept: the text, or its SHA-256 with ``digest``).
+def remove_repeated_windows(docs: DataFrame, *, window: int = 20, gram: int = 5, batches: int = 2, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept of every document (kept: the text, or its SHA-256 with ``digest``), and ``carry``.
 
     Where nothing is removed ``kept`` is the text itself, else the kept words joined by a space.
     The table is fed to the index in ``batches`` ranges of doc_id, each merged with what is there.
@@ -321,9 +321,10 @@ def remove_repeated_windows(docs: DataFrame, *, window: int = 20, gram: int = 5,
     all_marks = marks[0]
     for m in marks[1:]:
         all_marks = all_marks.unionByName(m)
-    grouped = with_groups(docs, parts)
+    grouped = with_groups(docs, parts, carry)
     seen = grouped.groupBy("db").cogroup(all_marks.groupBy("db")).applyInArrow(partial(_verify_rows, window=window, gram=gram, ranges=parts), WINDOWS)
     firsts = seen.groupBy("r").applyInArrow(_first_of_all, "db int, h1 binary, h2 binary")
     back = firsts.unionByName(all_marks.select("db", F.col("hashes").alias("h1"), F.lit(None).cast("binary").alias("h2")))
-    out = grouped.groupBy("db").cogroup(back.groupBy("db")).applyInArrow(partial(_clean, window=window, gram=gram, digest=digest), CLEANED)
-    return out.withColumns({"doc_id": F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")), "kept": F.col("kept").cast("string")})
+    out = grouped.groupBy("db").cogroup(back.groupBy("db")).applyInArrow(partial(_clean, window=window, gram=gram, digest=digest), ", ".join([CLEANED, *[f"`_{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]]))
+    real = F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")).alias("doc_id")
+    return out.select(real, "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), *[F.col(f"_{c}").alias(c) for c in carry])

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, is_in, materialize, mix64, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups
+from .common import NO_ID, chunks, is_in, materialize, mix64, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -424,4 +424,4 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = 200, gram: int = 30,
 
     found = contexts.groupBy("r").applyInArrow(spans, SPANS)
     out = grouped.groupBy("db").cogroup(found.groupBy("db")).applyInArrow(partial(_clean, length=length, gram=gram, digest=digest), CLEANED)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")))
