@@ -72,7 +72,7 @@ def chat_messages(system: Column, user: Column, assistant: Column | None = None)
 
 def last_assistant(messages: Column) -> Column:
     """The content of the last assistant message of an array<struct<role, content>>."""
-    return F.element_at(F.filter(messages, lambda m: m["role"] == "assistant"), -1)["content"]
+    return F.try_element_at(F.filter(messages, lambda m: m["role"] == "assistant"), F.lit(-1))["content"]
 
 
 def richness(fields: list[Column]) -> tuple[Column, Column]:
