@@ -166,7 +166,7 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _label(batches, net: Network):
+def _label(batches, net: Network, names_out: tuple[str, str]):
     for batch in batches:
         texts, letters = batch.column("_bytes").to_pylist(), np.asarray(batch.column("_letters").to_pylist(), dtype=bool)
         p = document_probabilities(net, [t if ok else b"" for t, ok in zip(texts, letters, strict=True)])
@@ -174,7 +174,7 @@ def _label(batches, net: Network):
         names = ["und" if not ok else net.langs[k] for k, ok in zip(best.tolist(), letters, strict=True)]
         score = np.where(letters, p[np.arange(len(p)), best], 0.0) if len(p) else np.zeros(0)
         keep = [i for i, c in enumerate(batch.schema.names) if c not in ("_bytes", "_letters")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*[batch.schema.names[i] for i in keep], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*[batch.schema.names[i] for i in keep], *names_out])
 
 
 def fit(docs: DataFrame, *, sample_rows: int = 2000, excerpt_chars: int = 400, seed: int = 3, **options) -> Network | None:
@@ -192,11 +192,11 @@ def fit(docs: DataFrame, *, sample_rows: int = 2000, excerpt_chars: int = 400, s
     return train([r["text"].encode() for r in rows], [r["lang"] for r in rows], seed=seed, **options) if rows else None
 
 
-def identify_languages(docs: DataFrame, net: Network | None, carry: list[str]) -> DataFrame:
-    """``carry`` (columns of ``docs``) with lang_pred and score."""
+def identify_languages(docs: DataFrame, net: Network | None, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``carry`` (columns of ``docs``) with the predicted language and its score, called ``names``."""
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if net is None:
-        return docs.select(*carry, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*carry, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     rows = docs.select(*carry, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"), letters.alias("_letters"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return rows.mapInArrow(partial(_label, net=net), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(partial(_label, net=net, names_out=names), f"{fields}, `{names[0]}` string, `{names[1]}` double")
