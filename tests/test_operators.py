@@ -162,3 +162,40 @@ def test_streaming_rates(spark, tmp_path):
     q.stop()
     batch = streaming.sliding_rates(e, width="1 hour", step="15 minutes")
     assert spark.table("rates").groupBy("start", "event_type").count().count() == batch.count()
+
+
+def test_ratios():
+    from corpusloom.functions import similarity
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rnd = random.Random(0)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(12))) for _ in range(2))
+        assert similarity.common_subsequence(a, b) == slow(a, b)
+    assert similarity.indel("", "") == 100.0 and similarity.token_set("a b c", "c b") == 100.0
+
+
+def test_spans(spark):
+    from corpusloom.functions import spans
+
+    df = spark.createDataFrame([("fever and cough",), ("no fever. cough",), ("no fever but fever",), (None,)], "x string")
+    got = [r[0] for r in df.select(spans.signed_state([r"\bfever\b"], [r"\bno fever\b"])("x")).collect()]
+    assert got == ["PRESENT", "ABSENT", "UNKNOWN", "UNKNOWN"]
+    assert [r[0] for r in df.select(spans.not_negated("cough|fever")("x")).collect()] == [["fever", "cough"], ["cough"], [], []]
+    assert spark.createDataFrame([("Mr Smith met Anna Lee in Paris",)], "x string").select(spans.person_candidates("x")).first()[0] == ["Mr Smith", "Anna Lee"]
+
+
+def test_canonical_schema_error(spark):
+    from corpusloom.operators import canonical, checks
+
+    raw = spark.createDataFrame([("1", "q")], "id string, question string")
+    r = canonical.canonicalize(raw, "d", "open").first()
+    assert r["schema_error"] == "missing answer" and r["answer"] == "" and len(r["id"]) == 24
+    assert checks.schema_difference(raw, spark.range(1)) == [("id", "string <> bigint"), ("question", "left only")]
