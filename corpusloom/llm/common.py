@@ -3,6 +3,8 @@ exchanges and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -32,6 +34,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: idle Python workers stay beside later stages' ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --------------------------------------------------------------------------- hashing
 
 _U = np.uint64

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, release_memory
 
 WINDOW = 64
 CHUNK = 1 << 18
@@ -175,6 +175,7 @@ def _label(batches, net: Network, names_out: tuple[str, str]):
         score = np.where(letters, p[np.arange(len(p)), best], 0.0) if len(p) else np.zeros(0)
         keep = [i for i, c in enumerate(batch.schema.names) if c not in ("_bytes", "_letters")]
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*[batch.schema.names[i] for i in keep], *names_out])
+        release_memory()
 
 
 def fit(docs: DataFrame, *, sample_rows: int = 2000, excerpt_chars: int = 400, seed: int = 3, **options) -> Network | None:
@@ -189,7 +190,9 @@ def fit(docs: DataFrame, *, sample_rows: int = 2000, excerpt_chars: int = 400, s
     at = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.greatest(F.length(text) - excerpt_chars + 1, F.lit(1))) + 1
     draw = F.xxhash64(key, F.lit(seed))
     rows = known.select("doc_id", "lang", F.substring(text, at, F.lit(excerpt_chars)).alias("text"), draw.alias("draw")).orderBy("draw", "doc_id", "text", "lang").limit(sample_rows).collect()
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows], seed=seed, **options) if rows else None
+    net = train([r["text"].encode() for r in rows], [r["lang"] for r in rows], seed=seed, **options) if rows else None
+    release_memory()
+    return net
 
 
 def identify_languages(docs: DataFrame, net: Network | None, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

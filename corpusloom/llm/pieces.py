@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, rolling, stream64
+from .common import chunks, mix64, release_memory, stream64
 
 MARK = "▁"
 LONG = 96
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -277,16 +277,6 @@ class Encoder:
         return [x[1:] if x[:1] == b" " else x for x in out]
 
 
-_ENCODERS: dict = {}
-
-
-def _encoder(model: PieceModel) -> Encoder:
-    key = id(model)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(model)
-    return _ENCODERS[key]
-
-
 def _encode(batches, model: PieceModel):
     enc = Encoder(model)
     for batch in batches:
@@ -302,6 +292,7 @@ def _encode(batches, model: PieceModel):
         flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(size, pa.int64()), lists, pa.array(whole, pa.bool_())], names=[*[batch.schema.names[i] for i in rest], "n_ids", "ids", "round_trip"])
+        release_memory()
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, carry: list[str]) -> DataFrame:

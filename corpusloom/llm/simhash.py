@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64
+from .common import components, materialize, mix64, release_memory
 
 LAST_ID = (1 << 63) - 1
 ODD = 0x5555555555555555
@@ -172,10 +172,11 @@ def _word_prints(batches):
             size.append(len(t))
         cols = np.frombuffer(b"".join(fps), dtype=">i8").astype(np.int64).reshape(-1, PRINTS_EACH)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(cols[:, k]) for k in range(PRINTS_EACH)], pa.array(content, pa.int64()), pa.array(size, pa.int32())], names=["doc_id", *FPS, "content", "size"])
+        release_memory()
 
 
 def _shingle_sets(batches, width: int):
-    """The sorted distinct 64-bit hashes of each text's word shingles (shorter texts: of all words)."""
+    """The sorted distinct 32-bit hashes of each text's word shingles (shorter texts: of all words)."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
@@ -183,15 +184,16 @@ def _shingle_sets(batches, width: int):
         for t in batch.column("text").to_pylist():
             w = t.lower().split()
             h = {xxh64_intdigest(b" ".join(w[i : i + width]), 5) for i in range(max(1, len(w) - width + 1))} if w else set()
-            out.append(np.array(sorted(h), dtype=np.uint64).tobytes())
+            out.append(np.unique((np.fromiter(h, dtype=np.uint64, count=len(h)) >> np.uint64(32)).astype(np.uint32)).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "shingles"])
+        release_memory()
 
 
 def _similar(batches, similarity: float):
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+            x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
             small, large = (x, y) if len(x) <= len(y) else (y, x)
             if len(small) < similarity * len(large) or not len(large):
                 keep.append(not len(large))
@@ -202,39 +204,49 @@ def _similar(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 44, cell_cap: int = 64, neighbours: int = 8) -> DataFrame:
-    """doc_id, content (XXH64 of the text, seed 42), component_id: documents whose word shingles have a Jaccard similarity of ``similarity`` or more.
+def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 40, cell_cap: int = 64, neighbours: int = 8) -> DataFrame:
+    """doc_id, content (XXH64 of the text, seed 42), component_id: documents whose word shingles have a
+    Jaccard similarity of ``similarity`` or more.
 
     Candidates come from grids over segment counts of SimHashes of the word sets, calibrated to
-    the row count; candidates within ``distance`` bits are verified on their exact shingle sets, and links
-    go to components.  In cells of more than ``cell_cap`` texts, each meets the cell's first and the next
-    ``neighbours`` in an order of that grid instead of all others; large groups of near copies
-    connect through these over the grids.
+    the row count; candidates within ``distance`` bits are verified on their shingle sets, and links
+    go to components.  Each text is first verified against the first of its cells; other cell mates
+    only where that has not joined them yet.  In cells of more than ``cell_cap`` texts, each
+    meets the next ``neighbours`` in an order of that grid instead of all others; large groups of near
+    copies connect through these over the grids.
     """
     prints = materialize(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_word_prints, WORD_PRINTS))
-    reps = materialize(prints.groupBy(*FPS, "content", "size").agg(F.min("doc_id").alias("rep")))
-    masks = calibrated_grids(reps.count())
-    coded = reps.select("rep", *FPS, *[segment_counts(F.col(f)).alias(f"code{k}") for k, f in enumerate(FPS)])
-    cells = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"code{k}").bitwiseAND(F.lit(x)) for k, x in enumerate(m) if x]) for i, m in enumerate(masks)])
-    rows = coded.select("rep", *FPS, F.explode(cells).alias("cell"))
+    reps = prints.groupBy(*FPS, "content", "size").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(reps.select("*", *[segment_counts(F.col(f)).alias(f"code{k}") for k, f in enumerate(FPS)]))
+    # the grids are a constant array and one lambda: dozens of hash expressions would swell the driver's plans and code
+    masks = F.array(*[F.array(*map(F.lit, m)) for m in calibrated_grids(reps.count())])
+    cells = F.transform(masks, lambda m, i: F.xxhash64(i, *[F.col(f"code{k}").bitwiseAND(F.get(m, F.lit(k))) for k in range(PRINTS_EACH)]))
+    rows = reps.select("rep", F.explode(cells).alias("cell"))
     sizes = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1"))
     held = materialize(rows.join(sizes, "cell"))
-    small = held.where(F.col("n") <= cell_cap)
-    side = lambda s: small.select("cell", *[F.col(c).alias(c + s) for c in ("rep", *FPS)])
+    nodes = reps.select(F.col("rep").alias("node"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("rep"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    of = lambda c, s: reps.select(F.col("rep").alias(c), *[F.col(f).alias(f + s) for f in FPS])
     apart = sum((F.bit_count(F.col(f + "1").bitwiseXOR(F.col(f + "2"))) for f in FPS), F.lit(0))
-    pairs = side("1").join(side("2"), "cell").where("rep1 < rep2").where(apart <= distance).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
-    dense = held.where(F.col("n") > cell_cap)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        close = materialize(pairs.distinct().join(of("a", "1"), "a").join(of("b", "2"), "b").where(apart <= distance).select("a", "b"))
+        wanted = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = materialize(texts.join(wanted, "rep", "left_semi").mapInArrow(partial(_shingle_sets, width=width), "rep long, shingles binary"))
+        side = lambda c, s: sets.select(F.col("rep").alias(c), F.col("shingles").alias(s))
+        return materialize(close.join(side("a", "s1"), "a").join(side("b", "s2"), "b").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
+
+    links = verified(held.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    joined = components(nodes, links)
+    group = joined.select(F.col("node").alias("rep"), F.col("component").alias("g"))
+    small = held.where(F.col("n") <= cell_cap).join(group, "rep", "left").select("cell", "rep", F.coalesce("g", "rep").alias("g"))
+    pairs = small.select("cell", F.col("rep").alias("a"), F.col("g").alias("ga")).join(small.select("cell", F.col("rep").alias("b"), F.col("g").alias("gb")), "cell").where("a < b and ga <> gb").select("a", "b")
     order = Window.partitionBy("cell").orderBy(F.xxhash64("cell", "rep"))
-    mates = F.array("first", *[F.lead("rep", k).over(order) for k in range(1, neighbours + 1)])
-    more = dense.select("rep", mates.alias("m")).select("rep", F.explode("m").alias("mate")).where("mate is not null and mate <> rep")
-    pairs = pairs.unionByName(more.select(F.least("rep", "mate").alias("a"), F.greatest("rep", "mate").alias("b")))
-    pairs = materialize(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("rep"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    sets = materialize(texts.join(wanted, "rep", "left_semi").mapInArrow(partial(_shingle_sets, width=width), "rep long, shingles binary"))
-    of = lambda c, s: sets.select(F.col("rep").alias(c), F.col("shingles").alias(s))
-    links = pairs.join(of("a", "s1"), "a").join(of("b", "s2"), "b").mapInArrow(partial(_similar, similarity=similarity), "a long, b long")
-    known = components(reps.select(F.col("rep").alias("node")), links).select(F.col("node").alias("rep"), "component")
+    mates = F.array_compact(F.array(*[F.lead(F.struct("rep", "g"), k).over(order) for k in range(1, neighbours + 1)]))
+    dense = held.where(F.col("n") > cell_cap).join(group, "rep", "left").select("cell", "rep", F.coalesce("g", "rep").alias("g"))
+    more = dense.select("rep", "g", mates.alias("m")).select("rep", "g", F.explode("m").alias("m")).where("m.g <> g")
+    pairs = pairs.unionByName(more.select(F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b")))
+    known = components(nodes, links.unionByName(verified(pairs))).select(F.col("node").alias("rep"), "component")
     named = materialize(reps.join(known, "rep", "left").select("fp0", "content", "size", F.coalesce("component", "rep").alias("component")))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return prints.join(named, ["fp0", "content", "size"]).select(real("doc_id").alias("doc_id"), "content", real("component").alias("component_id"))

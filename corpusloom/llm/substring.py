@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, is_in, materialize, mix64, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
+from .common import NO_ID, chunks, is_in, materialize, mix64, packed, range_of, release_memory, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -75,6 +75,7 @@ def _fingerprints(batches, window: int, gram: int, ranges: int):
             g.append(group[a:b][w.doc[at]])
         if h:
             yield from pack_fingerprints(np.concatenate(h), np.concatenate(g), ranges)
+        release_memory()
 
 
 def pack_fingerprints(h: np.ndarray, g: np.ndarray, ranges: int):
@@ -265,6 +266,7 @@ def _clean(key: tuple[pa.Scalar, ...], docs: pa.Table, rows: pa.Table, window: i
         if len(f1):
             won |= (f1[at] == h1) & (f2[at] == h2)
     gone = ~(is_own & won)
+    release_memory()
     out, done = [], 0
     for texts, ids, w, at, *_ in parts:
         starts = at[gone[done : done + len(at)]]
@@ -286,6 +288,7 @@ def _clean(key: tuple[pa.Scalar, ...], docs: pa.Table, rows: pa.Table, window: i
             out.append((ids[i], n, k, hashlib.sha256(kept).hexdigest().encode() if digest else kept))
     cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
     carried = [c for c in docs.column_names if c not in ("db", "doc_id", "text")]
+    release_memory()
     more = docs.select(carried).take(pa.array(_in_order(docs)[2], pa.int64()))
     return pa.table([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary()), *more.columns], names=["doc_id", "n_words", "n_removed", "kept", *carried])
 
