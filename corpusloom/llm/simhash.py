@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, mix64, release_memory
@@ -204,16 +204,14 @@ def _similar(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 40, cell_cap: int = 64, neighbours: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 40) -> DataFrame:
     """doc_id, content (XXH64 of the text, seed 42), component_id: documents whose word shingles have a
     Jaccard similarity of ``similarity`` or more.
 
     Candidates come from grids over segment counts of SimHashes of the word sets, calibrated to
     the row count; candidates within ``distance`` bits are verified on their shingle sets, and links
     go to components.  Each text is first verified against the first of its cells; other cell mates
-    only where that has not joined them yet.  In cells of more than ``cell_cap`` texts, each
-    meets the next ``neighbours`` in an order of that grid instead of all others; large groups of near
-    copies connect through these over the grids.
+    only where that has not joined them yet: every such pair, whatever the size of its cell.
     """
     prints = materialize(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_word_prints, WORD_PRINTS))
     reps = prints.groupBy(*FPS, "content", "size").agg(F.min("doc_id").alias("rep"))
@@ -239,13 +237,11 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, dis
     links = verified(held.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")))
     joined = components(nodes, links)
     group = joined.select(F.col("node").alias("rep"), F.col("component").alias("g"))
-    small = held.where(F.col("n") <= cell_cap).join(group, "rep", "left").select("cell", "rep", F.coalesce("g", "rep").alias("g"))
-    pairs = small.select("cell", F.col("rep").alias("a"), F.col("g").alias("ga")).join(small.select("cell", F.col("rep").alias("b"), F.col("g").alias("gb")), "cell").where("a < b and ga <> gb").select("a", "b")
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("cell", "rep"))
-    mates = F.array_compact(F.array(*[F.lead(F.struct("rep", "g"), k).over(order) for k in range(1, neighbours + 1)]))
-    dense = held.where(F.col("n") > cell_cap).join(group, "rep", "left").select("cell", "rep", F.coalesce("g", "rep").alias("g"))
-    more = dense.select("rep", "g", mates.alias("m")).select("rep", "g", F.explode("m").alias("m")).where("m.g <> g")
-    pairs = pairs.unionByName(more.select(F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b")))
+    mates = materialize(held.select("cell", "rep").join(group, "rep", "left").select("cell", "rep", F.coalesce("g", "rep").alias("g")))
+    mixed = materialize(mates.groupBy("cell").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("cell"))
+    mates = materialize(mates.join(mixed, "cell").join(reps.select("rep", *FPS), "rep"))
+    side = lambda s: mates.select("cell", F.col("rep").alias("a" if s == "1" else "b"), F.col("g").alias("g" + s), *[F.col(f).alias(f + s) for f in FPS])
+    pairs = side("1").join(side("2"), "cell").where("a < b and g1 <> g2").where(apart <= distance).select("a", "b")
     known = components(nodes, links.unionByName(verified(pairs))).select(F.col("node").alias("rep"), "component")
     named = materialize(reps.join(known, "rep", "left").select("fp0", "content", "size", F.coalesce("component", "rep").alias("component")))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))

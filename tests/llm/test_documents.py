@@ -207,6 +207,18 @@ def test_near_copies_against_all_pairs(spark):
     assert simhash.without_near_copies(odd.empty(spark)).count() == 0
 
 
+def test_near_copies_in_dense_cells(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.sample(words, 60)) for _ in range(300)]  # equal word sets: all share their cells
+    for k in range(20):
+        w = texts[k].split()
+        texts[280 + k] = " ".join([*w[:-2], w[-1], w[-2]])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert got == {i: i - 280 if i >= 280 else i for i in range(300)}
+
+
 def test_mixing_invariants_and_sql(spark, tmp_path):
     import duckdb
 
