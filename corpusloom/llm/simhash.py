@@ -24,13 +24,14 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, release_memory
+from .common import chunks, components, is_in, materialize, release_memory, rolling, word_hashes, word_spans
 
 LAST_ID = (1 << 63) - 1
 ODD = 0x5555555555555555
@@ -127,65 +128,64 @@ def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, dista
 
 # ------------------------------------------------- near copies by shingle similarity
 
-#: Fingerprints of 64 bits in a word print: longer ones make the distance of a pair follow its similarity closely.
-PRINTS_EACH = 4
-#: Chance that a segment's count differs between texts of 0.8 shared five-word shingles: their
-#: word sets share about 0.95 and a bit differs with about 0.075; with a margin.
-SEGMENT_DIFFERS = 0.15
+#: Bits of a sketch: the parities of a shingle set in as many buckets.
+SKETCH = 512
+KS = [f"k{i}" for i in range(SKETCH // 64)]
+SHINGLED = "content long, size int, " + ", ".join(f"{k} long" for k in KS) + ", prefix array<long>"
+SHINGLE_SEED, SHINGLE_BASE = 5, 0x9E3779B97F4A7C15
 
 
-def calibrated_grids(rows: int, *, miss: float = 0.002, spare_bits: int = 3, seed: int = 2) -> list[list[int]]:
-    """Masks (one for each fingerprint) of random choices of segments: as many segments as keep chance cell
-    mates few at this row count (a segment holds 1.5 bits), as many grids as bring the chance to miss a
-    pair to ``miss``."""
-    from math import ceil, log, log2
+def shingle_sets(texts: list[bytes], width: int):
+    """The sorted distinct 64-bit hashes of each text's word shingles, A-Z lower-cased (shorter texts: of all words)."""
+    for first, last in chunks(texts, 1 << 18):
+        part = texts[first:last]
+        data = np.frombuffer(b" ".join(part).lower(), dtype=np.uint8)
+        starts, ends = word_spans(data)
+        words = word_hashes(data, starts, ends, SHINGLE_SEED)
+        cuts = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in part]])).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield np.unique(rolling(words[a:b], min(width, b - a), SHINGLE_BASE)) if b > a else words[:0]
 
-    segments = max(6, ceil((log2(max(rows, 2)) + spare_bits) / 1.5))
-    grids = ceil(log(miss) / log(1 - (1 - SEGMENT_DIFFERS) ** segments))
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(grids):
-        chosen = rng.choice(32 * PRINTS_EACH, segments, replace=False).tolist()
-        out.append([_signed(sum(3 << (2 * (s % 32)) for s in chosen if s // 32 == k)) for k in range(PRINTS_EACH)])
-    return out
 
+def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, so many that two sets of ``similarity`` or more share one of them.
 
-FPS = [f"fp{k}" for k in range(PRINTS_EACH)]
-WORD_PRINTS = "doc_id long, " + ", ".join(f"{f} long" for f in FPS) + ", content long, size int"
-
+    The order is by hash, ``common`` ones last by ``rank``.  Any order is exact if it is the same for all sets.
+    """
+    if not len(shingles):
+        return np.zeros(1, dtype=np.uint64)  # texts without words meet each other
+    n = len(shingles) - ceil(similarity * len(shingles) - 1e-9) + 1
+    hit = is_in(shingles, common)
+    late = shingles[hit]
+    late = late[np.argsort(rank[np.searchsorted(common, late)], kind="stable")]
+    return np.concatenate([shingles[~hit][:n], late])[:n]
 
-def _word_prints(batches):
-    """Fingerprints of the sets of words, and a hash of the whole text."""
-    from xxhash import xxh64_intdigest
 
+def _shingled(batches, width: int, similarity: float, common: np.ndarray, rank: np.ndarray):
     for batch in batches:
-        fps, content, size = [], [], []
-        for t in batch.column("text").to_pylist():
-            h = np.fromiter([xxh64_intdigest(w, 42) for w in set(t.lower().split())], dtype=np.uint64)
-            counts = np.zeros(64 * PRINTS_EACH, dtype=np.int64)
-            for lo in range(0, len(h), 1 << 12):
-                part = h[lo : lo + (1 << 12)]
-                many = np.stack([part, *[mix64(part ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) for k in range(1, PRINTS_EACH)]], axis=1)
-                counts += np.unpackbits(many.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
-            fps.append(np.packbits(2 * counts > len(h)).tobytes())
-            content.append(_signed(xxh64_intdigest(t, 42)))
-            size.append(len(t))
-        cols = np.frombuffer(b"".join(fps), dtype=">i8").astype(np.int64).reshape(-1, PRINTS_EACH)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(cols[:, k]) for k in range(PRINTS_EACH)], pa.array(content, pa.int64()), pa.array(size, pa.int32())], names=["doc_id", *FPS, "content", "size"])
+        size, sketch, prefix = [], [], []
+        for s in shingle_sets(batch.column("text").to_pylist(), width):
+            size.append(len(s))
+            odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+            sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            prefix.append(prefix_of(s, similarity, common, rank).view(np.int64))
+        bits = np.frombuffer(b"".join(sketch), dtype=np.int64).reshape(-1, len(KS))
+        ends = np.cumsum([0, *map(len, prefix)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, dtype=np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(size, pa.int32()), *[pa.array(bits[:, k]) for k in range(len(KS))], lists], names=["content", "size", *KS, "prefix"])
         release_memory()
 
 
-def _shingle_sets(batches, width: int):
-    """The sorted distinct 32-bit hashes of each text's word shingles (shorter texts: of all words)."""
-    from xxhash import xxh64_intdigest
+def _shingle_rows(batches, width: int):
+    for batch in batches:
+        for s in shingle_sets(batch.column("text").to_pylist(), width):
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["shingle"])
+
 
+def _packed_sets(batches, width: int):
     for batch in batches:
-        out = []
-        for t in batch.column("text").to_pylist():
-            w = t.lower().split()
-            h = {xxh64_intdigest(b" ".join(w[i : i + width]), 5) for i in range(max(1, len(w) - width + 1))} if w else set()
-            out.append(np.unique((np.fromiter(h, dtype=np.uint64, count=len(h)) >> np.uint64(32)).astype(np.uint32)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "shingles"])
+        out = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), width)]
+        yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(out, pa.binary())], names=["content", "shingles"])
         release_memory()
 
 
@@ -193,67 +193,94 @@ def _similar(batches, similarity: float):
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if len(small) < similarity * len(large) or not len(large):
-                keep.append(not len(large))
-                continue
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
+            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+            both = int(is_in(x, y).sum())
             keep.append(both >= similarity * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, distance: int = 40) -> DataFrame:
-    """doc_id, content (XXH64 of the text, seed 42), component_id: documents whose word shingles have a
+def common_shingles(rows: DataFrame, width: int, *, sample: int = 8000, least: int = 3, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, ranks) of the shingles that are frequent in about ``sample`` of the texts (rows: content, text).
+
+    They only order the prefixes: what a sample does not show costs time, not pairs.
+    """
+    every = max(1, rows.count() // sample)
+    some = rows.where(F.pmod("content", F.lit(every)) == 0).dropDuplicates(["content"]).select("text")
+    top = some.mapInArrow(partial(_shingle_rows, width=width), "shingle long").groupBy("shingle").count().where(F.col("count") >= least)
+    top = top.orderBy(F.desc("count"), "shingle").limit(most).collect()
+    hashes, counts = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in top], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, content (XXH64 of the text, seed 42), component_id, kept: documents whose word shingles have a
     Jaccard similarity of ``similarity`` or more.
 
-    Candidates come from grids over segment counts of SimHashes of the word sets, calibrated to
-    the row count; candidates within ``distance`` bits are verified on their shingle sets, and links
-    go to components.  Each text is first verified against the first of its cells; other cell mates
-    only where that has not joined them yet: every such pair, whatever the size of its cell.
+    Candidates share a shingle of their prefixes (prefix filter), which no pair of that similarity
+    fails to do.  A pair goes on if sizes and sketches allow it: each differing parity bit is a
+    shingle of one side only, so this bound drops no similar pair either.  The rest is verified on
+    the shingle sets, and links go to components.  A text is first verified against the least of its
+    cells' firsts, then against all of them, and then every pair of cell mates that is not joined yet.
+    Cells with the same members count as one.
+
+    Texts are told apart by their content; components take the smallest doc_id at the end, and ``kept``
+    marks the first row of each by doc_id (nulls last) and content.
     """
-    prints = materialize(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(_word_prints, WORD_PRINTS))
-    reps = prints.groupBy(*FPS, "content", "size").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps.select("*", *[segment_counts(F.col(f)).alias(f"code{k}") for k, f in enumerate(FPS)]))
-    # the grids are a constant array and one lambda: dozens of hash expressions would swell the driver's plans and code
-    masks = F.array(*[F.array(*map(F.lit, m)) for m in calibrated_grids(reps.count())])
-    cells = F.transform(masks, lambda m, i: F.xxhash64(i, *[F.col(f"code{k}").bitwiseAND(F.get(m, F.lit(k))) for k in range(PRINTS_EACH)]))
-    rows = reps.select("rep", F.explode(cells).alias("cell"))
-    sizes = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1"))
-    held = materialize(rows.join(sizes, "cell"))
-    nodes = reps.select(F.col("rep").alias("node"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("rep"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    of = lambda c, s: reps.select(F.col("rep").alias(c), *[F.col(f).alias(f + s) for f in FPS])
-    apart = sum((F.bit_count(F.col(f + "1").bitwiseXOR(F.col(f + "2"))) for f in FPS), F.lit(0))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
+    common, rank = common_shingles(rows.select("content", "text"), width)
+    texts = rows.select("content", "text")
+    reps = materialize(texts.mapInArrow(partial(_shingled, width=width, similarity=similarity, common=common, rank=rank), SHINGLED).dropDuplicates(["content"]))
+    nodes, marks = reps.select(F.col("content").alias("node")), reps.select("content", "size", *KS)
+    cells = reps.select("content", F.explode("prefix").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("first"), F.bit_xor(F.xxhash64("content")).alias("members")).where("n > 1")
+    sizes = materialize(sizes.groupBy("n", "first", "members").agg(F.min("cell").alias("cell")).select("cell", "first"))
+    held = materialize(cells.join(sizes, "cell"))
+    of = lambda c, s: [F.col("content").alias(c), F.col("size").alias("size" + s), *[F.col(k).alias(k + s) for k in KS]]
+    apart = sum((F.bit_count(F.col(k + "1").bitwiseXOR(F.col(k + "2"))) for k in KS), F.lit(0))
+    may = (F.least("size1", "size2") >= similarity * F.greatest("size1", "size2") - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size1") + F.col("size2")) + 1e-9)
+
+    def grouped(links: DataFrame) -> DataFrame:
+        return components(nodes, links).select(F.col("node").alias("content"), F.col("component").alias("g"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(marks.select(*of("a", "1")), "a").join(marks.select(*of("b", "2")), "b").where(may).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        close = materialize(pairs.distinct().join(of("a", "1"), "a").join(of("b", "2"), "b").where(apart <= distance).select("a", "b"))
-        wanted = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        sets = materialize(texts.join(wanted, "rep", "left_semi").mapInArrow(partial(_shingle_sets, width=width), "rep long, shingles binary"))
-        side = lambda c, s: sets.select(F.col("rep").alias(c), F.col("shingles").alias(s))
+        close = materialize(pairs)
+        wanted = close.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+        sets = materialize(texts.join(wanted, "content", "left_semi").mapInArrow(partial(_packed_sets, width=width), "content long, shingles binary").dropDuplicates(["content"]))
+        side = lambda c, s: sets.select(F.col("content").alias(c), F.col("shingles").alias(s))
         return materialize(close.join(side("a", "s1"), "a").join(side("b", "s2"), "b").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
 
-    links = verified(held.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    joined = components(nodes, links)
-    group = joined.select(F.col("node").alias("rep"), F.col("component").alias("g"))
-    mates = materialize(held.select("cell", "rep").join(group, "rep", "left").select("cell", "rep", F.coalesce("g", "rep").alias("g")))
-    mixed = materialize(mates.groupBy("cell").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("cell"))
-    mates = materialize(mates.join(mixed, "cell").join(reps.select("rep", *FPS), "rep"))
-    side = lambda s: mates.select("cell", F.col("rep").alias("a" if s == "1" else "b"), F.col("g").alias("g" + s), *[F.col(f).alias(f + s) for f in FPS])
-    pairs = side("1").join(side("2"), "cell").where("a < b and g1 <> g2").where(apart <= distance).select("a", "b")
-    known = components(nodes, links.unionByName(verified(pairs))).select(F.col("node").alias("rep"), "component")
-    named = materialize(reps.join(known, "rep", "left").select("fp0", "content", "size", F.coalesce("component", "rep").alias("component")))
+    links = verified(possible(held.where("first <> content").groupBy("content").agg(F.min("first").alias("a")).select("a", F.col("content").alias("b"))))
+    for stars in (True, False):
+        group = grouped(links)
+        mates = materialize(held.join(group, "content", "left").select("cell", "first", "content", F.coalesce("g", "content").alias("g")))
+        mixed = materialize(mates.groupBy("cell").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max(F.when(F.col("first") == F.col("content"), F.col("g"))).alias("gf")).where("lo <> hi").select("cell", "gf"))
+        mates = mates.join(mixed, "cell")
+        if stars:
+            pairs = possible(mates.where("g <> gf").select(F.col("first").alias("a"), F.col("content").alias("b")))
+        else:
+            mates = materialize(mates.join(marks, "content"))
+            pairs = mates.select("cell", F.col("g").alias("g1"), *of("a", "1")).join(mates.select("cell", F.col("g").alias("g2"), *of("b", "2")), "cell")
+            pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("g1") != F.col("g2")) & may).select("a", "b").distinct()
+        links = links.unionByName(verified(pairs))
+    ids = rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    named = materialize(ids.join(grouped(links), "content", "left").select("content", "doc_id", F.coalesce("g", "content").alias("g")))
+    least = materialize(named.groupBy("g").agg(F.min(F.struct("doc_id", "content")).alias("first")))
+    named = materialize(named.join(least, "g").select("content", "first"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return prints.join(named, ["fp0", "content", "size"]).select(real("doc_id").alias("doc_id"), "content", real("component").alias("component_id"))
+    kept = F.struct("doc_id", "content") == F.col("first")
+    return rows.select("doc_id", "content").join(named, "content").select(real("doc_id").alias("doc_id"), "content", real("first.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id; columns as in ``docs``.
 
-    A row without a doc_id gives way to near copies that have one, and to equal texts.
+    A row without a doc_id gives way to near copies that have one; of a group without any, one row stays.
     """
-    first = near_copies(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = materialize(first.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct())
+    first = materialize(near_copies(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct())
     here = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_content"))
     return docs.join(first, here, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -219,6 +219,27 @@ def test_near_copies_in_dense_cells(spark):
     assert got == {i: i - 280 if i >= 280 else i for i in range(300)}
 
 
+def test_near_copies_with_contiguous_edits(spark):
+    rnd = random.Random(13)
+    docs, n = [], 0
+    for k in range(150):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        cut = 20 + k % 20  # the paragraph that is cut; at 39 words Jaccard is still 157 of 196
+        docs += [(k, " ".join(words)), (1000 + k, " ".join(words[cut:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert got == {i: i % 1000 for i, _ in docs}
+
+
+def test_near_copies_without_ids(spark):
+    rnd = random.Random(14)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    docs = [(1, texts[0]), (None, texts[0] + " end"), (None, texts[1]), (None, texts[2]), (None, texts[2] + " end"), (7, texts[3]), (7, texts[1] + " end")]
+    kept = {(r["doc_id"], r["text"]) for r in simhash.without_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {(1, texts[0]), (7, texts[3]), (7, texts[1] + " end")} < kept and len(kept) == 4
+    assert len(kept & {(None, texts[2]), (None, texts[2] + " end")}) == 1
+
+
 def test_mixing_invariants_and_sql(spark, tmp_path):
     import duckdb
 
