@@ -11,12 +11,12 @@ go through balls instead: each emits itself and its 64 one-bit changes, and thos
 share a code are within two bits of each other, so linking each to the least holder of a code
 is exact and linear.  (Larger distances than 2 keep to grids and pairs.)
 
-Only distinct fingerprints are joined, so exact copies cost one row.  Links go to connected
-components, labelled by the smallest doc_id.
+Only distinct fingerprints are joined, so exact copies cost one row.  Links of fingerprints go to
+connected components, labelled by the smallest doc_id at the end.
 
 Defined results: a text without words (or null) has fingerprint 0 and is linked like any other; null
 doc_ids take part, come back as null and are the last choice for a component's id; rows
-that repeat a doc_id are separate rows of one document; empty tables give empty results; extra
+that repeat a doc_id are separate rows, linked by their fingerprints only; empty tables give empty results; extra
 columns are ignored.
 """
 
@@ -117,11 +117,13 @@ def near_links(prints: DataFrame, *, distance: int = 2, blocks: int = 5, cell_ca
 def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, distance: int = 2, blocks: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = materialize(simhashes(docs, width=width, seed=seed))
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    ids = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    reps = ids.select(F.col("fp").alias("rep"), "fp")  # ids may be null or repeated: fingerprints are the vertices
     known = components(reps.select(F.col("rep").alias("node")), near_links(reps, distance=distance, blocks=blocks))
-    known = known.select(F.col("node").alias("rep"), "component")
-    named = materialize(reps.join(known, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")))
-    out = prints.join(named, "fp")
+    known = known.select(F.col("node").alias("fp"), F.col("component").alias("g"))
+    named = materialize(ids.join(known, "fp", "left").select("fp", "doc_id", F.coalesce("g", "fp").alias("g")))
+    least = materialize(named.groupBy("g").agg(F.min("doc_id").alias("component")))
+    out = prints.join(materialize(named.join(least, "g").select("fp", "component")), "fp")
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component").alias("component_id"))
 
@@ -263,9 +265,10 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
         if stars:
             pairs = possible(mates.where("g <> gf").select(F.col("first").alias("a"), F.col("content").alias("b")))
         else:
-            mates = materialize(mates.join(marks, "content"))
-            pairs = mates.select("cell", F.col("g").alias("g1"), *of("a", "1")).join(mates.select("cell", F.col("g").alias("g2"), *of("b", "2")), "cell")
-            pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("g1") != F.col("g2")) & may).select("a", "b").distinct()
+            mates = materialize(mates.join(marks, "content").join(mates.groupBy("content").agg(F.collect_set("cell").alias("cells")), "content"))
+            side = lambda c, s: mates.select("cell", F.col("g").alias("g" + s), F.col("cells").alias("cells" + s), *of(c, s))
+            once = F.array_min(F.array_intersect("cells1", "cells2")) == F.col("cell")  # a pair is a row in the least of its cells only
+            pairs = side("a", "1").join(side("b", "2"), "cell").where((F.col("a") < F.col("b")) & (F.col("g1") != F.col("g2")) & may & once).select("a", "b")
         links = links.unionByName(verified(pairs))
     ids = rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     named = materialize(ids.join(grouped(links), "content", "left").select("content", "doc_id", F.coalesce("g", "content").alias("g")))

@@ -15,7 +15,7 @@ Equal vectors of a label are one row with a count.
 
 Defined results: a null or zero vector, one with a null or non-finite component, and one with a
 null label link with nothing; null vec_ids take part, come back as null and are the last choice for a
-component's id; vectors of different length never link; rows that repeat a vec_id are one vertex; empty tables
+component's id; vectors of different length never link; rows that repeat a vec_id are linked by their vectors only; empty tables
 give empty results; extra columns are ignored.
 """
 
@@ -147,7 +147,8 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, **options) -> Data
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     # doubles as bytes, each in the order numpy reads
     rows = vectors.select(key.alias("vec_id"), F.col("label"), F.when(F.coalesce(good, F.lit(False)), v).alias("v"))
-    kinds = materialize(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    # ids may be null or repeated: distinct vectors of a label are the vertices, numbered in storage
+    kinds = materialize(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     packed = kinds.select("node", "label", "v").mapInArrow(_as_bytes, "node long, label string, vec binary")
     links = materialize(vector_links(packed, cosine=cosine, **options))
     copies = kinds.select("node", "copies")
@@ -155,7 +156,9 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, **options) -> Data
     others = both.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
     known = components(kinds.select("node"), links)
     named = kinds.join(others.select(F.col("a").alias("node"), "near"), "node", "left").join(known, "node", "left")
-    named = materialize(named.select(F.col("label").alias("l2"), F.col("v").alias("v2"), F.coalesce("component", "node").alias("component"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    named = materialize(named.select(F.col("label").alias("l2"), F.col("v").alias("v2"), "vec_id", F.coalesce("component", "node").alias("g"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = materialize(named.groupBy("g").agg(F.min("vec_id").alias("component")))
+    named = materialize(named.join(least, "g").select("l2", "v2", "component", "n_links"))
     out = rows.join(named, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2")), "left")
     comp = F.coalesce("component", "vec_id")
     real = lambda c: F.when(c != LAST_ID, c)

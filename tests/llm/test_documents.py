@@ -157,6 +157,16 @@ def test_simhash_against_brute_force(spark):
     assert simhash.simhash_components(odd.empty(spark)).count() == 0
 
 
+def test_simhash_without_ids(spark):
+    body = " ".join(f"w{j}" for j in range(1500))
+    print_of = lambda t: simhash.fingerprint(t.encode(), 3, xxhash.xxh64_intdigest, 42)
+    near = next(t for t in (f"{body} tail{k}" for k in range(500)) if 0 < (print_of(t) ^ print_of(body)).bit_count() <= 2)
+    clean = [" ".join(f"v{k}x{j}" for j in range(50)) for k in range(3)]
+    docs = [(1, body), *[(None, t) for t in [near, *clean]]]
+    got = {(r["fingerprint"], r["component_id"]) for r in simhash.simhash_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(f"{print_of(t):016x}", 1 if t in (body, near) else None) for _, t in docs}
+
+
 def test_simhash_dense_cells(spark):
     rnd = random.Random(9)
     base = rnd.getrandbits(64)

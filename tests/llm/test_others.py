@@ -36,6 +36,14 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_without_ids(spark):
+    x, near, y, z = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, x, 1), (None, near, 1), (None, y, 1), (None, x, 2), (None, z, 1), (5, z, 2)]
+    got = [tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()]
+    want = [(1, 1, 1, True), (None, 1, 1, False), (5, 0, 5, True), *[(None, 0, None, True)] * 3]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_calibration_meets_the_wanted_recall():
     rng = np.random.default_rng(1)
     window, count = vectors.calibrate(0.98, 48, 3, 0.001)
