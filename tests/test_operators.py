@@ -182,6 +182,26 @@ def test_ratios():
     assert similarity.indel("", "") == 100.0 and similarity.token_set("a b c", "c b") == 100.0
 
 
+def test_minhash_recall_at_the_registered_ratio(spark):
+    from corpusloom.functions import similarity
+    from corpusloom.operators import near
+
+    rnd = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    texts = []
+    for k in range(150):
+        t = "x" + "".join(rnd.choice(letters) for _ in range(400)) + "x"
+        other = list(t)
+        for i in rnd.sample(range(1, 401), 20 + k % 20):  # 5 to 10 % scattered edits
+            other[i] = rnd.choice(letters)
+        texts += [" ".join(t.split()), " ".join("".join(other).split())]
+    want = {(2 * k, 2 * k + 1) for k in range(150) if similarity.indel(texts[2 * k], texts[2 * k + 1]) >= 90}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["a"], r["b"]) for r in near.minhash_edges(df, "id", least_ratio=90.0).collect()}
+    assert len(want) > 100 and got <= want
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_spans(spark):
     from corpusloom.functions import spans
 
