@@ -202,6 +202,16 @@ def test_minhash_recall_at_the_registered_ratio(spark):
     assert len(got) >= 0.9 * len(want)
 
 
+def test_answer_ratios_of_whole_texts(spark, tmp_path):
+    from corpusloom.functions import similarity
+    from corpusloom.plans import more
+
+    a, b = "same words " * 30 + "left end", "same words " * 30 + "another right close"
+    spark.createDataFrame([(1, 0, "user", a), (1, 1, "assistant", b)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    r = more.answer_ratios(spark, str(tmp_path)).first()
+    assert (r["indel"], r["token_set"]) == (similarity.indel(a, b), similarity.token_set(a, b)) and r["indel"] < 100 and r["sequence"] < 1
+
+
 def test_spans(spark):
     from corpusloom.functions import spans
 
