@@ -46,11 +46,11 @@ def mcnemar(df: DataFrame, right_a: Column, right_b: Column) -> DataFrame:
     """(only_a, only_b, p): the exact two-sided test on discordant pairs."""
     n = df.agg(F.count_if(right_a & ~right_b).alias("only_a"), F.count_if(~right_a & right_b).alias("only_b"))
     total, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # log factorials keep the binomial tail in range for large counts
-    logs = lambda m: F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, x: a + F.log(x.cast("double")))
-    lt = logs(total)
-    term = F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.exp(lt - logs(i) - logs(total - i) - total * F.log(F.lit(2.0))))
-    return n.select("only_a", "only_b", F.least(F.lit(1.0), 2 * F.aggregate(term, F.lit(0.0), lambda a, x: a + x)).alias("p"))
+    # each log term follows from the one before, so the tail is linear in the counts and keeps in range; the sum is relative to the last, largest term
+    step = lambda s, i: F.struct((s["t"] + F.log((total - i + 1).cast("double") / i)).alias("t"), (s["sum"] * i.cast("double") / (total - i + 1) + 1.0).alias("sum"))
+    every = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(every, F.struct((-total * F.log(F.lit(2.0))).alias("t"), F.lit(1.0).alias("sum")), step, lambda s: F.exp(s["t"]) * s["sum"])
+    return n.select("only_a", "only_b", F.least(F.lit(1.0), 2 * tail).alias("p"))
 
 
 def preference_accuracy(df: DataFrame, chosen: str, rejected: str, slice_by: str) -> DataFrame:

@@ -212,6 +212,24 @@ def test_answer_ratios_of_whole_texts(spark, tmp_path):
     assert (r["indel"], r["token_set"]) == (similarity.indel(a, b), similarity.token_set(a, b)) and r["indel"] < 100 and r["sequence"] < 1
 
 
+def test_mcnemar_of_large_counts(spark):
+    from fractions import Fraction
+    from math import comb
+
+    from corpusloom.operators import metrics
+
+    for only_a, only_b in ((20_000, 20_300), (0, 9), (7, 0), (3, 3), (0, 0)):
+        n, k = only_a + only_b, min(only_a, only_b)
+        rows = spark.range(n).select((F.col("id") < only_a).alias("x"), (F.col("id") >= only_a).alias("y"))
+        r = metrics.mcnemar(rows, F.col("x"), F.col("y")).first()
+        term = tail = 1
+        for i in range(1, k + 1):
+            term = term * (n - i + 1) // i
+            tail += term
+        assert (r["only_a"], r["only_b"]) == (only_a, only_b) and comb(n, k) == term
+        assert r["p"] == pytest.approx(float(min(Fraction(1), Fraction(2 * tail, 2**n))), rel=1e-6)
+
+
 def test_spans(spark):
     from corpusloom.functions import spans
 
