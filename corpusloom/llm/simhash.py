@@ -134,6 +134,8 @@ def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, dista
 SKETCH = 512
 KS = [f"k{i}" for i in range(SKETCH // 64)]
 SHINGLED = "content long, size int, " + ", ".join(f"{k} long" for k in KS) + ", prefix array<long>"
+#: Keys that are broadcast at most: some tens of MB.
+MOST_KEYS = 1_000_000
 SHINGLE_SEED, SHINGLE_BASE = 5, 0x9E3779B97F4A7C15
 
 
@@ -251,7 +253,9 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         close = materialize(pairs)
-        wanted = close.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+        wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("content")).distinct())
+        if wanted.count() <= MOST_KEYS:
+            wanted = F.broadcast(wanted)  # else every text goes through an exchange to find a few
         sets = materialize(texts.join(wanted, "content", "left_semi").mapInArrow(partial(_packed_sets, width=width), "content long, shingles binary").dropDuplicates(["content"]))
         side = lambda c, s: sets.select(F.col("content").alias(c), F.col("shingles").alias(s))
         return materialize(close.join(side("a", "s1"), "a").join(side("b", "s2"), "b").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
