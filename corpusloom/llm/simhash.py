@@ -24,14 +24,13 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, is_in, materialize, release_memory, rolling, word_hashes, word_spans
+from .common import chunks, components, is_in, materialize, mix64, release_memory, rolling, stream64, word_hashes, word_spans
 
 LAST_ID = (1 << 63) - 1
 ODD = 0x5555555555555555
@@ -90,7 +89,7 @@ def grid_masks(blocks: int, distance: int) -> list[int]:
     return [_signed(sum(c)) for c in combinations(block, blocks - distance)]
 
 
-def near_links(prints: DataFrame, *, distance: int = 2, blocks: int = 5, cell_cap: int = 32) -> DataFrame:
+def fingerprint_links(prints: DataFrame, *, distance: int = 2, blocks: int = 5, cell_cap: int = 32) -> DataFrame:
     """Links (a, b) that connect all of ``prints`` (rep, fp; distinct fp) within ``distance`` bits."""
     if not 0 < distance < blocks:
         raise ValueError("blocks must exceed distance")
@@ -119,7 +118,7 @@ def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, dista
     prints = materialize(simhashes(docs, width=width, seed=seed))
     ids = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     reps = ids.select(F.col("fp").alias("rep"), "fp")  # ids may be null or repeated: fingerprints are the vertices
-    known = components(reps.select(F.col("rep").alias("node")), near_links(reps, distance=distance, blocks=blocks))
+    known = components(reps.select(F.col("rep").alias("node")), fingerprint_links(reps, distance=distance, blocks=blocks))
     known = known.select(F.col("node").alias("fp"), F.col("component").alias("g"))
     named = materialize(ids.join(known, "fp", "left").select("fp", "doc_id", F.coalesce("g", "fp").alias("g")))
     least = materialize(named.groupBy("g").agg(F.min("doc_id").alias("component")))
@@ -130,13 +129,15 @@ def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, dista
 
 # ------------------------------------------------- near copies by shingle similarity
 
-#: Bits of a sketch: the parities of a shingle set in as many buckets.
+#: Bits of a wide fingerprint (the parities of a shingle set in as many buckets), in segments of 64.
 SKETCH = 512
 KS = [f"k{i}" for i in range(SKETCH // 64)]
-SHINGLED = "content long, size int, " + ", ".join(f"{k} long" for k in KS) + ", prefix array<long>"
+SHINGLED = "content long, size int, " + ", ".join(f"{k} long" for k in KS) + ", cells array<long>"
 #: Keys that are broadcast at most: some tens of MB.
 MOST_KEYS = 1_000_000
 SHINGLE_SEED, SHINGLE_BASE = 5, 0x9E3779B97F4A7C15
+#: Minwise grids, and least hashes that a cell of one joins: a pair at a similarity of 0.8 shares no cell with a chance of 0.0007.
+GRIDS, JOINED = 24, 6
 
 
 def shingle_sets(texts: list[bytes], width: int):
@@ -151,41 +152,37 @@ def shingle_sets(texts: list[bytes], width: int):
             yield np.unique(rolling(words[a:b], min(width, b - a), SHINGLE_BASE)) if b > a else words[:0]
 
 
-def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, so many that two sets of ``similarity`` or more share one of them.
-
-    The order is by hash, ``common`` ones last by ``rank``.  Any order is exact if it is the same for all sets.
-    """
-    if not len(shingles):
-        return np.zeros(1, dtype=np.uint64)  # texts without words meet each other
-    n = len(shingles) - ceil(similarity * len(shingles) - 1e-9) + 1
-    hit = is_in(shingles, common)
-    late = shingles[hit]
-    late = late[np.argsort(rank[np.searchsorted(common, late)], kind="stable")]
-    return np.concatenate([shingles[~hit][:n], late])[:n]
+def minwise_cells(sets: list[np.ndarray], grids: int, joined: int) -> np.ndarray:
+    """(sets, grids): of each grid a hash of the set's ``joined`` least hashes under as many permutations."""
+    filled = [s if len(s) else np.zeros(1, dtype=np.uint64) for s in sets]  # texts without words meet each other
+    flat = np.concatenate(filled)
+    starts = np.cumsum([0, *[len(s) for s in filled[:-1]]])
+    factors = stream64(grids * joined, SHINGLE_SEED).reshape(grids, joined)
+    out = np.empty((len(sets), grids), dtype=np.uint64)
+    for g in range(grids):
+        key = np.full(len(sets), g + 1, dtype=np.uint64)
+        for f in factors[g]:
+            key = mix64(key + np.minimum.reduceat(flat * f, starts))
+        out[:, g] = key
+    return out
 
 
-def _shingled(batches, width: int, similarity: float, common: np.ndarray, rank: np.ndarray):
+def _shingled(batches, width: int, grids: int, joined: int):
     for batch in batches:
-        size, sketch, prefix = [], [], []
-        for s in shingle_sets(batch.column("text").to_pylist(), width):
-            size.append(len(s))
-            odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-            sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            prefix.append(prefix_of(s, similarity, common, rank).view(np.int64))
-        bits = np.frombuffer(b"".join(sketch), dtype=np.int64).reshape(-1, len(KS))
-        ends = np.cumsum([0, *map(len, prefix)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, dtype=np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(size, pa.int32()), *[pa.array(bits[:, k]) for k in range(len(KS))], lists], names=["content", "size", *KS, "prefix"])
+        content, texts = np.asarray(batch.column("content")), batch.column("text").to_pylist()
+        for first, last in chunks(texts, 1 << 22):
+            sets = list(shingle_sets(texts[first:last], width))
+            bits = np.empty((len(sets), SKETCH), dtype=np.uint8)
+            for i, s in enumerate(sets):
+                bits[i] = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+            bits = np.packbits(bits, axis=1).view(np.int64)
+            cells = minwise_cells(sets, grids, joined).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * grids, pa.int32()), pa.array(cells.reshape(-1)))
+            size = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(content[first:last]), size, *[pa.array(bits[:, k].copy()) for k in range(len(KS))], lists], names=["content", "size", *KS, "cells"])
         release_memory()
 
 
-def _shingle_rows(batches, width: int):
-    for batch in batches:
-        for s in shingle_sets(batch.column("text").to_pylist(), width):
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["shingle"])
-
-
 def _packed_sets(batches, width: int):
     for batch in batches:
         out = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), width)]
@@ -203,80 +200,84 @@ def _similar(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def common_shingles(rows: DataFrame, width: int, *, sample: int = 8000, least: int = 3, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, ranks) of the shingles that are frequent in about ``sample`` of the texts (rows: content, text).
+def within_reach(similarity: float) -> Column:
+    """Whether marks 1 and 2 (size and segments of the wide fingerprint) may belong to sets of ``similarity``.
+
+    The Manhattan distance of the segments' bit counts is at most the Hamming distance of the fingerprints, which
+    is at most the number of shingles that only one set has: no similar pair fails.
+    """
+    total = lambda f: sum((f(F.col(k + "1"), F.col(k + "2")) for k in KS), F.lit(0))
+    counts = total(lambda x, y: F.abs(F.bit_count(x) - F.bit_count(y)))
+    bits = total(lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    most = (1 - similarity) / (1 + similarity) * (F.col("size1") + F.col("size2")) + 1e-9
+    return (F.least("size1", "size2") >= similarity * F.greatest("size1", "size2") - 1e-9) & (counts <= most) & (bits <= most)
+
+
+def _marked(df: DataFrame, marks: DataFrame, key: str, side: str) -> DataFrame:
+    return df.join(marks.select(F.col("content").alias(key), *[F.col(c).alias(c + side) for c in ("size", *KS)]), key)
+
+
+def near_links(marks: DataFrame, cells: DataFrame, verified, similarity: float) -> DataFrame:
+    """Verified links (a, b) that connect what shares a cell and is similar (marks: content, size, segments; cells: content, cell).
 
-    They only order the prefixes: what a sample does not show costs time, not pairs.
+    Each member of a cell is verified against the cell's head, the member that meets most others over all its
+    cells.  Then members that the head's component lacks are compared with all of the cell outside their own.
+    Cells with the same members count as one.
     """
-    every = max(1, rows.count() // sample)
-    some = rows.where(F.pmod("content", F.lit(every)) == 0).dropDuplicates(["content"]).select("text")
-    top = some.mapInArrow(partial(_shingle_rows, width=width), "shingle long").groupBy("shingle").count().where(F.col("count") >= least)
-    top = top.orderBy(F.desc("count"), "shingle").limit(most).collect()
-    hashes, counts = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in top], dtype=np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("content")).alias("members")).where("n > 1")
+    sizes = sizes.groupBy("n", "members").agg(F.min("cell").alias("cell"), F.count(F.lit(1)).alias("alike"))
+    held = materialize(cells.join(sizes.select("cell", (F.col("n") * F.col("alike")).alias("weight")), "cell"))
+    meets = held.groupBy("content").agg(F.sum("weight").alias("meets"))
+    heads = held.join(meets, "content").groupBy("cell").agg(F.max(F.struct("meets", "content"))["content"].alias("head"))
+    held = materialize(held.join(heads, "cell").select("cell", "content", "head"))
+    pairs = held.where("head <> content").select(F.col("head").alias("a"), F.col("content").alias("b")).distinct()
+    links = verified(_marked(_marked(pairs, marks, "a", "1"), marks, "b", "2").where(within_reach(similarity)).select("a", "b"))
+    group = components(held.select(F.col("content").alias("node")).distinct(), links)
+    mates = materialize(held.join(group.select(F.col("node").alias("content"), F.col("component").alias("g")), "content", "left").select("cell", "content", F.coalesce("g", "content").alias("g"), (F.col("head") == F.col("content")).alias("first")))
+    mixed = mates.groupBy("cell").agg(F.max(F.when(F.col("first"), F.col("g"))).alias("top"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("cell", "top")
+    mates = mates.where("not first").join(mixed, "cell")
+    mates = _marked(mates.select("cell", F.col("content").alias("a"), "g", "top"), marks, "a", "1")
+    rest = mates.where("g <> top")
+    other = mates.select("cell", F.col("a").alias("b"), F.col("g").alias("h"), *[F.col(c + "1").alias(c + "2") for c in ("size", *KS)])
+    once = (F.col("h") == F.col("top")) | (F.col("a") < F.col("b"))
+    more = verified(rest.join(other, "cell").where((F.col("g") != F.col("h")) & once & within_reach(similarity)).select("a", "b").distinct())
+    return links.unionByName(more)
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, content (XXH64 of the text, seed 42), component_id, kept: documents whose word shingles have a
     Jaccard similarity of ``similarity`` or more.
 
-    Candidates share a shingle of their prefixes (prefix filter), which no pair of that similarity
-    fails to do.  A pair goes on if sizes and sketches allow it: each differing parity bit is a
-    shingle of one side only, so this bound drops no similar pair either.  The rest is verified on
-    the shingle sets, and links go to components.  A text is first verified against the least of its
-    cells' firsts, then against all of them, and then every pair of cell mates that is not joined yet.
-    Cells with the same members count as one.
+    Wide fingerprints are mapped to the bit counts of their segments, pairs that share a cell of a grid are held
+    against the Manhattan bound and the fingerprints' distance (``within_reach``), and what is left is verified
+    on the shingle sets; links go to components.  The cells are minwise hashes of the shingle sets,
+    since bit counts are too much alike at this distance to cut a table into cells.
 
     Texts are told apart by their content; components take the smallest doc_id at the end, and ``kept``
     marks the first row of each by doc_id (nulls last) and content.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
-    common, rank = common_shingles(rows.select("content", "text"), width)
     texts = rows.select("content", "text")
-    reps = materialize(texts.mapInArrow(partial(_shingled, width=width, similarity=similarity, common=common, rank=rank), SHINGLED).dropDuplicates(["content"]))
-    nodes, marks = reps.select(F.col("content").alias("node")), reps.select("content", "size", *KS)
-    cells = reps.select("content", F.explode("prefix").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("first"), F.bit_xor(F.xxhash64("content")).alias("members")).where("n > 1")
-    sizes = materialize(sizes.groupBy("n", "first", "members").agg(F.min("cell").alias("cell")).select("cell", "first"))
-    held = materialize(cells.join(sizes, "cell"))
-    of = lambda c, s: [F.col("content").alias(c), F.col("size").alias("size" + s), *[F.col(k).alias(k + s) for k in KS]]
-    apart = sum((F.bit_count(F.col(k + "1").bitwiseXOR(F.col(k + "2"))) for k in KS), F.lit(0))
-    may = (F.least("size1", "size2") >= similarity * F.greatest("size1", "size2") - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size1") + F.col("size2")) + 1e-9)
-
-    def grouped(links: DataFrame) -> DataFrame:
-        return components(nodes, links).select(F.col("node").alias("content"), F.col("component").alias("g"))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(marks.select(*of("a", "1")), "a").join(marks.select(*of("b", "2")), "b").where(may).select("a", "b")
+    reps = materialize(texts.mapInArrow(partial(_shingled, width=width, grids=GRIDS, joined=JOINED), SHINGLED).dropDuplicates(["content"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         close = materialize(pairs)
         wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("content")).distinct())
-        if wanted.count() <= MOST_KEYS:
+        n = wanted.count()
+        if not n:
+            return close
+        if n <= MOST_KEYS:
             wanted = F.broadcast(wanted)  # else every text goes through an exchange to find a few
         sets = materialize(texts.join(wanted, "content", "left_semi").mapInArrow(partial(_packed_sets, width=width), "content long, shingles binary").dropDuplicates(["content"]))
         side = lambda c, s: sets.select(F.col("content").alias(c), F.col("shingles").alias(s))
-        return materialize(close.join(side("a", "s1"), "a").join(side("b", "s2"), "b").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
-
-    links = verified(possible(held.where("first <> content").groupBy("content").agg(F.min("first").alias("a")).select("a", F.col("content").alias("b"))))
-    for stars in (True, False):
-        group = grouped(links)
-        mates = materialize(held.join(group, "content", "left").select("cell", "first", "content", F.coalesce("g", "content").alias("g")))
-        mixed = materialize(mates.groupBy("cell").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max(F.when(F.col("first") == F.col("content"), F.col("g"))).alias("gf")).where("lo <> hi").select("cell", "gf"))
-        mates = mates.join(mixed, "cell")
-        if stars:
-            pairs = possible(mates.where("g <> gf").select(F.col("first").alias("a"), F.col("content").alias("b")))
-        else:
-            mates = materialize(mates.join(marks, "content").join(mates.groupBy("content").agg(F.collect_set("cell").alias("cells")), "content"))
-            side = lambda c, s: mates.select("cell", F.col("g").alias("g" + s), F.col("cells").alias("cells" + s), *of(c, s))
-            once = F.array_min(F.array_intersect("cells1", "cells2")) == F.col("cell")  # a pair is a row in the least of its cells only
-            pairs = side("a", "1").join(side("b", "2"), "cell").where((F.col("a") < F.col("b")) & (F.col("g1") != F.col("g2")) & may & once).select("a", "b")
-        links = links.unionByName(verified(pairs))
+        return materialize(close.join(side("b", "s2"), "b").join(side("a", "s1"), "a").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
+
+    links = near_links(reps.drop("cells"), reps.select("content", F.explode("cells").alias("cell")), verified, similarity)
+    grouped = components(reps.select(F.col("content").alias("node")), links).select(F.col("node").alias("content"), F.col("component").alias("g"))
     ids = rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    named = materialize(ids.join(grouped(links), "content", "left").select("content", "doc_id", F.coalesce("g", "content").alias("g")))
-    least = materialize(named.groupBy("g").agg(F.min(F.struct("doc_id", "content")).alias("first")))
+    named = materialize(ids.join(grouped, "content", "left").select("content", "doc_id", F.coalesce("g", "content").alias("g")))
+    least = named.groupBy("g").agg(F.min(F.struct("doc_id", "content")).alias("first"))
     named = materialize(named.join(least, "g").select("content", "first"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     kept = F.struct("doc_id", "content") == F.col("first")
@@ -286,8 +287,15 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id; columns as in ``docs``.
 
-    A row without a doc_id gives way to near copies that have one; of a group without any, one row stays.
+    A row without a doc_id gives way to near copies that have one; of a group without any, one row stays.  Of
+    rows that repeat the kept doc_id and text one stays.
     """
-    first = materialize(near_copies(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct())
-    here = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_content"))
-    return docs.join(first, here, "left_semi").dropDuplicates(["doc_id", "text"])
+    known = materialize(near_copies(docs, **options).groupBy(F.col("doc_id").alias("k1"), F.col("content").alias("k2")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    rows = docs.select(F.col("doc_id").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), F.struct("*").alias("row"))
+    of = lambda keys: keys.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    here = F.col("k1").eqNullSafe(F.col("c1")) & (F.col("k2") == F.col("c2"))
+    kept = rows.join(of(known.where("not kept or n > 1")), here, "left_anti").select("row.*")
+    twice = known.where("kept and n > 1")
+    if not twice.limit(1).count():
+        return kept
+    return kept.unionByName(rows.join(of(twice), here, "left_semi").dropDuplicates(["k1", "k2"]).select("row.*"))

@@ -173,7 +173,7 @@ def test_simhash_dense_cells(spark):
     points = list({base} | {base ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(300)})
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(points)]
     df = spark.createDataFrame(rows, "rep long, fp long")
-    comp = common.components(df.select(F.col("rep").alias("node")), simhash.near_links(df, cell_cap=4))
+    comp = common.components(df.select(F.col("rep").alias("node")), simhash.fingerprint_links(df, cell_cap=4))
     got = {i: i for i, _ in rows} | {r["node"]: r["component"] for r in comp.collect()}
     label = list(range(len(points)))
     for _ in range(6):
