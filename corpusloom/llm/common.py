@@ -20,20 +20,39 @@ WORD_SPACE = r"[\x20\x09-\x0D]+"
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and cut its lineage there.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only a session
+    The folder is the one named in ``spark.checkpoint.dir``; only a local session
     without that setting (tests on one machine) gets a temporary folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpusloom-")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def group_count(docs: DataFrame, group_bytes: int = 32 << 20) -> int:
+    """Groups to cut a table of texts into: two a shuffle partition, more if a group would pass ``group_bytes``.
+
+    A task holds one group at a time, so its memory does not grow with the table.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # else Spark cannot tell
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-size // group_bytes) if known else 0)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: idle Python workers stay beside later stages' ones."""
     pa.default_memory_pool().release_unused()

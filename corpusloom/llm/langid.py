@@ -4,7 +4,7 @@ Every byte of a text is labelled: texts are cut into windows of ``WINDOW`` bytes
 and a backward network of gated recurrent units read each window, and both states give
 the language probabilities of each position.  A document's probabilities are the mean over all its
 positions.  Training is numpy on the driver, by backpropagation through time with Adam,
-on excerpts of a bounded, seeded sample of labelled rows; everything else of the text goes
+on windows of a bounded, seeded sample of labelled rows; everything else of the text goes
 through the network in Arrow batches, many windows at a time.
 
 Only text is read for a prediction.  Defined results: ``und`` with score 0 where the text
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import chunks, release_memory
 
@@ -166,40 +167,51 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _label(batches, net: Network, names_out: tuple[str, str]):
+def _label(batches, net: Network):
     for batch in batches:
-        texts, letters = batch.column("_bytes").to_pylist(), np.asarray(batch.column("_letters").to_pylist(), dtype=bool)
+        texts, letters = batch.column("bytes").to_pylist(), np.asarray(batch.column("letters").to_pylist(), dtype=bool)
         p = document_probabilities(net, [t if ok else b"" for t, ok in zip(texts, letters, strict=True)])
         best = p.argmax(axis=1)
         names = ["und" if not ok else net.langs[k] for k, ok in zip(best.tolist(), letters, strict=True)]
         score = np.where(letters, p[np.arange(len(p)), best], 0.0) if len(p) else np.zeros(0)
-        keep = [i for i, c in enumerate(batch.schema.names) if c not in ("_bytes", "_letters")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*[batch.schema.names[i] for i in keep], *names_out])
+        yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=["carried", "predicted", "score"])
         release_memory()
 
 
-def fit(docs: DataFrame, *, sample_rows: int = 2000, excerpt_chars: int = 400, seed: int = 3, **options) -> Network | None:
+def fit(docs: DataFrame, *, sample_rows: int = 2000, seed: int = 3, **options) -> Network | None:
     """Learn from ``text`` and ``lang`` of rows that are not held out (crc32 of doc_id mod 4 is not 2).
 
-    ``sample_rows`` bounds the rows (least seeded hashes of doc_id), ``excerpt_chars`` what is
-    taken of each, from a seeded place.
+    ``sample_rows`` bounds the rows: those with the least seeded hashes of doc_id, whole texts.  The hashes are
+    cut at a bound taken from the row count first, so that tasks return about as many rows in all as are
+    wanted, however large the table is.
     """
-    text = F.col("text")
     key = F.col("doc_id").cast("string")
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where((F.crc32(key) % 4 != 2) & text.rlike(r"\p{L}"))
-    at = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.greatest(F.length(text) - excerpt_chars + 1, F.lit(1))) + 1
-    draw = F.xxhash64(key, F.lit(seed))
-    rows = known.select("doc_id", "lang", F.substring(text, at, F.lit(excerpt_chars)).alias("text"), draw.alias("draw")).orderBy("draw", "doc_id", "text", "lang").limit(sample_rows).collect()
-    net = train([r["text"].encode() for r in rows], [r["lang"] for r in rows], seed=seed, **options) if rows else None
+    draw = F.xxhash64(key, F.lit(seed)).alias("draw")
+    known = docs.where("lang is not null and doc_id is not null").where(F.crc32(key) % 4 != 2)
+    total = known.count()
+    lettered = known.where(F.col("text").rlike(r"\p{L}"))
+    share, least = 4 * sample_rows / max(total, 1), None
+    while least is None:
+        cut = lettered.where(draw < F.lit(int(-(2**63) + share * 2**64))) if share < 1 else lettered
+        draws = sorted(r["draw"] for r in cut.select(draw).orderBy("draw").limit(sample_rows).collect())
+        if len(draws) == sample_rows or share >= 1:
+            least = draws
+        share *= 8
+    if not least:
+        return None
+    rows = lettered.where(draw <= F.lit(least[-1])).select("doc_id", "lang", "text", draw).orderBy("draw", "doc_id", "text", "lang").limit(sample_rows).collect()
+    net = train([r["text"].encode() for r in rows], [r["lang"] for r in rows], seed=seed, **options)
     release_memory()
     return net
 
 
 def identify_languages(docs: DataFrame, net: Network | None, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``carry`` (columns of ``docs``) with the predicted language and its score, called ``names``."""
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    """``carry`` (columns of ``docs``) as a struct ``carried``, with the predicted language and its score, called ``names``."""
+    carried = F.struct(*[F.col(c) for c in carry]).alias("carried")
     if net is None:
-        return docs.select(*carry, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
-    rows = docs.select(*carry, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"), letters.alias("_letters"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return rows.mapInArrow(partial(_label, net=net, names_out=names), f"{fields}, `{names[0]}` string, `{names[1]}` double")
+        return docs.select(carried, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(carried, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"), letters.alias("letters"))
+    schema = StructType([rows.schema["carried"], StructField("predicted", StringType()), StructField("score", DoubleType())])
+    out = rows.mapInArrow(partial(_label, net=net), schema)
+    return out.select("carried", F.col("predicted").alias(names[0]), F.col("score").alias(names[1]))

@@ -64,16 +64,20 @@ def mix_sources(
     max_repeats: int = 2,
     block_tokens: int = 4,
     shards: int = 32,
+    shard_rows: int = 200_000,
     seed: int = 7,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     ``taken`` is the number of the document's tokens in the mix, repeats counted: at most
-    ``max_repeats`` times its size.  ``shards`` is per source; raise it with the largest source.
+    ``max_repeats`` times its size.  A source has ``shards`` shards, or more where they would hold over ``shard_rows`` rows.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), draw.alias("draw"))
-    sizes = materialize(sizes.withColumn("shard", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.lit(shards))))
+    sizes = materialize(sizes)
+    dealt = sizes.groupBy(F.col("source").alias("s2")).agg(F.greatest(F.lit(shards), F.ceil(F.count(F.lit(1)) / shard_rows)).alias("shards"))
+    shard = F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.col("shards"))
+    sizes = sizes.join(materialize(dealt), F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "source", "size", "draw", shard.alias("shard"))
 
     total = Window.partitionBy(F.lit(0))
     targets = source_targets(sizes, weights, share, max_repeats)
@@ -106,8 +110,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Where ``doc_id`` repeats, rows are matched by id, source and size and keep their number.
     """
     key = ["doc_id", "source", "size"]
-    mix = mix_sources(docs, **options).groupBy(*key).agg(F.round(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))).cast("int").alias("copies"))
-    mix = materialize(mix.where("copies > 0").select(*[F.col(k).alias(f"_{k}") for k in key], F.col("copies").alias("_copies")))
+    mix = mix_sources(docs, **options).groupBy(*[F.col(k).alias(f"m_{k}") for k in key]).agg(F.round(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))).cast("int").alias("copies"))
+    mix = materialize(mix.where("copies > 0"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    return docs.join(mix, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", size.alias("size"), F.struct("*").alias("row"))
+    match = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
+    return rows.join(mix, match).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

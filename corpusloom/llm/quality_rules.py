@@ -182,14 +182,15 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000
     """Statistics, ``base_failed``, ``rule`` (0: none) and ``kept`` of every document.
 
     ``sample_rows`` bounds the labelled sample (the least seeded hashes of doc_id); the
-    list is learned from it on the driver.
+    list is learned from it on the driver.  Of labels that repeat a doc_id the least quality counts.
     """
     stats = materialize(text_statistics(docs, ["doc_id"]))
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)
     features = feature_columns()
     taught = stats.join(F.broadcast(known), "doc_id").select("doc_id", (F.col("quality") == 0).alias("low"), *[c.alias(k) for k, c in features.items()])
-    rows = [r.asDict() for r in taught.limit(2 * sample_rows).collect()]
+    taught = taught.groupBy("doc_id").agg(F.min(F.struct("low", *features)).alias("row"))  # one row of repeated doc_ids
+    rows = [{"doc_id": r["doc_id"]} | r["row"].asDict() for r in taught.collect()]
     rows.sort(key=lambda r: ((r["doc_id"] * 0x9E3779B97F4A7C15) % 2**64, *[r[f] for f in FEATURES]))
     rules = learn_rules(rows, **learning)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -29,8 +29,8 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = langid.identify_languages(docs, langid.fit(docs), ["doc_id"])
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(F.crc32(F.col("carried.doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return out.select("carried.doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('7|' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
-e AS (SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % 32 AS shard FROM d),
+e AS (SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(32, ceil(count(*) OVER (PARTITION BY source) / 200000))::BIGINT AS shard FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM e GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[(place - 1) % 3 + 1]::DOUBLE AS weight FROM s),
 l AS (SELECT *, 2.0::DOUBLE * source_size / weight AS room,
@@ -132,14 +132,19 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-OP5_SQL = r"""
-WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM c GROUP BY conv_id
+OP9_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+g AS (
+  SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e
+  WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.a AS vec_id, any_value(coalesce(n.n, 0))::BIGINT AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
 """
 
-ORACLE_SQL = {"op7_mix_sources": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op9_vector_dedup": OP9_SQL, "op7_mix_sources": OP7_SQL, "op10_substring_dedup": OP10_SQL}

@@ -217,8 +217,8 @@ def _marked(df: DataFrame, marks: DataFrame, key: str, side: str) -> DataFrame:
     return df.join(marks.select(F.col("content").alias(key), *[F.col(c).alias(c + side) for c in ("size", *KS)]), key)
 
 
-def near_links(marks: DataFrame, cells: DataFrame, verified, similarity: float) -> DataFrame:
-    """Verified links (a, b) that connect what shares a cell and is similar (marks: content, size, segments; cells: content, cell).
+def near_groups(marks: DataFrame, cells: DataFrame, verified, similarity: float) -> DataFrame:
+    """(content, g): components of what shares a cell and is similar (marks: content, size, segments; cells: content, cell).
 
     Each member of a cell is verified against the cell's head, the member that meets most others over all its
     cells.  Then members that the head's component lacks are compared with all of the cell outside their own.
@@ -233,7 +233,7 @@ def near_links(marks: DataFrame, cells: DataFrame, verified, similarity: float)
     pairs = held.where("head <> content").select(F.col("head").alias("a"), F.col("content").alias("b")).distinct()
     links = verified(_marked(_marked(pairs, marks, "a", "1"), marks, "b", "2").where(within_reach(similarity)).select("a", "b"))
     group = components(held.select(F.col("content").alias("node")).distinct(), links)
-    mates = materialize(held.join(group.select(F.col("node").alias("content"), F.col("component").alias("g")), "content", "left").select("cell", "content", F.coalesce("g", "content").alias("g"), (F.col("head") == F.col("content")).alias("first")))
+    held_groups = mates = materialize(held.join(group.select(F.col("node").alias("content"), F.col("component").alias("g")), "content", "left").select("cell", "content", F.coalesce("g", "content").alias("g"), (F.col("head") == F.col("content")).alias("first")))
     mixed = mates.groupBy("cell").agg(F.max(F.when(F.col("first"), F.col("g"))).alias("top"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("cell", "top")
     mates = mates.where("not first").join(mixed, "cell")
     mates = _marked(mates.select("cell", F.col("content").alias("a"), "g", "top"), marks, "a", "1")
@@ -241,7 +241,13 @@ def near_links(marks: DataFrame, cells: DataFrame, verified, similarity: float)
     other = mates.select("cell", F.col("a").alias("b"), F.col("g").alias("h"), *[F.col(c + "1").alias(c + "2") for c in ("size", *KS)])
     once = (F.col("h") == F.col("top")) | (F.col("a") < F.col("b"))
     more = verified(rest.join(other, "cell").where((F.col("g") != F.col("h")) & once & within_reach(similarity)).select("a", "b").distinct())
-    return links.unionByName(more)
+    known = held_groups.select("content", "g").distinct()
+    if not more.limit(1).count():
+        return known
+    of = lambda c: known.select(F.col("content").alias(c), F.col("g").alias("g" + c))
+    joined = materialize(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
+    over = components(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct(), joined)
+    return known.join(over.select(F.col("node").alias("g"), "component"), "g", "left").select("content", F.coalesce("component", "g").alias("g"))
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -273,8 +279,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
         side = lambda c, s: sets.select(F.col("content").alias(c), F.col("shingles").alias(s))
         return materialize(close.join(side("b", "s2"), "b").join(side("a", "s1"), "a").mapInArrow(partial(_similar, similarity=similarity), "a long, b long"))
 
-    links = near_links(reps.drop("cells"), reps.select("content", F.explode("cells").alias("cell")), verified, similarity)
-    grouped = components(reps.select(F.col("content").alias("node")), links).select(F.col("node").alias("content"), F.col("component").alias("g"))
+    grouped = near_groups(reps.drop("cells"), reps.select("content", F.explode("cells").alias("cell")), verified, similarity)
     ids = rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     named = materialize(ids.join(grouped, "content", "left").select("content", "doc_id", F.coalesce("g", "content").alias("g")))
     least = named.groupBy("g").agg(F.min(F.struct("doc_id", "content")).alias("first"))

@@ -29,10 +29,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, is_in, materialize, mix64, packed, range_of, release_memory, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
+from .common import NO_ID, chunks, group_count, is_in, materialize, mix64, packed, range_of, release_memory, rolling, runs_of, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -154,7 +155,7 @@ class FingerprintIndex:
     runs as a Parquet table.
     """
 
-    def __init__(self, spark: SparkSession, *, window: int = 20, gram: int = 5, ranges: int, groups: int, max_runs: int = 4):
+    def __init__(self, spark: SparkSession, *, window: int = 20, gram: int = 5, ranges: int, groups: int, max_runs: int = 2):
         if not 0 < gram < window:
             raise ValueError("gram must be shorter than window")
         self.spark, self.window, self.gram, self.ranges, self.groups, self.max_runs = spark, window, gram, ranges, groups, max_runs
@@ -220,10 +221,16 @@ def _verify_rows(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table, wi
     h1, h2, doc, pos = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=t) for i, t in enumerate((_U, np.uint32, np.int64, np.int64)))
     order, new = _group_firsts(h1, h2, doc, pos)
     at = order[new]
+    at = at[np.lexsort((pos[at], doc[at], range_of(h1[at], ranges)))]
     h1, h2, doc, pos = h1[at], h2[at], doc[at], pos[at]
     r = range_of(h1, ranges)
     cut = runs_of(r)
-    blobs = packed([h1, h2, doc, pos.astype(np.uint32)], np.append(cut, len(r)))
+    step = np.diff(doc, prepend=0)
+    step[cut] = doc[cut]
+    zip_ = zstandard.ZstdCompressor(level=1)
+    hashes, ends = packed([h1, h2], np.append(cut, len(r))), np.append(cut, len(r)).tolist()
+    places = [pa.array([zip_.compress(x[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary()) for x in (step, pos.astype(np.uint32))]
+    blobs = [*hashes, *places]
     db = pa.array(np.full(len(cut), key[0].as_py()), pa.int32())
     return pa.table([pa.array(r[cut], pa.int32()), db, *blobs], names=["r", "db", "h1", "h2", "doc", "pos"])
 
@@ -232,7 +239,10 @@ def _first_of_all(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Return each hash to the group that holds its first (doc_id, start)."""
     size = [len(x) // 8 for x in rows["h1"].to_pylist()]
     db = np.repeat(np.asarray(rows["db"]), size)
-    h1, h2, doc, pos = unpacked(rows["h1"], _U), unpacked(rows["h2"], np.uint32), unpacked(rows["doc"], np.int64), unpacked(rows["pos"], np.uint32)
+    unzip = zstandard.ZstdDecompressor().decompress
+    h1, h2 = unpacked(rows["h1"], _U), unpacked(rows["h2"], np.uint32)
+    doc = np.concatenate([np.zeros(0, dtype=np.int64), *[np.cumsum(np.frombuffer(unzip(x), dtype=np.int64)) for x in rows["doc"].to_pylist()]])
+    pos = np.concatenate([np.zeros(0, dtype=np.uint32), *[np.frombuffer(unzip(x), dtype=np.uint32) for x in rows["pos"].to_pylist()]])
     order, new = _group_firsts(h1, h2, doc, pos)
     first = order[new]
     back = first[np.argsort(db[first], kind="stable")]
@@ -311,14 +321,14 @@ def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     return out
 
 
-def remove_repeated_windows(docs: DataFrame, *, window: int = 20, gram: int = 5, batches: int = 2, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, *, window: int = 20, gram: int = 5, batches: int = 3, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept of every document (kept: the text, or its SHA-256 with ``digest``), and ``carry``.
 
     Where nothing is removed ``kept`` is the text itself, else the kept words joined by a space.
     The table is fed to the index in ``batches`` ranges of doc_id, each merged with what is there.
     """
     spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
+    parts = group_count(docs)
     index = FingerprintIndex(spark, window=window, gram=gram, ranges=parts, groups=parts)
     marks = [index.add(b) for b in in_batches(docs.select("doc_id", "text"), batches)]
     all_marks = marks[0]

@@ -12,8 +12,8 @@ left match over subtrees tells each suffix how far its repeats reach to both sid
 with equal text on both sides stand as one with a count.
 
 Buckets with more than ``bucket_cap`` anchors (known from the first exchange) are not
-gathered: their windows are hashed whole and counted by content, one entry per group and hash,
-which gives the same removed bytes from any number of tasks.
+gathered: their windows are hashed whole, twice and independently, and counted by content, one entry per group
+and hash, which gives the same removed bytes from any number of tasks.
 
 Defined results: a null text is empty; rows that repeat a doc_id or a text are separate documents, so
 exact copies remove each other; null doc_ids come back as null; empty tables give empty results; extra
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, is_in, materialize, mix64, packed, range_of, rolling, runs_of, shuffle_partitions, unpacked, window_least, winnow, with_groups
+from .common import NO_ID, chunks, group_count, is_in, materialize, mix64, packed, range_of, rolling, runs_of, unpacked, window_least, winnow, with_groups
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -60,6 +60,10 @@ class Bytes:
         self.doc = np.searchsorted(self.first, self.at, side="right") - 1
         self.prints = mix64(self.grams[self.at])  # mixed again: least hashes crowd into the low ranges
 
+    def whole(self, length: int) -> list[np.ndarray]:
+        """Two independent hashes of all windows of ``length`` bytes."""
+        return [rolling(self.values, length, 0xD1342543DE82EF95), rolling(mix64(self.values), length, 0xDA942042E4DD58B5)]
+
 
 def _pack(h: np.ndarray, g: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Distinct (hash, group) by range, with how often each occurs."""
@@ -139,7 +143,8 @@ def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table, lengt
         doc.append(d + a)
         pos.append(at - low)
         if len(hot):
-            whole.append(rolling(w.values, length, 0xD1342543DE82EF95)[np.flatnonzero(w.valid & is_in(mix64(w.least), hot))])
+            at = np.flatnonzero(w.valid & is_in(mix64(w.least), hot))
+            whole += [h[at] for h in w.whole(length)]
     h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=_U)
     doc = np.concatenate(doc) if len(h) else np.zeros(0, dtype=np.int64)
     pos = np.concatenate(pos) if len(h) else np.zeros(0, dtype=np.int64)
@@ -344,8 +349,8 @@ def _clean(key: tuple[pa.Scalar, ...], docs: pa.Table, rows: pa.Table, length: i
         if len(hot_hashes):
             w = Bytes(texts[a:b], length, gram)
             at = np.flatnonzero(w.valid)
-            full = rolling(w.values, length, 0xD1342543DE82EF95)
-            at = at[is_in(full[at], hot_hashes)]
+            for h in w.whole(length):  # both hashes occur again: 128 bits
+                at = at[is_in(h[at], hot_hashes)]
             starts, ends = np.concatenate([starts, at]), np.concatenate([ends, at + length])
         step = np.zeros(int(first[-1]) + 1, dtype=np.int64)
         np.add.at(step, starts, 1)
@@ -391,7 +396,7 @@ def _groups(key: tuple[pa.Scalar, ...], rows: pa.Table, length: int) -> pa.Table
 def _marks_and_contexts(docs: DataFrame, length: int, gram: int, bucket_cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     if not 8 <= gram < length:
         raise ValueError("gram must be at least 8 bytes and shorter than length")
-    parts = 2 * shuffle_partitions(docs.sparkSession)
+    parts = group_count(docs)
     grouped = with_groups(docs, parts)
     counted = grouped.mapInArrow(partial(_anchors, length=length, gram=gram, ranges=parts), COUNTED)
 
@@ -402,7 +407,7 @@ def _marks_and_contexts(docs: DataFrame, length: int, gram: int, bucket_cap: int
     return grouped, marks, grouped.groupBy("db").cogroup(marks.groupBy("db")).applyInArrow(partial(_contexts, length=length, gram=gram, ranges=parts), CONTEXTS)
 
 
-def maximal_repeats(docs: DataFrame, *, length: int = 200, gram: int = 30, bucket_cap: int = 200_000) -> DataFrame:
+def maximal_repeats(docs: DataFrame, *, length: int = 200, gram: int = 30) -> DataFrame:
     """(anchor, length, occurrences) of the maximal repeat groups around every anchor, all occurrences listed.
 
     Lengths are cut where the surroundings of an anchor end (``length`` bytes to either side); an
@@ -411,7 +416,7 @@ def maximal_repeats(docs: DataFrame, *, length: int = 200, gram: int = 30, bucke
     def groups(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         return _groups(key, rows, length)
 
-    contexts = _marks_and_contexts(docs, length, gram, bucket_cap)[2]
+    contexts = _marks_and_contexts(docs, length, gram, 1 << 62)[2]  # every bucket is gathered
     return contexts.groupBy("r").applyInArrow(groups, "anchor long, length long, occurrences array<struct<db:int,doc:long,start:long>>")
 
 

@@ -8,7 +8,8 @@ held against a threshold.  Pages are reduced to host sums and host pairs first,
 row; nothing is collected.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and takes the
-method's verdict for the empty host (allow: it has no seeds); null html has no links; repeated rows
+method's verdict for the empty host (allow: it has no seeds); rules of equal length that fit are decided by the greater
+rule text, then verdict; null html has no links; repeated rows
 get equal results; empty tables give empty results; extra columns are ignored.
 """
 
@@ -56,22 +57,31 @@ def host_links(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return named.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(hosts: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, good, bad: masses that sum to 1 each or are all 0)."""
+def propagate(hosts: DataFrame, links: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 500) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, good, bad: masses that sum to 1 each or are all 0).
+
+    The series of what flows from the seeds is summed until a round carries less than ``tolerance`` of the mass.
+    Mass that reaches a host without links onward returns to the seeds in proportion, so sums are scaled to 1.
+    """
     out = links.groupBy("src").agg(F.sum("weight").alias("out"))
     into = links.groupBy("dst").agg(F.sum("weight").alias("into"))
-    links = materialize(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out")).alias("w_out"), (F.col("weight") / F.col("into")).alias("w_in")))
-    state = materialize(hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")))
-    for _ in range(rounds):
-        zero = F.lit(0.0)
-        along = state.join(links, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (damping * F.col("trust") * F.col("w_out")).alias("trust"), zero.alias("distrust"))
-        against = state.join(links, F.col("host") == F.col("dst")).select(F.col("src").alias("host"), zero.alias("trust"), (damping * F.col("distrust") * F.col("w_in")).alias("distrust"))
-        seeds = hosts.select("host", ((1 - damping) * F.col("good")).alias("trust"), ((1 - damping) * F.col("bad")).alias("distrust"))
-        state = materialize(along.unionByName(against).unionByName(seeds).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    return state
-
-
-def filter_urls(pages: DataFrame, *, rules=DEFAULT_RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+    shares = links.join(out, "src").join(into, "dst")
+    along = shares.select(F.col("src").alias("from"), F.col("dst").alias("to"), (damping * F.col("weight") / F.col("out")).alias("w_t"), F.lit(0.0).alias("w_d"))
+    against = shares.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("w_t"), (damping * F.col("weight") / F.col("into")).alias("w_d"))
+    steps = materialize(along.unionByName(against).groupBy("from", "to").agg(F.sum("w_t").alias("w_t"), F.sum("w_d").alias("w_d")))
+    zero, names = F.lit(0.0), ["host", "trust", "distrust", "t", "d"]
+    state = materialize(hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"), F.col("good").alias("t"), F.col("bad").alias("d")))
+    for _ in range(most_rounds):
+        flow = state.where("t > 0 or d > 0").join(steps, F.col("host") == F.col("from")).select(F.col("to").alias("host"), zero.alias("trust"), zero.alias("distrust"), (F.col("t") * F.col("w_t")).alias("t"), (F.col("d") * F.col("w_d")).alias("d"))
+        sums = flow.unionByName(state.withColumns({"t": zero, "d": zero})).groupBy("host").agg(*[F.sum(c).alias(c) for c in names[1:]])
+        state = materialize(sums.select("host", (F.col("trust") + F.col("t")).alias("trust"), (F.col("distrust") + F.col("d")).alias("distrust"), "t", "d"))
+        moved, trust, distrust = state.agg(F.coalesce(F.greatest(F.sum("t"), F.sum("d")), zero), F.coalesce(F.sum("trust"), zero), F.coalesce(F.sum("distrust"), zero)).first()
+        if moved < tolerance:
+            return state.select("host", (F.col("trust") / (trust or 1.0)).alias("trust"), (F.col("distrust") / (distrust or 1.0)).alias("distrust"))
+    raise RuntimeError(f"trust did not settle in {most_rounds} rounds")
+
+
+def filter_urls(pages: DataFrame, *, rules=DEFAULT_RULES, threshold: float = 0.5, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """page_id, host, path, rule, verdict, distrust (the host's share, 0 to 1) of every page."""
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html"))
@@ -81,7 +91,7 @@ def filter_urls(pages: DataFrame, *, rules=DEFAULT_RULES, threshold: float = 0.5
     total = hosts.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)).alias(a)
     seeds = materialize(hosts.crossJoin(F.broadcast(total)).select("host", share("good", "all_good"), share("bad", "all_bad")))  # one row of sums
-    state = propagate(seeds, materialize(host_links(rows.select("host", "html"), seeds)), damping=damping, rounds=rounds)
+    state = propagate(seeds, materialize(host_links(rows.select("host", "html"), seeds)), damping=damping, tolerance=tolerance)
     mass = F.col("trust") + F.col("distrust")
     judged = state.select(F.col("host").alias("h2"), F.round(F.when(mass > 0, F.col("distrust") / mass).otherwise(0.0), 9).alias("distrust"))
     out = rows.drop("html").join(materialize(judged), F.col("host") == F.col("h2"))

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, db string, kept string, score string, lang_pred string, rep string, n_words string, component string, label string, draw string, word string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, db string, kept string, score string, lang_pred string, rep string, n_words string, component string, label string, draw string, word string, _bytes string, _id string, _size string, _letters string, _predicted string, _confidence string, _content string, _doc_id string, _source string, carried string, row string, rest string, k1 string, shards string, copies string"
 
 
 def texts():
@@ -21,8 +21,8 @@ def rows():
     for i, t in enumerate(texts()):
         lang = [None, "en", "fr", "de"][i % 4]
         source = [None, "s1", "s2", "s1", "hot", "hot"][i % 6]
-        out.append((i, t, lang, source, len(t) if t else 0, *["clash"] * 12))
-    out.append((3, out[3][1], "en", "s1", 1, *["clash"] * 12))  # a repeated row
+        out.append((i, t, lang, source, len(t) if t else 0, *["clash"] * 27))
+    out.append((3, out[3][1], "en", "s1", 1, *["clash"] * 27))  # a repeated row
     return out
 
 

@@ -81,12 +81,12 @@ URLS = [
 
 def test_url_parts_and_rules(spark):
     df = spark.createDataFrame([(i, u, "<a href='http://h/x'>", "clash") for i, u, *_ in URLS], "page_id long, url string, html string, host string")
-    got = {r["page_id"]: r for r in urls.filter_urls(df.drop("host")).collect()}
+    got = {r["page_id"]: r for r in urls.filter_urls(df.drop("host"), tolerance=0.2).collect()}
     for i, _, (host, path), rule in URLS:
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
         if rule:
             assert got[i]["verdict"] == ("block" if rule in ("example.org/es/", "example.org/en/1", "com/de/") else "allow")
-    assert urls.filter_urls(df).count() == len(URLS)
+    assert urls.filter_urls(df, tolerance=0.2).count() == len(URLS)
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
@@ -101,14 +101,13 @@ def test_propagation_against_matrices(spark):
     good[0], bad[5] = 1, 1
     out = np.divide(w, w.sum(1, keepdims=True), where=w.sum(1, keepdims=True) > 0, out=np.zeros_like(w))
     into = np.divide(w, w.sum(0, keepdims=True), where=w.sum(0, keepdims=True) > 0, out=np.zeros_like(w))
-    t, d = good, bad
-    for _ in range(12):
-        t, d = 0.15 * good + 0.85 * out.T @ t, 0.15 * bad + 0.85 * into @ d
+    t, d = np.linalg.inv(np.eye(n) - 0.85 * out.T) @ good, np.linalg.inv(np.eye(n) - 0.85 * into) @ bad
+    t, d = t / t.sum(), d / d.sum()
     hosts = spark.createDataFrame([(f"h{i}", float(good[i]), float(bad[i])) for i in range(n)], "host string, good double, bad double")
     links = spark.createDataFrame([(f"h{a}", f"h{b}", float(w[a, b])) for a in range(n) for b in range(n) if w[a, b]], "src string, dst string, weight double")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(hosts, links).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(hosts, links, tolerance=1e-4).collect()}
     for i in range(n):
-        assert np.allclose(got[f"h{i}"], (t[i], d[i]))
+        assert np.allclose(got[f"h{i}"], (t[i], d[i]), atol=1e-3)
 
 
 def test_host_links(spark):
@@ -168,13 +167,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in seen[0].collect()} <= lettered
     one, two = ([r["doc_id"] for r in seen[k].collect()] for k in (0, 1))
     assert set(two) <= set(one) and len(two) == len(set(two)) and 1 not in two and 3 not in two
-    passages = set()
+    before, passages = {r["doc_id"]: r["text"] for r in seen[1].collect()}, set()
     for r in seen[2].orderBy("doc_id").collect():
-        w = r["text"].split()
-        assert r["n_chars"] == len(r["text"]) and w
+        assert r["n_chars"] == len(r["text"]) and r["text"].split()
+    after = {r["doc_id"]: r["text"] for r in seen[2].collect()}
+    for i in sorted(before):  # each later window of 20 words that stood before is gone
+        w = before[i].encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in passages:
+                gone[k : k + 20] = [True] * 20
+            passages.add(key)
+        left = [x for x, g in zip(w, gone, strict=True) if not g]
+        assert after.get(i, "").encode().split() == left
     texts = {r["doc_id"]: r["text"] for r in seen[2].collect()}
     copies = seen[3].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("t")).collect()
-    assert all(1 <= r["n"] <= 2 and texts[r["doc_id"]] == r["t"] for r in copies) and not passages
+    assert all(1 <= r["n"] <= 2 and texts[r["doc_id"]] == r["t"] for r in copies)
     assert seen[4].count() == seen[3].count() and seen[4].where("not round_trip").count() == 0
 
 
