@@ -33,7 +33,7 @@ from .common import chunks, mix64, release_memory, stream64
 
 MARK = "▁"
 LONG = 96
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -282,17 +282,13 @@ def _encode(batches, model: PieceModel):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         rest = [i for i, c in enumerate(batch.schema.names) if c != "text"]
-        ids, whole = [], []
-        size = np.zeros(len(texts), dtype=np.int64)
+        names = [*[batch.schema.names[i] for i in rest], "n_ids", "ids", "round_trip"]
         for a, b in chunks(texts, CHUNK):
             x, ends = enc.encode(texts[a:b])
-            ids.append(x)
-            size[a:b] = np.diff(ends)
-            whole += [d == t.encode("utf-8", "surrogatepass") for d, t in zip(enc.decode(x, ends), texts[a:b], strict=True)]
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(size, pa.int64()), lists, pa.array(whole, pa.bool_())], names=[*[batch.schema.names[i] for i in rest], "n_ids", "ids", "round_trip"])
-        release_memory()
+            whole = [d == t.encode("utf-8", "surrogatepass") for d, t in zip(enc.decode(x, ends), texts[a:b], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in rest], pa.array(np.diff(ends), pa.int64()), lists, pa.array(whole, pa.bool_())], names=names)
+            release_memory()
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, carry: list[str]) -> DataFrame:

@@ -99,7 +99,7 @@ FINGERPRINTS = "r int, hashes binary, groups binary, several binary"
 MERGED = "kind string, r int, hashes binary, groups binary, several binary"
 
 
-def _merge(key: tuple[pa.Scalar, ...], new: pa.Table, runs: pa.Table) -> pa.Table:
+def _merged(key: tuple[pa.Scalar, ...], new: pa.Table, runs: pa.Table) -> pa.Table:
     """Merge-join one range of a batch with the runs: marks for groups, and the next run.
 
     In runs, groups is the holder of the single occurrence; several: more are known (and marked)."""
@@ -148,6 +148,12 @@ def _compacted(key: tuple[pa.Scalar, ...], runs: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()], pa.int32()), *packed([h[at], g[at], s[at]], cut)], names=["r", "hashes", "groups", "several"])
 
 
+def _merge(key: tuple[pa.Scalar, ...], new: pa.Table, runs: pa.Table) -> pa.Table:
+    out = _merged(key, new, runs)
+    release_memory()
+    return out
+
+
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints; ``add`` returns marks (db, hashes).
 
@@ -216,7 +222,7 @@ def _group_firsts(h1, h2, doc, pos):
 WINDOWS = "r int, db int, h1 binary, h2 binary, doc binary, pos binary"
 
 
-def _verify_rows(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table, window: int, gram: int, ranges: int) -> pa.Table:
+def _verified_rows(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table, window: int, gram: int, ranges: int) -> pa.Table:
     parts = [c[4:] for c in _candidates(docs, marks, window, gram)]
     h1, h2, doc, pos = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=t) for i, t in enumerate((_U, np.uint32, np.int64, np.int64)))
     order, new = _group_firsts(h1, h2, doc, pos)
@@ -235,7 +241,7 @@ def _verify_rows(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table, wi
     return pa.table([pa.array(r[cut], pa.int32()), db, *blobs], names=["r", "db", "h1", "h2", "doc", "pos"])
 
 
-def _first_of_all(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def _firsts(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Return each hash to the group that holds its first (doc_id, start)."""
     size = [len(x) // 8 for x in rows["h1"].to_pylist()]
     db = np.repeat(np.asarray(rows["db"]), size)
@@ -250,6 +256,18 @@ def _first_of_all(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(db[back][cut], pa.int32()), *packed([h1[back], h2[back]], np.append(cut, len(back)))], names=["db", "h1", "h2"])
 
 
+def _verify_rows(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table, **options) -> pa.Table:
+    out = _verified_rows(key, docs, marks, **options)
+    release_memory()
+    return out
+
+
+def _first_of_all(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    out = _firsts(key, rows)
+    release_memory()
+    return out
+
+
 #: doc_id is null where it is NO_ID.
 CLEANED = "doc_id long, n_words long, n_removed long, kept binary"
 
