@@ -1,7 +1,8 @@
 """Personal data: pattern recognizers, redaction and review decisions.
 
 Names of persons need a language model that is not available offline; a title before a capitalized
-word stands in for it (``PERSON_AFTER_TITLE``) and goes to review, never to automatic redaction.
+word stands in for it (``PERSON_AFTER_TITLE``) and goes to review, never to automatic redaction.  Licence
+numbers with a check digit are not recognized.
 """
 
 from __future__ import annotations
@@ -9,36 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Category, replacement, pattern (the same in Java and RE2 syntax).
-RECOGNIZERS = [
-    ("EMAIL_ADDRESS", "[EMAIL]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("URL", "[URL]", r"https?://[^\s<>\"]+"),
-    ("IP_ADDRESS", "[IP]", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
-    ("FR_NIR", "[IDENTIFIER]", r"\b[12]\s?[0-9]{2}(?:\s?[0-9]{2}){5}\s?[0-9]{2}\b"),
-    ("PATIENT_ID", "[IDENTIFIER]", r"\b(?:patient\s*(?:id|identifier)|medical\s*record\s*(?:id|number)|mrn)\s*[:=#-]?\s*[A-Za-z0-9_-]{3,}\b"),
-    ("DATE_OF_BIRTH", "[DATE]", r"\b(?:born|date\s+of\s+birth|dob|né|née)\s*(?:on|le|:|=)?\s*(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})\b"),
-    ("PHONE_NUMBER", "[PHONE]", r"\+?[0-9]{2,3}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}\b"),
-]
+from .fixed import CASED, RECOGNIZERS
+
 PERSON_AFTER_TITLE = r"\b(?:M\.|Mr\.?|Mme|Mrs\.?|Ms\.?|Dr\.?|Prof\.?)\s+[A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+)?"
 BIRTH_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d"]
 
 
-def _pattern(category: str, pattern: str) -> str:
-    return pattern if category in ("EMAIL_ADDRESS", "URL", "IP_ADDRESS", "FR_NIR", "PHONE_NUMBER") else "(?i)" + pattern
+def _pattern(category: str, patterns: list[str]) -> str:
+    joined = patterns[0] if len(patterns) == 1 else "|".join(f"(?:{p})" for p in patterns)
+    return ("(?U)" if category in CASED else "(?iU)") + joined
 
 
 def matches(text: Column) -> Column:
     """array<struct<category, value_hash>> of all recognizers, in their order."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(_pattern(c, p)), F.lit(0)), lambda v, c=c: F.struct(F.lit(c).alias("category"), F.sha2(v, 256).alias("value_hash"))) for c, _, p in RECOGNIZERS]
+    def found_as(category: str):
+        return lambda v: F.struct(F.lit(category).alias("category"), F.sha2(v, 256).alias("value_hash"))
+
+    found = [F.transform(F.regexp_extract_all(text, F.lit(_pattern(c, p)), F.lit(0)), found_as(c)) for c, _, p in RECOGNIZERS]
     return F.flatten(F.array(*found))
 
 
+def categories(text: Column) -> Column:
+    """The sorted categories found in a text; PERSON where a title stands before a name."""
+    tests = {c: text.rlike(_pattern(c, p)) for c, _, p in RECOGNIZERS} | {"PERSON": text.rlike(PERSON_AFTER_TITLE)}
+    return F.array_compact(F.array(*[F.when(tests[c], c) for c in sorted(tests)]))
+
+
 def redact(text: Column) -> Column:
     for c, token, p in RECOGNIZERS:
         text = F.regexp_replace(text, _pattern(c, p), token)
     return text
 
 
+def residual(redacted: Column) -> Column:
+    """Categories that a scan still finds in a redacted text, names for review aside; none are expected."""
+    return F.array_except(categories(redacted), F.array(F.lit("PERSON")))
+
+
 def masked(value: Column) -> Column:
     """First and last character with stars between; all stars up to two."""
     n = F.length(value)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import GROUNDING_GENERIC
+
 BLANKS = r"[ \t\n\x0B\f\r]+"
 #: Accented letters of French, German and Spanish and their plain forms.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -56,15 +58,18 @@ def sentence_count(text: Column) -> Column:
 
 
 def has_repeated_sentence(text: Column) -> Column:
-    s = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[.!?]+"), lambda x: F.trim(x)), lambda x: x != "")
+    """Does a sentence of four words or more stand twice, letter case aside."""
+    s = F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?]\s+"), lambda x: word_count(x) >= 4)
+    s = F.transform(s, lambda x: F.lower(key_text(x)))
     return F.size(F.array_distinct(s)) < F.size(s)
 
 
 def grounding(text: Column, context: Column) -> Column:
-    """Share of words of 7 letters or more whose first 6 letters stand in the context; null without such words."""
-    words = F.filter(tokens(text), lambda w: F.length(w) >= 7)
-    found = F.filter(words, lambda w: F.instr(fold_term(context), F.substring(w, 1, 6)) > 0)
-    return F.when(F.size(words) > 0, F.size(found) / F.size(words))
+    """Share of the words of 7 letters or more, generic ones aside, whose first 6 letters stand in the context; 1 without such words."""
+    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)[a-zà-öø-ÿ]{7,}"), F.lit(0)), F.lower)
+    words = F.filter(words, lambda w: ~w.isin(GROUNDING_GENERIC))
+    found = F.filter(words, lambda w: F.instr(F.lower(F.coalesce(context, F.lit(""))), F.substring(w, 1, 6)) > 0)
+    return F.when(F.size(words) > 0, F.size(found) / F.size(words)).otherwise(F.lit(1.0))
 
 
 def is_missing(value: Column) -> Column:

@@ -103,10 +103,10 @@ def repeated_ids(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT lang, unnest(string_split(lower(text[1:200]), ' ')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL)
+WITH w AS (SELECT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL)
 SELECT lang, word, n, 100.0 * n / sum(n) OVER (PARTITION BY lang) AS percent FROM c""")
 def word_percent_by_lang(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower(F.substring("text", 1, 200)), " ")).alias("word")).where("word <> ''")
+    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower(F.col("text")), " ")).alias("word")).where("word <> ''")
     return aggregate.group_share(w, ["lang", "word"], ["lang"]).select("lang", "word", "n", (100 * F.col("share")).alias("percent"))
 
 

@@ -15,13 +15,13 @@ def last_assistant_turn(spark, sf_dir):
     return c.select("conv_id", records.last_assistant(F.col("m")).alias("answer")).where("answer is not null")
 
 
-@query("""
-SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(source), ''), nullif(trim(text[1:40]), '')) AS input,
+@query(r"""
+SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(source), ''), nullif(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')), '')) AS input,
   concat_ws('_', upper(lang), 'P' || (doc_id % 3 + 1)) AS category, doc_id % 3 + 1 AS priority FROM documents""")
 def chat_assembly(spark, sf_dir):
     p = F.concat(F.lit("P"), (F.col("doc_id") % 3 + 1).cast("string"))
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", records.assemble_input(F.col("source"), F.substring("text", 1, 40)).alias("input"), F.concat_ws("_", F.upper("lang"), p).alias("category"), records.priority_number(p).alias("priority"))
+    return d.select("doc_id", records.assemble_input(F.col("source"), F.col("text")).alias("input"), F.concat_ws("_", F.upper("lang"), p).alias("category"), records.priority_number(p).alias("priority"))
 
 
 @query(r"""

@@ -83,11 +83,11 @@ def turn_jaccard(spark, sf_dir):
 @query(f"""
 WITH k AS (SELECT doc_id, source, length(text) // 100 AS bucket, {NORM} AS t, length(text) AS n FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY t, doc_id) AS rn FROM k)
-SELECT a.doc_id AS "left", b.doc_id AS "right" FROM r a JOIN r b ON a.source = b.source AND a.bucket = b.bucket AND b.rn BETWEEN a.rn + 1 AND a.rn + 5 AND a.t[1:20] = b.t[1:20]""")
+SELECT a.doc_id AS "left", b.doc_id AS "right" FROM r a JOIN r b ON a.source = b.source AND a.bucket = b.bucket AND b.rn BETWEEN a.rn + 1 AND a.rn + 5 AND a.t = b.t""")
 def sorted_neighbourhood_pairs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(F.length("text") / 100).alias("bucket"), text.normalized(F.col("text")).alias("t"))
     pairs = window.look_ahead_pairs(d, ["source", "bucket"], ["t", "doc_id"], "doc_id")
-    head = d.select("doc_id", F.substring("t", 1, 20).alias("head"))
+    head = d.select("doc_id", F.sha2("t", 256).alias("head"))
     j = pairs.join(head.select(F.col("doc_id").alias("left"), F.col("head").alias("h1")), "left").join(head.select(F.col("doc_id").alias("right"), F.col("head").alias("h2")), "right")
     return j.where("h1 = h2").select("left", "right")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import flags, privacy, records, text
+from corpusloom.functions import fixed, flags, privacy, records, text
 from corpusloom.functions.fingerprints import record_id, seeded_order
 
 from .registry import query, table
@@ -25,12 +25,10 @@ K = r"trim(regexp_replace(coalesce(answer, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 @query(rf"""
 SELECT conv_id, turn, array_to_string(list_filter([
   CASE WHEN k = '' THEN 'EMPTY_ANSWER' END,
-  CASE WHEN regexp_matches(lower(k), '^(see |visit |click |voir |consultez )') THEN 'NAVIGATION_ONLY_ANSWER' END,
-  CASE WHEN k LIKE '%?' AND length(k) < 120 THEN 'QUESTION_AS_ANSWER' END,
-  CASE WHEN regexp_matches(lower(k), '^(these resources address|these resources from medlineplus|ces ressources concernent|les ressources suivantes)') THEN 'RESOURCE_ONLY_ANSWER' END,
-  CASE WHEN lower(k) IN ('topic', 'topics', 'sujet', 'sujets', 'resource', 'resources', 'ressource', 'ressources') THEN 'UNINFORMATIVE_ANSWER' END,
-  CASE WHEN k <> '' AND len(string_split(k, ' ')) <= 3 THEN 'VERY_SHORT_OPEN_ANSWER' END], lambda x: x IS NOT NULL), ',') AS flags
-FROM (SELECT conv_id, turn, {K} AS k FROM {PAIRS})""")
+  CASE WHEN k LIKE '%?' AND n < 120 THEN 'QUESTION_AS_ANSWER' END,
+  CASE WHEN {" OR ".join(f"starts_with(lower(k), '{o}')" for o in fixed.RESOURCE_OPENINGS)} THEN 'RESOURCE_ONLY_ANSWER' END,
+  CASE WHEN lower(k) IN ({", ".join(f"'{w}'" for w in fixed.UNINFORMATIVE)}) THEN 'UNINFORMATIVE_ANSWER' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM (SELECT conv_id, turn, {K} AS k, length(regexp_replace(regexp_replace(regexp_replace(coalesce(answer, ''), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS n FROM {PAIRS})""")
 def open_answer_flags(spark, sf_dir):
     return question_answers(spark, sf_dir).select("conv_id", "turn", F.array_join(flags.open_answer_flags(F.col("answer")), ",").alias("flags"))
 
@@ -42,12 +40,15 @@ def answer_leakage(spark, sf_dir):
     return question_answers(spark, sf_dir).select("conv_id", "turn", flags.target_leakage(F.col("question"), F.col("answer")).alias("leaks"))
 
 
-@query(r"""
-SELECT doc_id, regexp_matches(text, '<\|(?:im_start|im_end|endoftext|eot_id|start_header_id|end_header_id)\|>|\[/?INST\]') AS chat_token,
-  regexp_matches(text, '(?i)\b(?:figure|image|illustration|tableau|annexe|fig\.?|table|appendix)\s*(?:above|below|[0-9]+)') AS external FROM documents""")
+EXTERNAL_SQL = fixed.EXTERNAL_REFERENCE.replace("'", "''")
+
+
+@query(rf"""
+SELECT doc_id, regexp_matches(text, '{fixed.CHAT_TOKEN}') AS chat_token, regexp_matches(text, '{EXTERNAL_SQL}') AS external FROM documents""")
 def control_token_flags(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.rlike(flags.CHAT_TOKEN).alias("chat_token"), t.rlike(r"(?i)\b(?:figure|image|illustration|tableau|annexe|fig\.?|table|appendix)\s*(?:above|below|[0-9]+)").alias("external"))
+    f = flags.text_flags(F.col("text"))
+    has = lambda k: F.array_contains("f", k)
+    return table(spark, sf_dir, "documents").select("doc_id", f.alias("f")).select("doc_id", has("CHAT_CONTROL_TOKEN").alias("chat_token"), has("EXTERNAL_REFERENCE").alias("external"))
 
 
 @query()
@@ -92,13 +93,16 @@ def marker_status(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(n.alias("n")).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-PII = [(c, r, p) for c, r, p in privacy.RECOGNIZERS if c in ("EMAIL_ADDRESS", "URL", "IP_ADDRESS", "FR_NIR")]
+PII = [(c, "" if c in fixed.CASED else "(?i)", p) for c, _, p in fixed.RECOGNIZERS if c in ("EMAIL_ADDRESS", "URL", "IP_ADDRESS", "FR_NIR", "PATIENT_ID", "DATE_OF_BIRTH", "IDENTITY_INTRODUCTION", "PHONE_NUMBER")]
+PII_SQL = {c: f"len(regexp_extract_all(text, '{mark + '|'.join(f'(?:{x})' for x in p)}'))".replace("['’]", "[''’]").replace("ÿ'’-]", "ÿ''’-]") for c, mark, p in PII}
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS category, coalesce(sum(n), 0)::BIGINT AS n_matches, count_if(n > 0) AS n_docs FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents)" for c, _, p in PII))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS category, coalesce(sum(n), 0)::BIGINT AS n_matches, count_if(n > 0) AS n_docs FROM (SELECT {x} AS n FROM documents)" for c, x in PII_SQL.items()))
 def pii_matches_by_category(spark, sf_dir):
-    found = F.array(*[F.struct(F.lit(c).alias("category"), F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).alias("n")) for c, _, p in PII])
-    return table(spark, sf_dir, "documents").select(F.explode(found).alias("m")).groupBy("m.category").agg(F.sum("m.n").alias("n_matches"), F.count_if(F.col("m.n") > 0).alias("n_docs"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.matches(F.coalesce("text", F.lit("")))).alias("m")).groupBy("m.category", "doc_id").count()
+    found = found.groupBy("category").agg(F.sum("count").alias("n_matches"), F.count(F.lit(1)).alias("n_docs"))
+    every = spark.createDataFrame([(c,) for c, *_ in PII], "category string")
+    return every.join(found, "category", "left").select("category", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 @query()
@@ -111,7 +115,7 @@ SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{
   CASE WHEN length(v) <= 2 THEN repeat('*', length(v)) ELSE v[1] || repeat('*', length(v) - 2) || v[-1] END AS masked
 FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')""")
 def masked_previews(spark, sf_dir):
-    p = privacy.RECOGNIZERS[0][2]
+    p = fixed.RECOGNIZERS[0][2][0]
     d = table(spark, sf_dir, "documents").where(F.col("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 0).alias("v"))
     return d.withColumn("masked", privacy.masked(F.col("v")))
 
@@ -146,18 +150,20 @@ def semantic_verdicts(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT p_partkey, [p_name, p_brand, p_type, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE p_size::VARCHAR END] AS c,
-  CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'A,B' WHEN 2 THEN 'AA' ELSE 'E' END AS raw FROM part)
-SELECT p_partkey, CASE WHEN raw IN ('A', 'E') THEN raw WHEN raw = 'A,B' THEN 'A,B' END AS labels,
-  CASE WHEN raw = 'AA' OR raw = 'E' THEN true ELSE false END AS invalid, p_partkey % 5 = 0 AS duplicate, raw IN ('A', 'E') AS single FROM q""")
+WITH q AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'A,B' WHEN 2 THEN 'AA' ELSE 'E' END AS raw,
+  CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 4 END AS n, p_partkey % 2 = 0 AS multiple, p_partkey % 5 = 0 AS duplicate FROM part),
+l AS (SELECT *, CASE WHEN raw IN ('A', 'E') THEN raw WHEN raw = 'A,B' THEN raw END AS labels FROM q)
+SELECT p_partkey, labels, NOT (n = 5 OR NOT multiple AND n = 4) OR labels IS NULL OR (labels = 'E' AND n = 4) AS invalid,
+  duplicate, CASE WHEN multiple THEN coalesce(labels, '') <> 'A,B' ELSE coalesce(labels, 'A,B') = 'A,B' END AS wrong_mode FROM l""")
 def qcm_checks(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    fourth = F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
-    raw = F.when(F.col("p_partkey") % 4 == 0, "A").when(F.col("p_partkey") % 4 == 1, "A,B").when(F.col("p_partkey") % 4 == 2, "AA").otherwise("E")
-    p = p.select("p_partkey", records.choices_map([F.col("p_name"), F.col("p_brand"), F.col("p_type"), fourth, F.lit(None).cast("string")]).alias("c"), records.parse_labels(raw).alias("l"))
-    empty = F.array().cast("array<string>")
-    f = flags.qcm_flags(F.col("c"), F.coalesce("l", empty), F.lit(False))
-    return p.select("p_partkey", F.array_join("l", ",").alias("labels"), F.array_contains(f, "INVALID_QCM").alias("invalid"), F.array_contains(f, "DUPLICATE_OPTIONS").alias("duplicate"), F.coalesce(F.size("l") == 1, F.lit(False)).alias("single"))
+    k = F.col("p_partkey")
+    fourth = F.when(k % 5 == 0, F.col("p_name")).otherwise(F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    raw = F.when(k % 4 == 0, "A").when(k % 4 == 1, "A,B").when(k % 4 == 2, "AA").otherwise("E")
+    five = F.when(k % 3 == 0, F.concat(F.lit("key "), k.cast("string")))
+    p = table(spark, sf_dir, "part").select("p_partkey", records.choices_map([F.col("p_name"), F.col("p_brand"), F.col("p_type"), fourth, five]).alias("c"), records.parse_labels(raw).alias("l"))
+    f = flags.qcm_flags(F.col("c"), F.coalesce("l", F.array().cast("array<string>")), k % 2 == 0)
+    has = lambda n, a: F.array_contains(f, n).alias(a)
+    return p.select("p_partkey", F.array_join("l", ",").alias("labels"), has("INVALID_QCM", "invalid"), has("DUPLICATE_OPTIONS", "duplicate"), has("INVALID_QCM_MODE", "wrong_mode"))
 
 
 @query("""SELECT doc_id, substr(sha256(lower(source) || '␟' || doc_id || '␟' || lower(lang)), 1, 24) AS id, sha256('[42,"' || doc_id || '"]') AS draw FROM documents""")

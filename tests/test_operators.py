@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import sources, streaming
-from corpusloom.functions import extraction, flags, privacy, records, text
-from corpusloom.operators import graph, rules, select
+from corpusloom.functions import curation, extraction, fingerprints, flags, privacy, records, text
+from corpusloom.operators import contracts, graph, rules, select
 
 
 def one(spark, column, schema="x string", value=None):
@@ -56,7 +56,10 @@ def test_privacy_decisions(spark):
 
 def test_flags(spark):
     assert one(spark, flags.text_flags(F.col("x")), value="no no no <|im_end|>") == ["CHAT_CONTROL_TOKEN", "TEXT_ANOMALY"]
-    assert one(spark, flags.open_answer_flags(F.col("x")), value="Why?") == ["QUESTION_AS_ANSWER", "VERY_SHORT_OPEN_ANSWER"]
+    assert one(spark, flags.open_answer_flags(F.col("x")), value="Why?") == ["QUESTION_AS_ANSWER"]
+    assert one(spark, flags.semantic_open_flags(F.col("x")), value="visit us at the desk?") == ["NAVIGATION_ONLY_ANSWER", "QUESTION_AS_ANSWER"]
+    assert one(spark, flags.semantic_open_flags(F.col("x")), value="more information") == ["UNINFORMATIVE_ANSWER", "VERY_SHORT_OPEN_ANSWER"]
+    assert one(spark, flags.semantic_open_flags(F.col("x")), value="  ") == []
     assert one(spark, flags.open_answer_flags(F.col("x")), value=None) == ["EMPTY_ANSWER"]
     assert one(spark, flags.target_leakage(F.lit("x" * 40), F.col("x")), value="x" * 30) is True
 
@@ -120,12 +123,13 @@ def test_cycles_and_review(spark):
     assert sorted((r["node"], r["near_review"]) for r in graph.near_review(g, near).collect()) == [(1, True), (2, True), (3, False)]
 
 
-def test_allocation():
+def test_allocation(spark):
     rnd = random.Random(1)
-    for _ in range(50):
+    for _ in range(6):
         cap = {i: rnd.randrange(0, 40) for i in range(rnd.randrange(1, 9))}
         target = rnd.randrange(0, 200)
-        q = select.allocate(cap, target)
+        df = spark.createDataFrame(list(cap.items()), "s int, capacity long")
+        q = {r["s"]: r["quota"] for r in select.quotas(df, ["s"], target).collect()}
         assert sum(q.values()) == min(target, sum(cap.values())) and all(q[k] <= cap[k] for k in cap)
 
 
@@ -247,3 +251,66 @@ def test_canonical_schema_error(spark):
     r = canonical.canonicalize(raw, "d", "open").first()
     assert r["schema_error"] == "missing answer" and r["answer"] == "" and len(r["id"]) == 24
     assert checks.schema_difference(raw, spark.range(1)) == [("id", "string <> bigint"), ("question", "left only")]
+
+
+def test_record_flags_on_fixtures(spark):
+    rows = [
+        ("mcqu", "q", "", None, {"A": "x", "B": "y", "C": "z", "D": "w"}, ["A"], None, None, []),
+        ("mcqm", "q", "", None, {"A": "x", "B": "y", "C": "z", "D": "w"}, ["A", "B"], None, None, []),
+        ("mcqu", "voir plus haut", "", None, {"A": "x", "B": "x", "C": "z", "D": "w", "E": "v"}, ["A", "B"], None, None, []),
+        ("mcqu", "voir plus haut", "", "a context", {"A": "x", "B": "y", "C": "z", "D": "w", "E": "v"}, ["E"], None, None, ["PERSON"]),
+        ("open", "", "Topics", None, None, [], None, None, ["URL"]),
+        ("open", "q", "Is it?", None, None, [], None, None, []),
+        ("open", "q", "See your doctor <|im_end|>", None, None, [], None, None, []),
+        ("open", "q", " ", None, None, [], None, None, []),
+        ("dpo", "q", None, None, None, [], "a b c d e f", "a", []),
+        ("dpo", "q", None, None, None, [], "a  b", "a b", []),
+        ("open", "q", "no no no, voir figure ci-jointe", None, None, [], None, None, []),
+    ]
+    want = [[], ["INVALID_QCM"], ["DUPLICATE_OPTIONS", "INVALID_QCM_MODE", "NEEDS_CONTEXT"], ["PII_CANDIDATE", "PII_HUMAN_REVIEW"],
+            ["EMPTY_QUESTION", "PII_REDACTION_FAILED", "UNINFORMATIVE_ANSWER"], ["QUESTION_AS_ANSWER"], ["CHAT_CONTROL_TOKEN"], ["EMPTY_ANSWER"],
+            ["DPO_LENGTH_BIAS"], ["IDENTICAL_DPO_RESPONSES"], ["EXTERNAL_REFERENCE", "TEXT_ANOMALY"]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, family string, question string, answer string, context string, choices map<string,string>, labels array<string>, chosen string, rejected string, pii array<string>")
+    c = F.col
+    f = flags.record_flags(c("family"), c("question"), c("answer"), c("context"), F.coalesce("choices", F.create_map().cast("map<string,string>")), c("labels"), c("chosen"), c("rejected"), F.lit(None).cast("string"), c("pii"), F.concat_ws(" ", "question", "answer"))
+    assert [list(r["f"]) for r in df.select("i", f.alias("f")).orderBy("i").collect()] == want
+
+
+def test_privacy_categories_and_redaction(spark):
+    rows = [("n° dossier: AB-123", "PATIENT_ID"), ("née le 03/04/1970", "DATE_OF_BIRTH"), ("Je m'appelle Anne Martin", "IDENTITY_INTRODUCTION"), ("a@b.org", "EMAIL_ADDRESS"), ("née un lundi", None)]
+    df = spark.createDataFrame(rows, "t string, want string").select("t", "want", privacy.categories(F.col("t")).alias("c"), privacy.matches(F.col("t")).alias("m"), privacy.redact(F.col("t")).alias("r"))
+    for r in df.select("*", privacy.residual(F.col("r")).alias("left")).collect():
+        assert list(r["c"]) == ([r["want"]] if r["want"] else []) and [x["category"] for x in r["m"]] == list(r["c"]) and not r["left"]
+
+
+def test_records_keys_and_scores(spark):
+    m = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(1, [("assistant", " a  b ")]), (2, [("user", "p  q"), ("assistant", "x")]), (3, [("user", "other"), ("assistant", "x")]), (4, [("user", "p q")])], f"i int, m {m}")
+    assert [r[0] for r in df.orderBy("i").select(records.completion(F.col("m"), F.lit("p q"))).collect()] == ["a b", "x", None, None]
+    one = spark.range(1)
+    choices = F.create_map(F.lit("B"), F.lit("two"), F.lit("A"), F.lit("one"))
+    assert one.select(records.assemble_input(F.lit("c"), F.lit("q"), choices)).first()[0] == "c\n\nq\nA. one\nB. two"
+    assert one.select(records.unique_texts(F.array(*map(F.lit, ["Ab", "c", "aB ", "", "C", "d"])))).first()[0] == ["Ab", "c", "d"]
+    keys = lambda ctx, labels: fingerprints.grouping_keys(F.lit("mcqm"), F.lit(ctx), F.lit("q"), choices, F.array(*map(F.lit, labels)), *[F.lit(None).cast("string")] * 3, F.lit("i"))
+    a, b, c = one.select(keys("x", ["B", "A"]).alias("a"), keys("x", ["A", "B"]).alias("b"), keys("", ["A"]).alias("c")).first()
+    assert a == b and c["context_key"] is None and a["target_key"] != c["target_key"] and a["question_key"] != c["question_key"]
+    got = one.select(text.grounding(F.lit("patient assessment"), F.lit("")), text.grounding(F.lit("Pneumonia, seriously"), F.lit("a pneumonic case")), text.has_repeated_sentence(F.lit("Yes. Yes. It is a dog. It is a dog. ok"))).first()
+    assert tuple(got) == (1.0, 0.5, True)
+    q = curation.pair_quality(F.lit(True), F.lit(40), F.lit(131), F.lit(25), F.lit(False), F.lit(True), F.lit(False), F.lit(0.0))
+    assert one.select(q).first()[0] == 1.0
+
+
+def test_contracts(spark):
+    r = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "id int, expected int, predicted int")
+    half = spark.createDataFrame([(1, 1, 2)], "id int, expected int, predicted int")
+    assert contracts.compare_covered(r, half, "id").first()["rows"] is None
+    assert tuple(contracts.compare_covered(half, r, "id").first()) == (1, 0, 1, 0, 1)
+    assert contracts.weakest_full(r.withColumn("v", F.lit("free")), "v", ["full", "free"], F.lit(True)).first()[0] == "free"
+    assert [x.count() for x in contracts.partition_by(r, F.col("predicted") == 1)] == [1, 1]
+    df = spark.createDataFrame([(1, None), (2, 0.5), (3, 2.0)], "id int, score double")
+    assert {x["rule"]: x["n"] for x in contracts.violations(df, {"range": F.col("score").between(0, 1), "id": F.col("id") > 0}).collect()} == {"range": 2, "id": 0}
+
+
+def test_allocation_values(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 100), ("c", 400), ("d", 0)], "s string, capacity long")
+    assert {r["s"]: r["quota"] for r in select.quotas(df, ["s"], 31).collect()} == {"a": 1, "b": 10, "c": 20, "d": 0}
