@@ -34,13 +34,13 @@ def cleaning_flags(spark, sf_dir):
 
 
 LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
-OPENS = lambda words: " OR ".join(f"starts_with(lower(k), '{w.strip()}')" for w in words)
+OPENS = lambda words: " OR ".join(f"starts_with(k, '{w.strip()}')" for w in words)
 
 
 @query(rf"""
 SELECT conv_id, turn, CASE WHEN k = '' THEN '' ELSE array_to_string(list_filter([
   CASE WHEN {OPENS(fixed.NAVIGATION_OPENINGS)} THEN 'NAVIGATION_ONLY_ANSWER' END, CASE WHEN k LIKE '%?' THEN 'QUESTION_AS_ANSWER' END,
-  CASE WHEN {OPENS(fixed.SEMANTIC_RESOURCE_OPENINGS)} THEN 'RESOURCE_ONLY_ANSWER' END, CASE WHEN lower(k) IN ({LISTED(fixed.SEMANTIC_UNINFORMATIVE)}) THEN 'UNINFORMATIVE_ANSWER' END,
+  CASE WHEN {OPENS(fixed.SEMANTIC_RESOURCE_OPENINGS)} THEN 'RESOURCE_ONLY_ANSWER' END, CASE WHEN k IN ({LISTED(fixed.SEMANTIC_UNINFORMATIVE)}) THEN 'UNINFORMATIVE_ANSWER' END,
   CASE WHEN len(string_split(k, ' ')) <= 3 THEN 'VERY_SHORT_OPEN_ANSWER' END], lambda x: x IS NOT NULL), ',') END AS flags
 FROM (SELECT conv_id, turn, {K} AS k FROM {PAIRS})""")
 def semantic_answer_flags(spark, sf_dir):
