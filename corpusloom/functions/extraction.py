@@ -1,7 +1,6 @@
 """Clinical facts from text by patterns, as Column expressions.
 
-A value counts only if exactly one plausible value is found.  Patterns are written for Java with
-(?i); accented words carry their plain and accented letters.
+A number counts only if all matches of its patterns give the same one, and then only within its limits.
 """
 
 from __future__ import annotations
@@ -9,63 +8,99 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Plausible ranges, and minutes of duration units.
-PLAUSIBLE = {"temperature": (25.0, 45.0), "heart_rate": (20.0, 300.0), "spo2": (30.0, 100.0), "respiratory_rate": (4.0, 80.0), "gcs": (3.0, 15.0), "glucose": (0.1, 10.0), "pain": (0.0, 10.0), "systolic": (40.0, 300.0), "diastolic": (20.0, 200.0), "age_years": (0.0, 120.0)}
+from .fixed_clinical import AGE, CMHG_TO_MMHG, NUMBER_TENS, NUMBER_UNITS, NUMBERS, PATIENT_SEX, PLAUSIBLE, PRESSURE_CMHG, PRESSURE_MMHG, TEMPERATURE, WORD_AGE
+
+#: Minutes of duration units.
 MINUTES = {"min": 1.0, "h": 60.0, "d": 1440.0, "w": 10080.0, "m": 43830.0, "y": 525960.0}
-NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
-VITALS = {
-    "heart_rate": r"(?i)\b(?:FC|HR|heart rate|pouls|pulse)\s*(?:[:=]|of|is|at|à|de)?\s*" + NUMBER,
-    "spo2": r"(?i)\b(?:SpO2|SaO2|saturation)\s*(?:[:=]|of|is|at|à|de)?\s*" + NUMBER,
-    "respiratory_rate": r"(?i)\b(?:FR|RR|respiratory rate)\s*(?:[:=]|of|is|at|à|de)?\s*" + NUMBER,
-    "gcs": r"(?i)\b(?:GCS|Glasgow)\s*(?:[:=]|of|is|at|à|de)?\s*" + NUMBER,
-    "pain": r"(?i)\b(?:EVA|pain|douleur)\s*(?:[:=]|of|is|at|à|de)?\s*" + NUMBER + r"\s*/\s*10",
-}
+ANY_CASE = "(?iU)"
+
 
+def _number(value: Column) -> Column:
+    return F.replace(F.regexp_replace(value, r"\s", ""), F.lit(","), F.lit(".")).try_cast("double")
 
-def _numbers(text: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit(".")).try_cast("double"))
 
+def _found(text: Column, patterns: list[str], part: int = 1) -> Column:
+    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(ANY_CASE + p), F.lit(part)) for p in patterns]))
 
-def only_value(values: Column, name: str) -> Column:
+
+def plausible(value: Column, name: str) -> Column:
     low, high = PLAUSIBLE[name]
-    good = F.array_distinct(F.filter(values, lambda v: v.between(low, high)))
-    return F.when(F.size(good) == 1, F.get(good, F.lit(0)))
+    return F.when(value.between(low, high), value)
+
+
+def only_value(values: Column) -> Column:
+    kinds = F.array_distinct(values)
+    return F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0)))
 
 
 def vital(text: Column, name: str) -> Column:
-    return only_value(_numbers(text, VITALS[name]), name)
+    """One of the numbers of ``NUMBERS``."""
+    return plausible(only_value(F.transform(_found(text, NUMBERS[name]), _number)), name)
 
 
 def temperature(text: Column) -> Column:
     """Celsius with one decimal; Fahrenheit values are converted."""
-    c = _numbers(text, r"(?i)\b(?:T|temp(?:erature|érature)?|fever|fièvre)\s*(?:[:=]|of|is|at|à|de)?\s*([0-9]{2}(?:[.,][0-9]+)?)\s*°?\s*C")
-    f = _numbers(text, r"(?i)\b(?:T|temp(?:erature)?|fever)\s*(?:[:=]|of|is|at)?\s*([0-9]{2,3}(?:[.,][0-9]+)?)\s*°?\s*F\b")
-    both = F.concat(c, F.transform(f, lambda v: (v - 32) * 5 / 9))
-    return only_value(F.transform(both, lambda v: F.round(v, 1)), "temperature")
+    pairs = F.arrays_zip(_found(text, TEMPERATURE).alias("v"), _found(text, TEMPERATURE, 2).alias("u"))
+    warm = lambda p: F.when(F.lower(p["u"]).startswith("f"), (_number(p["v"]) - 32) * 5 / 9).otherwise(_number(p["v"]))
+    return plausible(only_value(F.transform(pairs, lambda p: F.round(warm(p), 1))), "temperature")
+
+
+def pressure(text: Column) -> Column:
+    """struct(s, d), systolic and diastolic in mmHg: the first match that is plausible and in order, centimetres before
+    millimetres; else each on its own."""
+    tried = []
+    for patterns, factor in ((PRESSURE_CMHG, CMHG_TO_MMHG), (PRESSURE_MMHG, 1)):
+        for p in patterns:
+            s, d = (_number(F.regexp_extract(text, ANY_CASE + p, k)) * factor for k in (1, 2))
+            ok = plausible(s, "systolic_bp").isNotNull() & plausible(d, "diastolic_bp").isNotNull() & (s > d)
+            tried.append(F.when(ok, F.struct(s.alias("s"), d.alias("d"))))
+    return F.coalesce(*tried, F.struct(vital(text, "systolic_bp").alias("s"), vital(text, "diastolic_bp").alias("d")))
 
 
 def blood_pressure(text: Column) -> tuple[Column, Column]:
-    """(systolic, diastolic) in mmHg; pairs of two digits or less are centimetres."""
-    p = r"(?i)\b(?:TA|PA|BP|blood pressure)\s*(?:[:=]|of|is|at|à|de)?\s*([0-9]{1,3})\s*/\s*([0-9]{1,3})"
-    s, d = (F.nullif(F.regexp_extract(text, p, k), F.lit("")).cast("double") for k in (1, 2))
-    scale = F.when(s < 30, 10.0).otherwise(1.0)
-    s, d = s * scale, d * scale
-    ok = s.between(*PLAUSIBLE["systolic"]) & d.between(*PLAUSIBLE["diastolic"]) & (s > d)
-    return F.when(ok, s), F.when(ok, d)
+    both = pressure(text)
+    return both["s"], both["d"]
+
+
+def number_words() -> dict[str, int]:
+    """Number words up to 99 and 100, hyphens as blanks and without "et": tens alone and with a unit."""
+    tens = NUMBER_TENS | {"soixante dix": 70, "quatre vingt": 80, "quatre vingts": 80}
+    table = {"cent": 100} | {k.replace("-", " "): v for k, v in NUMBER_UNITS.items()} | tens
+    for name, ten in tens.items():
+        table |= {f"{name} {u}": ten + v for u, v in NUMBER_UNITS.items() if "-" not in u and f"{name} {u}" not in tens}
+    return table
+
+
+def word_age(text: Column) -> Column:
+    """Years of an age in French words."""
+    table = F.create_map(*[F.lit(x) for kv in number_words().items() for x in kv])
+    tried = []
+    for p in WORD_AGE:
+        words = F.replace(F.lower(F.regexp_extract(text, ANY_CASE + p, 1)), F.lit("-"), F.lit(" "))
+        tried.append(plausible(table[F.trim(F.regexp_replace(F.regexp_replace(words, r"\s+", " "), r" et ", " "))], "age_years"))
+    return F.coalesce(*tried)
+
+
+def age(text: Column) -> Column:
+    """struct(unit, value): days, months or years, the first that has one plausible value; else years in words."""
+    named = lambda unit, v: F.when(v.isNotNull(), F.struct(F.lit(unit).alias("unit"), v.cast("int").alias("value")))
+    tried = [named(unit, plausible(only_value(F.transform(_found(text, p), _number)), unit)) for unit, p in AGE.items()]
+    return F.coalesce(*tried, named("age_years", word_age(text)))
+
+
+def in_years(a: Column) -> Column:
+    """Years of an ``age``; select that first, so that it is computed once."""
+    return F.when(a["unit"] == "age_years", a["value"].cast("double")).when(a["unit"] == "age_months", a["value"] / 12).when(a["unit"] == "age_days", a["value"] / 365.25)
 
 
 def age_years(text: Column) -> Column:
-    days = _numbers(text, r"(?i)\b([0-9]{1,3})\s*(?:jours|days)\s*(?:old|de vie)")
-    months = _numbers(text, r"(?i)\b([0-9]{1,2})\s*(?:mois|months?)\b")
-    years = _numbers(text, r"(?i)\b([0-9]{1,3})\s*(?:ans|years?)\b")
-    first = F.when(F.size(days) > 0, F.transform(days, lambda v: v / 365.25)).when(F.size(months) > 0, F.transform(months, lambda v: v / 12)).otherwise(years)
-    return only_value(first, "age_years")
+    return in_years(age(text))
 
 
 def sex(text: Column) -> Column:
-    m = text.rlike(r"(?i)\b(?:homme|man|male|garçon|boy)\b")
-    f = text.rlike(r"(?i)\b(?:femme|woman|female|fille|girl)\b")
-    return F.when(m & ~f, "M").when(f & ~m, "F")
+    """male or female if patterns of exactly one are there."""
+    m, f = (text.rlike(ANY_CASE + "|".join(PATIENT_SEX[k])) for k in ("male", "female"))
+    return F.when(m & ~f, "male").when(f & ~m, "female")
 
 
 def duration_minutes(text: Column) -> Column:

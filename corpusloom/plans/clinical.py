@@ -87,17 +87,16 @@ def knowledge_references(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, (p_partkey % 90 + 5)::DOUBLE AS age, CASE WHEN p_partkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex, CASE WHEN p_size + 60 BETWEEN 20 AND 300 THEN (p_size + 60)::DOUBLE END AS heart_rate,
-  (p_size + 100)::DOUBLE AS systolic, (p_size + 30)::DOUBLE AS diastolic, (p_size + 60) / (p_size + 100) AS shock_index, (p_partkey % 9 + 1) * 1440.0 AS minutes, round(36 + (p_size % 10) / 10.0, 1)::DOUBLE AS temperature,
+SELECT p_partkey, (p_partkey % 90 + 5)::DOUBLE AS age, CASE WHEN p_partkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex, CASE WHEN p_partkey % 7 <> 0 THEN (p_size + 60)::DOUBLE END AS heart_rate,
+  (p_size + 100)::DOUBLE AS systolic, (p_size + 30)::DOUBLE AS diastolic, CASE WHEN p_partkey % 7 <> 0 THEN (p_size + 60) / (p_size + 100) END AS shock_index, (p_partkey % 9 + 1) * 1440.0 AS minutes, round(36 + (p_size % 10) / 10.0, 1)::DOUBLE AS temperature,
   CASE WHEN p_partkey % 3 = 0 THEN 'PRESENT' WHEN p_partkey % 3 = 1 THEN 'ABSENT' ELSE 'UNKNOWN' END AS fever FROM part""")
 def clinical_facts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     s, k = F.col("p_size"), F.col("p_partkey")
-    t = F.concat(F.when(k % 2 == 0, "Homme de ").otherwise("Femme de "), (k % 90 + 5).cast("string"), F.lit(" ans. FC: "), (s + 60).cast("string"), F.lit(", TA "), (s + 100).cast("string"), F.lit("/"), (s + 30).cast("string"),
+    t = F.concat(F.when(k % 2 == 0, "Homme de ").otherwise("Femme de "), (k % 90 + 5).cast("string"), F.lit(" ans. FC: "), (s + 60).cast("string"), F.when(k % 7 == 0, F.concat(F.lit(" puis 3"), (s % 10).cast("string"), F.lit(" bpm"))).otherwise(""), F.lit(", TA "), (s + 100).cast("string"), F.lit("/"), (s + 30).cast("string"),
                  F.lit(", T 36."), (s % 10).cast("string"), F.lit(" °C depuis "), (k % 9 + 1).cast("string"), F.lit(" jours. "), F.when(k % 3 == 0, "fever present").when(k % 3 == 1, "no fever").otherwise("nothing"))
     p = p.select("p_partkey", "p_size", t.alias("t"))
     x = F.col("t")
-    sys_, dia = extraction.blood_pressure(x)
-    hr = extraction.vital(x, "heart_rate")
-    return p.select("p_partkey", extraction.age_years(x).alias("age"), extraction.sex(x).alias("sex"), hr.alias("heart_rate"), sys_.alias("systolic"), dia.alias("diastolic"), extraction.shock_index(hr, sys_).alias("shock_index"),
-                    extraction.duration_minutes(x).alias("minutes"), extraction.temperature(x).alias("temperature"), extraction.tri_state(x, r"(?i)\bfever\b", r"(?i)\bno fever\b").alias("fever"))
+    p = p.select("p_partkey", extraction.age(x).alias("age"), extraction.sex(x).alias("sex"), extraction.vital(x, "heart_rate").alias("heart_rate"), extraction.pressure(x).alias("bp"),
+                 extraction.duration_minutes(x).alias("minutes"), extraction.temperature(x).alias("temperature"), extraction.tri_state(x, r"(?i)\bfever\b", r"(?i)\bno fever\b").alias("fever"))
+    return p.select("p_partkey", extraction.in_years(F.col("age")).alias("age"), "sex", "heart_rate", F.col("bp.s").alias("systolic"), F.col("bp.d").alias("diastolic"), extraction.shock_index(F.col("heart_rate"), F.col("bp.s")).alias("shock_index"), "minutes", "temperature", "fever")

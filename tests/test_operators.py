@@ -65,12 +65,12 @@ def test_flags(spark):
 
 
 def test_extraction(spark):
-    t = "Femme de 34 ans, TA 12/8, FC 90, SpO2: 97, temp 101.3 °F, depuis 3 jours"
+    t = "Femme de 34 ans, TA 12/8 cmHg, FC 90, SpO2: 97, temp 101.3 °F, depuis 3 jours"
     s, d = extraction.blood_pressure(F.col("x"))
     assert (one(spark, s, value=t), one(spark, d, value=t)) == (120.0, 80.0)
     assert one(spark, extraction.temperature(F.col("x")), value=t) == 38.5
     assert one(spark, extraction.age_years(F.col("x")), value=t) == 34.0
-    assert one(spark, extraction.sex(F.col("x")), value=t) == "F"
+    assert one(spark, extraction.sex(F.col("x")), value=t) == "female"
     assert one(spark, extraction.duration_minutes(F.col("x")), value=t) == 4320.0
     assert one(spark, extraction.vital(F.col("x"), "heart_rate"), value="FC 90 puis FC 120") is None
     assert one(spark, extraction.tri_state(F.col("x"), "fever", "no fever"), value="fever then no fever") == "UNKNOWN"
@@ -314,3 +314,25 @@ def test_contracts(spark):
 def test_allocation_values(spark):
     df = spark.createDataFrame([("a", 1), ("b", 100), ("c", 400), ("d", 0)], "s string, capacity long")
     assert {r["s"]: r["quota"] for r in select.quotas(df, ["s"], 31).collect()} == {"a": 1, "b": 10, "c": 20, "d": 0}
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("Patient âgé de 4 jours", None), ("Nourrisson de 40 jours, âge : 2 mois", ("age_months", 2)), ("Femme de soixante et onze ans", ("age_years", 71)),
+    ("homme de quatre-vingt-dix ans", ("age_years", 90)), ("a 34-year-old woman, 35 years old", None), ("garçon de 12 ans", ("age_years", 12)), ("depuis 12 ans", None),
+])
+def test_ages(spark, raw, want):
+    got = one(spark, extraction.age(F.col("x")), value=raw)
+    assert (tuple(got) if got else None) == (want if raw[:7] != "Patient" else ("age_days", 4))
+
+
+def test_vitals_near_misses(spark):
+    at = lambda f, v: one(spark, f(F.col("x")), value=v)
+    pressure = lambda v: tuple(at(lambda c, k=k: extraction.blood_pressure(c)[k], v) for k in (0, 1))
+    assert pressure("TA 12/8 cmHg") == (120.0, 80.0) and pressure("TA 12/8") == (None, None) and pressure("TA 80/120 mmHg") == (None, None)
+    assert pressure("PAS 110 mmHg") == (110.0, None) and pressure("systolic 130 and diastolic 70") == (130.0, 70.0)
+    assert at(extraction.temperature, "temp 101,3 F") == 38.5 and at(extraction.temperature, "38 °C puis 39 °C") is None and at(extraction.temperature, "temp 99 C") is None
+    vital = lambda n, v: at(lambda c: extraction.vital(c, n), v)
+    assert vital("heart_rate", "FC 90, pouls 90 bpm") == 90.0 and vital("heart_rate", "FC 900") is None and vital("spo2", "SpO2: 97 %") == 97.0
+    assert vital("gcs", "Glasgow 14/15") == 14.0 and vital("blood_glucose_mmol_l", "glycémie 5,4 mmol/L") == 5.4 and vital("blood_glucose_mmol_l", "glycémie 1,4 g/L") is None
+    assert vital("pain_score", "douleur cotée à 7/10") == 7.0 and vital("respiratory_rate", "FR 18/min") == 18.0 and vital("ketones_mmol_l", "ketones 0.6 mmol/l") == 0.6
+    assert at(extraction.sex, "un homme et sa fille") is None
