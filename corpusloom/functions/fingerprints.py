@@ -63,3 +63,8 @@ def grouping_keys(family: Column, context: Column, question: Column, choices: Co
         digest(target).alias("target_key"),
         digest(F.to_json(F.array(family, whole, target))).alias("example_key"),
     )
+
+
+def json_digest(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the compact JSON of the fields, keys sorted, nulls written."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)

@@ -81,3 +81,8 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("name"), "rows", F.lit(len(t.columns)).alias("columns")) for k, t in tables.items()]
     rows = F.array_sort(F.collect_list(F.struct("name", "rows", "columns")))
     return union_all(parts).agg(F.to_json(F.struct(rows.alias("tables"))).alias("manifest"))
+
+
+def level_summary(df: DataFrame, by: list[str], score: str, level: str, levels: list[str]) -> DataFrame:
+    """n, the mean score and the number of rows at each level, by group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), *[F.count_if(F.col(level) == x).alias(x) for x in levels])

@@ -53,3 +53,16 @@ def weakest_full(df: DataFrame, variant: str, order: list[str], right: Column) -
     full = df.groupBy(variant).agg(F.bool_and(right).alias("_full"))
     rank = F.array_position(F.array(*map(F.lit, order)), F.col(variant))
     return full.where("_full").agg(F.max_by(variant, rank).alias(variant))
+
+
+def apply_rewrites(rows: DataFrame, rewrites: DataFrame, key: str, value: str, text: str) -> DataFrame:
+    """``rows`` with ``value`` replaced where a rewrite (key, text) exists and ``original`` kept.
+
+    Fails where a key is rewritten twice or a rewrite meets no row; a null text is no rewrite.
+    """
+    new = rewrites.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).groupBy(key).agg(F.min("_text").alias("_text"), F.count(F.lit(1)).alias("_n"))
+    twice = F.when(F.col("_n") > 1, F.raise_error(F.lit("a row is rewritten twice")).cast("string"))
+    unmet = F.when(F.col("_there").isNull(), F.raise_error(F.lit("a rewrite meets no row")).cast("string"))
+    j = rows.withColumn("_there", F.lit(1)).join(new, key, "full")
+    j = j.withColumn("_text", F.coalesce(unmet, twice, F.col("_text")))
+    return j.withColumn("original", F.when(F.col("_text").isNotNull(), F.col(value))).withColumn(value, F.coalesce("_text", value)).drop("_text", "_n", "_there")

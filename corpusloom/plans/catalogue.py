@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chats, clinical, curation, dedup, evaluation, more, quality, selection, tables  # noqa: F401
+from . import audit, chats, clinical, curation, dedup, evaluation, knowledge, more, quality, selection, tables  # noqa: F401
 from .registry import QUERIES, SQL
 
 
