@@ -61,3 +61,31 @@ RECOGNIZERS = [
     ("PHONE_NUMBER", "[PHONE]", [r"\+?[0-9]{2,3}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}\b"]),
 ]
 CASED = ["EMAIL_ADDRESS", "URL", "IP_ADDRESS", "FR_NIR", "PHONE_NUMBER"]
+
+#: Reasons of the semantic dimensions; {} stands for what was found.
+SEMANTIC_REASONS = {
+    "no_input": "Entrée SFT vide.",
+    "no_answer": "Réponse SFT vide.",
+    "blocked_answer": "Réponse ouverte impropre au SFT : {}.",
+    "doubtful_answer": "Réponse ouverte à vérifier : {}.",
+    "no_labels": "QCM sans réponse correcte.",
+    "unknown_labels": "Labels absents des choix : {}.",
+    "hollow_labels": "Choix corrects sans contenu : {}.",
+    "language": "Langue détectée '{}' différente de '{}'.",
+    "autonomy": "Autonomie à vérifier : {}.",
+    "open_leak": "Réponse ouverte déjà présente dans l’entrée.",
+    "label_leak": "Label correct '{}' explicitement révélé.",
+    "pair_leak": "Réponse DPO '{}' déjà présente dans le prompt.",
+    "text": "Anomalie textuelle à vérifier.",
+    "no_prompt": "Prompt DPO vide.",
+    "no_chosen": "Réponse chosen vide.",
+    "no_rejected": "Réponse rejected vide.",
+    "same_pair": "Les réponses chosen et rejected sont identiques.",
+    "contradiction": "Contradiction de préférence DPO.",
+    "length_bias": "Biais de longueur potentiel.",
+    "high_risk": "Contenu médical à haut risque.",
+}
+SEMANTIC_BLOCKING = ["NAVIGATION_ONLY_ANSWER", "RESOURCE_ONLY_ANSWER", "UNINFORMATIVE_ANSWER"]
+SEMANTIC_DOUBTFUL = ["QUESTION_AS_ANSWER", "VERY_SHORT_OPEN_ANSWER"]
+#: The right label told in the question; {} stands for the label in lower case.
+LABEL_REVEALED = r"\b(?:correct answer|right answer|answer|bonne reponse|reponse correcte)\s*(?:is|est|:)?\s*{}\b"
