@@ -17,9 +17,16 @@ def folded(text: Column) -> Column:
     return fold_accents(key_text(text))
 
 
+def _any_of(patterns: list[str]) -> str:
+    """One pattern for several that all begin at the border of a word, which is then sought once."""
+    border = r"\b"
+    assert all(p.startswith(border) for p in patterns)
+    return WIDE + border + "(?:" + "|".join(p.removeprefix(border) for p in patterns) + ")"
+
+
 def detect(text: Column, markers: dict[str, list[str]]) -> Column:
     """Names whose patterns stand in a folded text, in the order of the dictionary."""
-    return F.array_compact(F.array(*[F.when(text.rlike(WIDE + "|".join(p)), k) for k, p in markers.items()]))
+    return F.array_compact(F.array(*[F.when(text.rlike(_any_of(p)), k) for k, p in markers.items()]))
 
 
 def medical_markers(text: Column) -> Column:

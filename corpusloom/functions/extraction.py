@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_clinical import AGE, CMHG_TO_MMHG, NUMBER_TENS, NUMBER_UNITS, NUMBERS, PATIENT_SEX, PLAUSIBLE, PRESSURE_CMHG, PRESSURE_MMHG, TEMPERATURE, WORD_AGE
+from .fixed_signs import DURATIONS, EVOLUTIONS, MINUTES
+from .text import clean_text, key_text
 
-#: Minutes of duration units.
-MINUTES = {"min": 1.0, "h": 60.0, "d": 1440.0, "w": 10080.0, "m": 43830.0, "y": 525960.0}
 ANY_CASE = "(?iU)"
 
 
@@ -103,18 +103,22 @@ def sex(text: Column) -> Column:
     return F.when(m & ~f, "male").when(f & ~m, "female")
 
 
+def duration(text: Column) -> Column:
+    """How long something has lasted, as told, if all matches tell the same."""
+    told = F.transform(_found(text, DURATIONS), clean_text)
+    return F.when(F.size(F.array_distinct(F.transform(told, lambda v: F.lower(key_text(v))))) == 1, F.get(told, F.lit(0)))
+
+
 def duration_minutes(text: Column) -> Column:
-    p = r"(?i)(?:depuis|for|since|during)\s+([0-9]+)\s*(min|h|jours?|days?|d\b|semaines?|weeks?|mois|months?|ans|years?)"
-    n, unit = F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("double"), F.lower(F.regexp_extract(text, p, 2))
-    scale = F.when(unit == "min", MINUTES["min"]).when(unit.startswith("mo"), MINUTES["m"]).when(unit == "h", MINUTES["h"]).when(unit.startswith("j") | unit.startswith("d"), MINUTES["d"])
-    scale = scale.when(unit.startswith("s") | unit.startswith("w"), MINUTES["w"]).otherwise(MINUTES["y"])
-    return n * scale
+    told = F.lower(duration(text))
+    unit = F.regexp_extract(told, r"[a-z]+", 0)
+    scale = F.coalesce(*[F.when(unit.rlike(f"^(?:{p})"), F.lit(float(n))) for p, n in MINUTES])
+    return F.round(_number(F.regexp_extract(told, r"^[0-9.,]+", 0)) * scale, 2)
 
 
 def evolution(text: Column) -> Column:
-    kinds = {"worsening": r"(?i)\b(?:aggrav|wors)", "improving": r"(?i)\b(?:amélior|improv)", "stable": r"(?i)\bstable", "sudden": r"(?i)\b(?:brutal|sudden)", "recurrent": r"(?i)\b(?:récidiv|recurr)"}
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), k) for k, p in kinds.items()]))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    """worsening, improving, stable, sudden or progressive, if exactly one is told."""
+    return only_value(F.array_compact(F.array(*[F.when(text.rlike(ANY_CASE + "|".join(p)), k) for k, p in EVOLUTIONS.items()])))
 
 
 def tri_state(text: Column, positive: str, negative: str) -> Column:

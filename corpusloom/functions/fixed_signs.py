@@ -95,3 +95,23 @@ NO_HISTORY = [
     r"\b(?:sans\s+antécédent\s+notable|aucun\s+antécédent\s+notable)\b",
     r"\b(?:no|without)\s+(?:significant\s+)?(?:medical\s+)?history\b",
 ]
+DURATIONS = [
+    r"\b(?:consulte|vient\s+consulter|se\s+plaint|présente)[^.;:?!]{0,140}\bdepuis\s+(\d+(?:[.,]\d+)?\s*(?:minutes?|heures?|jours?|semaines?|mois|ans?))\b",
+    r"\b(?:depuis|évoluant\s+depuis|apparu(?:e)?\s+il\s+y\s+a)\s+(\d+(?:[.,]\d+)?\s*(?:minutes?|heures?|jours?|semaines?|mois|ans?))\b",
+    r"\b(?:for|for\s+the\s+past|since)\s+(\d+(?:[.,]\d+)?\s*(?:minutes?|hours?|days?|weeks?|months?|years?))\b",
+]
+#: Minutes of a duration by how its unit begins.
+MINUTES = [("min", 1), ("heur|hour|hr", 60), ("jour|day", 1440), ("sem|week", 10080), ("mois|month", 43830), ("an|year", 525960)]
+EVOLUTIONS = {
+    "worsening": [
+        r"\b(?:sympt[oô]mes?|douleur|état|tableau)[^.;:?!]{0,80}(?:s[’']aggrave|s[’']est\s+aggravé|se\s+majore|aggravation)\b",
+        r"\b(?:getting\s+worse|progressively\s+worse|condition\s+worsening|symptoms?\s+worsening)\b",
+    ],
+    "improving": [
+        r"\b(?:sympt[oô]mes?|douleur|état|tableau)[^.;:?!]{0,80}(?:s[’']améliore|s[’']est\s+amélioré|régression|amélioration)\b",
+        r"\b(?:getting\s+better|condition\s+improving|symptoms?\s+improving)\b",
+    ],
+    "stable": [r"\b(?:état|symptômes?|tableau)\s+(?:reste\s+)?(?:stable|stationnaire|inchangé)\b", r"\b(?:condition|symptoms?)\s+(?:remains?\s+)?(?:stable|unchanged)\b"],
+    "sudden": [r"\b(?:début|apparition|survenue)\s+(?:brutal(?:e)?|soudain(?:e)?)\b", r"\b(?:sudden|abrupt)\s+onset\b"],
+    "progressive": [r"\b(?:installation|apparition|évolution)\s+progressive(?:ment)?\b", r"\bgradual(?:ly)?\s+(?:onset|progression)\b"],
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from .fixed_fields import FIELDS, FREQUENCY_ITEM, NOT_VALUES, QUESTION_TAIL
 from .fixed_signs import CONDITIONS, HISTORY_NARRATIVES, HISTORY_SECTIONS, NO_HISTORY, NOT_CONDITIONS, NOT_SYMPTOMS, SYMPTOM_NARRATIVES, SYMPTOM_SECTIONS
 from .text import clean_text, key_text
 
@@ -55,6 +56,21 @@ def conditions(text: Column) -> Column:
     return unique(narratives(text, CONDITIONS, NOT_CONDITIONS))
 
 
+def _values(values: Column) -> Column:
+    return F.filter(_fragments(values), lambda v: ~v.rlike(ANY_CASE + "|".join(NOT_VALUES)))
+
+
+def knowledge_field(text: Column, name: str) -> Column:
+    """Values of one of ``FIELDS``, cut where they turn into a question."""
+    return unique(_values(F.transform(_matches(text, FIELDS[name]), lambda v: F.regexp_replace(clean_text(v), ANY_CASE + QUESTION_TAIL, ""))))
+
+
+def frequency_items(text: Column) -> Column:
+    """What is told with a percentage or a ratio after it."""
+    found = _values(F.regexp_extract_all(text, F.lit(FREQUENCY_ITEM), F.lit(1)))
+    return unique(F.filter(found, lambda v: ~F.contains(key_text(v), F.lit("frequency of"))))
+
+
 @pandas_udf(ArrayType(StringType()))
 def _told_history(texts: pd.Series) -> pd.Series:
     told = [re.compile(p, re.IGNORECASE) for p in HISTORY_NARRATIVES]

@@ -35,7 +35,7 @@ def open_answer_flags(spark, sf_dir):
 
 @query(rf"""
 SELECT conv_id, turn, length(k) >= 30 AND instr(q, k) > 0 AS leaks FROM (
-  SELECT conv_id, turn, lower({K}) AS k, lower(trim(regexp_replace(coalesce(question, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS q FROM {PAIRS})""")
+  SELECT conv_id, turn, {K} AS k, trim(regexp_replace(coalesce(question, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS q FROM {PAIRS})""")
 def answer_leakage(spark, sf_dir):
     return question_answers(spark, sf_dir).select("conv_id", "turn", flags.target_leakage(F.col("question"), F.col("answer")).alias("leaks"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed_concepts, fixed_signs, signs
 from corpusloom.functions.text import key_text
+from corpusloom.operators import medical
 
 from .registry import query, table
 
@@ -56,3 +57,31 @@ def clinical_signs(spark, sf_dir):
     absent = lambda k: F.array_sort(F.map_keys(F.map_filter(f"{k}.states", lambda _, v: v == "ABSENT")))
     out = {f"{k}_{n}": F.array_join(v, ",") for k in kinds for n, v in (("present", F.col(f"{k}.present")), ("absent", absent(k)), ("conflicts", F.col(f"{k}.conflicts")))}
     return d.select("doc_id", *[v.alias(n) for n, v in out.items()])
+
+
+#: Stands for the context of each part, so that every field of the extraction is met.
+CASES = [
+    "", "Homme de 40 ans, FC: 90 bpm, T 38.5 °C. Il consulte pour toux depuis 3 jours.", "Woman presents with severe pain, BP 120/80. History of asthma. Symptoms worsening.", "Nourrisson de 3 mois, SpO2 91, fièvre, sans cyanose, pas de convulsions.",
+    "Gout is a chronic disease. It is treated with allopurinol. It is caused by uric acid.", "Risk factors include smoking. Complications include stroke which of the following?", "Patient de quarante ans, douleur 7/10, coma; GCS 8.",
+]
+#: The fields told in each of them.
+PATIENT_FIELDS = [
+    "", "age_years,duration,duration_minutes,sex,symptoms,vital_signs.heart_rate,vital_signs.temperature", "critical_sign_states,critical_signs,evolution,medical_history,sex,symptoms,vital_signs.diastolic_bp,vital_signs.systolic_bp",
+    "age_months,critical_sign_states,french_concept_states,vital_signs.spo2", "", "", "age_years,critical_sign_states,critical_signs,vital_signs.gcs,vital_signs.pain_score",
+]
+KNOWLEDGE_FIELDS = ["", "", "conditions,symptoms", "", "conditions,medications,treatments,pathogens,causes", "complications,risk_factors", ""]
+PICKED = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + f"][p_partkey % {len(CASES)} + 1]"
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, {PICKED(PATIENT_FIELDS)} AS patient_fields, {PICKED(KNOWLEDGE_FIELDS)} AS knowledge_fields FROM part)
+SELECT *, patient_fields <> '' AS has_patient_information, knowledge_fields <> '' AS has_medical_knowledge FROM f""")
+def medical_extractions(spark, sf_dir):
+    case = F.element_at(F.array(*map(F.lit, CASES)), (F.col("p_partkey") % len(CASES) + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    r = table(spark, sf_dir, "part").select("p_partkey", case.alias("context"), F.col("p_name").alias("question"), none.alias("answer"), F.lit(None).cast("map<string,string>").alias("choices"), none.alias("labels"), F.lit("de").alias("language"))
+    r = medical.extract_knowledge(medical.extract_patient(r))
+    rules = F.array().cast("array<string>")
+    s = r.select("p_partkey", medical.extraction_summary(F.col("patient"), F.col("medical_knowledge"), rules, rules).alias("s"))
+    listed = lambda c: F.array_join(f"s.{c}", ",")
+    return s.select("p_partkey", listed("patient_fields").alias("patient_fields"), listed("medical_knowledge_fields").alias("knowledge_fields"), "s.has_patient_information", "s.has_medical_knowledge")
