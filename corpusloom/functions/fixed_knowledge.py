@@ -66,3 +66,18 @@ CHOICE_QUESTION = r"(?i)(?:quel(?:le|les|s)?\b|indiquez\b|choisissez\b|cochez\b|
 #: Flags that keep a record out of duplicate groups and out of conflict groups.
 NOT_DUPLICATE = ["SCHEMA_UNSUPPORTED", "PRIVACY_EXCLUDED"]
 NOT_CONFLICT = ["SCHEMA_UNSUPPORTED", "PRIVACY_EXCLUDED", "PII_REDACTION_FAILED"]
+#: Terms too general to name a rule, and what shows the language of a term.
+ALIAS_EXCLUDED = {
+    "fr": [
+        "douleur", "douleurs", "maladie", "infection", "traumatisme", "urgence", "patient", "symptome", "symptomes", "signe", "signes",
+        "froid", "chaud", "rouge", "masse", "estomac", "intestins", "comportement", "enfant", "fièvre", "fievre",
+    ],
+    "en": [
+        "pain", "disease", "infection", "trauma", "emergency", "patient", "symptom", "symptoms", "sign", "signs",
+        "painful", "cold", "warm", "red", "mass", "stomach", "intestines", "behavior", "child", "fever",
+    ],
+}
+LANGUAGE_MARKERS = {
+    "fr": ["é", "è", "ê", "à", "â", "ç", "œ", "douleur", "fièvre", "membre", "grossesse", "saignement", "brûlure", "perte", "arrêt", "déficit", "courant", "domestique"],
+    "en": [" pain", "fever", "blood", "bleeding", "loss", "heart", "pressure", "limb", "burn", "pregnancy", "shock", "seizure", "foreign body", "swelling"],
+}

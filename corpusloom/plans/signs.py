@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed_concepts, fixed_signs, signs
+from corpusloom.functions.fixed_knowledge import ALIAS_EXCLUDED, LANGUAGE_MARKERS
 from corpusloom.functions.text import key_text
-from corpusloom.operators import medical
+from corpusloom.operators import aliases, medical
 
 from .registry import query, table
 
@@ -85,3 +86,21 @@ def medical_extractions(spark, sf_dir):
     s = r.select("p_partkey", medical.extraction_summary(F.col("patient"), F.col("medical_knowledge"), rules, rules).alias("s"))
     listed = lambda c: F.array_join(f"s.{c}", ",")
     return s.select("p_partkey", listed("patient_fields").alias("patient_fields"), listed("medical_knowledge_fields").alias("knowledge_fields"), "s.has_patient_information", "s.has_medical_knowledge")
+
+
+SHOWN = lambda lang: "(" + " OR ".join(f"contains(lower(term), '{m}')" for m in LANGUAGE_MARKERS[lang]) + ")"
+SPECIFIC = lambda lang: "lower(term) NOT IN (" + ", ".join(f"'{w}'" for w in ALIAS_EXCLUDED[lang]) + ")"
+
+
+@query(f"""
+WITH p AS (SELECT p_brand AS rule_id, p_partkey, p_type || CASE p_partkey % 4 WHEN 0 THEN ' Fièvre' WHEN 1 THEN ' pain' WHEN 2 THEN ' perte of blood' ELSE '' END AS long FROM part),
+t AS (SELECT DISTINCT rule_id, CASE WHEN p_partkey % 9 = 0 THEN 'fièvre' WHEN p_partkey % 9 = 1 THEN 'Fever' ELSE long END AS term FROM p),
+k AS (SELECT DISTINCT rule_id, lower(long) AS term FROM p WHERE p_partkey % 5 = 0)
+SELECT t.rule_id, l.lang, t.term FROM t, (VALUES ('fr'), ('en')) l(lang) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.rule_id = t.rule_id AND k.term = lower(t.term))
+  AND CASE l.lang WHEN 'fr' THEN {SHOWN("fr")} AND {SPECIFIC("fr")} ELSE {SHOWN("en")} AND {SPECIFIC("en")} END""")
+def rule_aliases(spark, sf_dir):
+    k = F.col("p_partkey")
+    said = F.when(k % 4 == 0, " Fièvre").when(k % 4 == 1, " pain").when(k % 4 == 2, " perte of blood").otherwise("")
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("rule_id"), k, F.concat("p_type", said).alias("long"))
+    terms = p.select("rule_id", F.when(k % 9 == 0, "fièvre").when(k % 9 == 1, "Fever").otherwise(F.col("long")).alias("term")).distinct()
+    return aliases.aliases(terms, p.where(k % 5 == 0).select("rule_id", F.lower("long").alias("term")))
