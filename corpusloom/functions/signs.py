@@ -83,14 +83,40 @@ def medical_history(text: Column) -> Column:
     return unique(F.concat(sections(text, HISTORY_SECTIONS), _fragments(_told_history(text))))
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern cut at its bars outside of groups and classes."""
+    parts, depth, listed, escaped = [""], 0, False, False
+    for ch in pattern:
+        if not escaped and not listed:
+            depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not (depth or listed or escaped):
+            parts.append("")
+            continue
+        listed = not escaped and (ch == "[" or listed and ch != "]") or escaped and listed
+        escaped = ch == "\\" and not escaped
+        parts[-1] += ch
+    return parts
+
+
+def any_sign(patterns: list[str]) -> re.Pattern:
+    """Found wherever one of the patterns is; if all begin at the border of a word, that is sought once for all."""
+    border, parts = r"\b", [a for p in patterns for a in _alternatives(p)]
+    shared = all(a.startswith(border) for a in parts)
+    return re.compile((border if shared else "") + "(?:" + "|".join(a.removeprefix(border) if shared else a for a in parts) + ")", re.IGNORECASE)
+
+
 def sign_states(positive: dict[str, list[str]], negative: dict[str, list[str]]):
     """A function of a text column: struct(states, present, conflicts). A sign is PRESENT where matches lie outside
     all negations, ABSENT where only negations are, else UNKNOWN; both together are a conflict too. Null: all UNKNOWN."""
     made = lambda p: [re.compile(x, re.IGNORECASE) for x in p]
     signs = [(name, made(p), made(negative.get(name, []))) for name, p in positive.items()]
+    anything = any_sign([x for group in (*positive.values(), *negative.values()) for x in group])
+    nothing = ({name: "UNKNOWN" for name in positive}, [], [])
     spans = lambda patterns, t: [m.span() for p in patterns for m in p.finditer(t)]
 
     def told(t: str) -> tuple[dict, list, list]:
+        if not anything.search(t):
+            return nothing
         states, conflicts = {}, []
         for name, yes, no in signs:
             against = spans(no, t)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,17 @@ def test_mentions(spark, text, symptoms, conditions, history):
     t = F.col("t")
     r = spark.createDataFrame([(text,)], "t string").select(signs.symptoms(t).alias("s"), signs.conditions(t).alias("c"), signs.medical_history(t).alias("h")).first()
     assert (r.s, r.c, r.h) == (symptoms, conditions, history)
+
+
+@pytest.mark.parametrize(("pattern", "parts"), [
+    (r"\ba(?:b|c)|\bd", [r"\ba(?:b|c)", r"\bd"]), (r"[|\]|]x|y", [r"[|\]|]x", "y"]), (r"a\|b\\|c", [r"a\|b\\", "c"]), (r"\(|b", [r"\(", "b"]), ("", [""]),
+])
+def test_patterns_are_cut_at_outer_bars(pattern, parts):
+    assert signs._alternatives(pattern) == parts
+
+
+def test_any_sign_misses_none():
+    patterns = [p for d in (fixed_signs.CRITICAL_SIGNS, fixed_signs.NO_CRITICAL_SIGNS, fixed_concepts.CONCEPTS, fixed_concepts.NO_CONCEPTS) for ps in d.values() for p in ps]
+    assert signs.any_sign(patterns).pattern.startswith(r"\b(?:") and not signs.any_sign([r"\ba|b"]).pattern.startswith(r"\b")
+    for t in ("no fever", "xfever", "première céphalée", "Convulsion en cours", "sans\u00a0cyanose", "TC", "tcp", "rien", ""):
+        assert bool(signs.any_sign(patterns).search(t)) == any(re.search(p, t, re.IGNORECASE) for p in patterns)
