@@ -49,7 +49,8 @@ def words_of(text: Column) -> Column:
 def slid(df: DataFrame, out: str, values: str, width: int, step: Callable[..., Column]) -> DataFrame:
     """``df`` with ``out``: ``step`` over every ``width`` consecutive values of the array ``values``, by doubling.
 
-    Each doubling is a projection of its own, so that no array is computed twice.
+    Each doubling is a projection of its own, so that no array is computed twice.  (What is exploded later has to be
+    exploded with ``explode_outer``: of a plain one the optimizer pushes the array's size, spelled out, below all of them.)
     """
     df, reach = df.withColumn(out, F.col(values)), 1
     while reach < width:
@@ -97,14 +98,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gr
     windows = materialize(windows.select("window", "size", F.md5(F.array_join("held", ",")).alias("holders"), "held"))
     short = sorted(r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # fewer than ``window`` numbers
     shown = windows.select(F.split("window", " ").alias("words"), F.col("size").alias("words_size"))
-    prints = with_runs(shown, window, gram, short).select("words_size", F.explode("runs").alias("r")).where("words_size = r.size")
+    prints = with_runs(shown, window, gram, short).select("words_size", F.explode_outer("runs").alias("r")).where("words_size = r.size")
     prints = _sized(materialize(prints.select("r.print", "r.size").distinct()))
 
     content = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("c1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("c2")]
     read = docs.select(F.col("doc_id").alias("doc"), *content, words_of(F.col("text")).alias("words"))
     runs = with_runs(read.withColumn("n_words", F.size("words").cast("long")), window, gram, short)
     head = F.struct(F.col("c1").alias("print"), F.lit(HEAD).alias("first"), F.lit(HEAD).alias("last"), F.lit(0).alias("size"))
-    rows = runs.select("doc", "c1", "c2", "n_words", F.explode(F.concat(F.array(head), "runs")).alias("r")).select("doc", "c1", "c2", "n_words", "r.*")
+    rows = runs.select("doc", "c1", "c2", "n_words", F.explode_outer(F.concat(F.array(head), "runs")).alias("r")).select("doc", "c1", "c2", "n_words", "r.*")
     met = materialize(rows.join(prints.withColumn("met", F.lit(True)), ["print", "size"], "left").where((F.col("first") == HEAD) | F.col("met")).drop("print", "met"))
 
     # extend: the windows of each run, of one row of each text
