@@ -76,9 +76,10 @@ def with_runs(df: DataFrame, window: int, gram: int, short: list[int]) -> DataFr
     return df.select(*carried, F.concat(*runs).alias("runs"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A computed table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= MOST_PRINTS else df
+def _sized(df: DataFrame, rows: str = "1") -> DataFrame:
+    """A computed table, to be broadcast if the sum of ``rows`` over it is small."""
+    n = df.agg(F.expr(f"sum({rows})")).first()[0] or 0
+    return F.broadcast(df) if n <= MOST_PRINTS else df
 
 
 def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -110,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gr
 
     # extend: the windows of each run, of one row of each text
     hits = materialize(met.where(F.col("first") != HEAD).groupBy("c1", "c2").agg(F.min("doc").alias("one"), F.collect_set(F.struct("first", "last", "size")).alias("spans")))
-    texts = docs.select(F.col("doc_id").alias("doc"), *content, "text").join(_sized(hits), ["c1", "c2"]).where(F.col("doc").eqNullSafe(F.col("one")))
+    texts = docs.select(F.col("doc_id").alias("doc"), *content, "text").join(_sized(hits, "size(spans)"), ["c1", "c2"]).where(F.col("doc").eqNullSafe(F.col("one")))
     spans = texts.select("c1", "c2", words_of(F.col("text")).alias("words"), "spans").select("c1", "c2", "words", F.explode("spans").alias("s"))
     starts = spans.select("c1", "c2", "words", "s.size", F.explode(F.sequence("s.first", "s.last")).alias("at"))
     tried = starts.select("c1", "c2", "at", "size", F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ").alias("window"))

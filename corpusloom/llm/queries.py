@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fim, langid, mixing, pieces, quality_rules, simhash, substring, suffix, urls, vectors
+from . import align, chat, decontaminate, fim, langid, mixing, pieces, quality_rules, simhash, substring, suffix, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle_digests(fim.fill_in_middle(_table(spark, sf_dir, "documents"), rate=50, spm=80, seed=42))
 
 
+#: The vocabulary of the byte-level tokenizer.
+BYTE_MODEL = os.environ.get("CORPUSLOOM_BYTE_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = align.align_documents(_table(spark, sf_dir, "documents"), align.Tokenizers(BYTE_MODEL, PIECE_MODEL), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -129,6 +138,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_decontaminate": op11_decontaminate,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_align_tokenizers": op13_align_tokenizers,
 }
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

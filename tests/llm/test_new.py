@@ -1,5 +1,6 @@
 """Decontamination, fill-in-the-middle and token alignment on odd rows."""
 
+import collections
 import hashlib
 import re
 
@@ -7,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, fim
-from corpusloom.llm.queries import OP11_SQL, OP12_SQL, QUERIES
+from corpusloom.llm import align, decontaminate, fim
+from corpusloom.llm.queries import BYTE_MODEL, OP11_SQL, OP12_SQL, PIECE_MODEL, QUERIES
 
 from ..compare import connect, same
 from . import odd
@@ -87,3 +88,55 @@ def test_fill_in_middle_parts(spark):
             x = hashlib.sha256(f"42:{r['doc_id']}".encode()).hexdigest()
             a, b = sorted(int(x[k : k + 8], 16) % (len(units) + 1) for k in (0, 8))
             assert (r["prefix"], r["middle"], r["suffix"]) == ("".join(units[:a]), "".join(units[a:b]), "".join(units[b:]))
+
+
+FILES = align.Tokenizers(BYTE_MODEL, PIECE_MODEL)
+
+
+def aligned(rows, links):
+    """Every document by itself, from the libraries' tokens of the whole text."""
+    a, b = FILES.open()
+    of_a, of_b = align.vocabulary(a, b)
+    found, total = [], collections.Counter()
+    for i, t in rows:
+        x, y = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        want = (" " + (t or "")).encode()
+        if b"".join(of_a[k] for k in x) != want or b"".join(of_b[k] for k in y) != want:
+            x = y = []
+        spans = lambda ids, of: [(k, e - len(of[k]), e) for k, e in zip(ids, [sum(len(of[j]) for j in ids[: n + 1]) for n in range(len(ids))], strict=True)]
+        sx, sy = spans(x, of_a), spans(y, of_b)
+        cuts = sorted({e for *_, e in sx} & {e for *_, e in sy})
+        groups, before = [], 0
+        for c in cuts:
+            groups.append(",".join(str(k) for k, _, e in sx if before < e <= c) + "|" + ",".join(str(k) for k, _, e in sy if before < e <= c))
+            before = c
+        linked = [(p, q) for p, s, e in sx for q, u, v in sy if (e == v if links == "ends" else s < v and u < e)]
+        total.update(linked)
+        found.append((i, len(x), len(y), len(cuts), linked, ";".join(groups)))
+    best = collections.defaultdict(int)
+    for (_, q), n in total.items():
+        best[q] = max(best[q], n)
+    return [(i, n, m, g, len(k), sum(total[p] == best[p[1]] for p in k), sum(total[p] for p in k), s) for i, n, m, g, k, s in found], total
+
+
+@pytest.mark.parametrize("links", ["ends", "overlap"])
+def test_alignment_against_the_libraries(spark, links):
+    odd_texts = ["<|endoftext|> <s> </s>", "a  b   c ", " lead", "\n\n x\n y \n  z\t\tq", "has \u2581 mark", "x\u00a0 y\u3000 z", "don't we'll 12,345 a.b!! ", "\U0001f600 \U0001f600\u200d x", "\x00 a \x1c b\x85 c", "one\r\n two", "the the the the"]
+    rows = [(i, t) for i, t in enumerate(odd.texts()) if t is None or len(t) < 900] + [(100 + i, t) for i, t in enumerate(odd_texts * 2)] + [(None, "no id"), (100, odd_texts[0])]
+    want, total = aligned(rows, links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_a", F.lit("clash")).repartition(3)
+    out, counts = align.align_documents(docs, FILES, links=links)
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(r["a"], r["b"]): r["count"] for r in counts.collect()} == dict(total)
+    digests = {(r["doc_id"], r["groups"]) for r in align.align_documents(docs, FILES, links=links, digest=True)[0].collect()}
+    assert digests == {(r[0], hashlib.sha256(r[-1].encode()).hexdigest() if r[-1] else "") for r in want}
+
+
+def test_alignment_of_empty_tables_and_long_words(spark):
+    docs = spark.createDataFrame([(1, "x" * 20000), (2, None)], "doc_id long, text string")
+    assert align.align_documents(docs.where("false"), FILES)[0].count() == 0
+    assert [r["n_a"] for r in align.align_documents(docs.where("doc_id = 2"), FILES)[0].collect()] == [0]
+    row = align.align_documents(docs, FILES)[0].where("doc_id = 1").first()
+    want, _ = aligned([(1, "x" * 20000)], "ends")
+    assert tuple(row) == want[0]
