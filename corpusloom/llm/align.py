@@ -34,12 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_count, materialize, release_memory
+from .common import forget, group_count, release_memory, stored
 
 #: Characters that some tokenizer may take as white space.
-BLANK = r"\x00-\x20\x7F\x85\xA0 ᠎ -‏ -  -⁤　﻿"
+BLANK = r"\x00-\x20\x7F\x85\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u2064\u3000\uFEFF"
 #: Before a space that follows a visible character and has one after its white space.
 CUT = rf"(?<=[^{BLANK}])(?=\x20[{BLANK}]*+[^{BLANK}])"
+#: A space at an end of the text or beside other white space.
+UNEVEN = rf"^\x20|\x20[{BLANK}]|[{BLANK}]\x20|\x20\z"
 TOKENS = "array<struct<id:int,size:int>>"
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -96,21 +98,29 @@ def _tokens(batches, files: Tokenizers):
         pairs = pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], names=["id", "size"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pairs)
 
+    def come_back(ids: list[list[int]], of: list[bytes], parts: list[bytes]) -> list[bool]:
+        told = [b"".join([of[i] for i in x]) for x in ids]
+        return [x == y for x, y in zip(told, parts, strict=True)]
+
     for batch in batches:
         texts = batch.column("stretch").to_pylist()
-        ids_a = [x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = b.encode([t[1:] for t in texts], num_threads=1)
-        for k, t in enumerate(texts):
-            whole = t.encode()
-            if b"".join([of_a[i] for i in ids_a[k]]) != whole or b"".join([of_b[i] for i in ids_b[k]]) != whole:
+        spaced = [" " + t for t in texts]
+        ids_a = [x.ids for x in a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_b = b.encode(texts, num_threads=1)
+        parts = [t.encode() for t in spaced]
+        for k, whole in enumerate(zip(come_back(ids_a, of_a, parts), come_back(ids_b, of_b, parts), strict=True)):
+            if not all(whole):
                 ids_a[k] = ids_b[k] = []
         yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), column(ids_a, size_a), column(ids_b, size_b)], names=["stretch", "n", "a", "b"])
 
 
 def stretches(text: Column, cut: bool) -> Column:
-    """The stretches of space and text; none of a null or empty text."""
-    whole = F.concat(F.lit(" "), text)
-    parts = F.split(whole, CUT) if cut else F.array(whole)
+    """The stretches of space and text, each without its first space; none of a null or empty text."""
+    if not cut:
+        parts = F.array(text)
+    else:
+        apart = F.transform(F.split(F.concat(F.lit(" "), text), CUT), lambda x: F.substring(x, 2, 2**31 - 1))
+        parts = F.when(text.rlike(UNEVEN), apart).otherwise(F.split(text, " "))  # most texts need no look around each place
     return F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 
@@ -134,28 +144,30 @@ def align_stretches(encoded: DataFrame, links: str = "ends") -> tuple[DataFrame,
 
     ``links``: "ends" links tokens that end at the same byte, "overlap" those that share one.
     """
+    encoded = encoded.repartition("key")  # windows, joins and groups by stretch below need no other exchange
     a, b = token_rows(encoded, "a"), token_rows(encoded, "b")
-    named = lambda t, s, *more: t.select("key", "n", "end", F.col("id").alias(s), *[F.col(c).alias(c + s) for c in more])
-    ends = materialize(named(a, "a").join(named(b, "b").drop("n"), ["key", "end"]))
-    grouped = materialize(grouped_tokens(a, b, ends))
+    named = lambda t, s: t.select("key", "n", "end", F.col("id").alias(s))
+    ends = stored(named(a, "a").join(named(b, "b").drop("n"), ["key", "end"]))
+    grouped = stored(grouped_tokens(a, b, ends))
     if links == "ends":
         linked = ends
     elif links == "overlap":
         side = lambda s: grouped.where(F.col("side") == s).select("key", "n", "g", F.col("id").alias(s), F.col("start").alias(f"from_{s}"), F.col("end").alias(f"to_{s}"))
-        linked = side("a").join(side("b").drop("n"), ["key", "g"]).where("from_a < to_b and from_b < to_a")
+        linked = stored(side("a").join(side("b").drop("n"), ["key", "g"]).where("from_a < to_b and from_b < to_a"))
     else:
         raise ValueError(f"links: ends or overlap, not {links}")
-    linked = materialize(linked.groupBy("key", "a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n")))
-    counts = linked.groupBy("a", "b").agg(F.sum(F.col("times") * F.col("n")).alias("count"))
-    counts = materialize(counts.join(counts.groupBy("b").agg(F.max("count").alias("best")), "b"))
+    counts = stored(linked.groupBy("a", "b").agg(F.sum("n").alias("count")))
+    counts = stored(counts.join(counts.groupBy("b").agg(F.max("count").alias("best")), "b"))
     figures = linked.join(counts, ["a", "b"]).groupBy("key").agg(
-        F.sum("times").alias("n_links"), F.sum(F.when(F.col("count") == F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+        F.count(F.lit(1)).alias("n_links"), F.count(F.when(F.col("count") == F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
     ids = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("end", "id")))), lambda x: x["id"].cast("string"))
     groups = grouped.groupBy("key", "g").agg(F.concat(F.array_join(ids("a"), ","), F.lit("|"), F.array_join(ids("b"), ",")).alias("group"))
     groups = groups.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "group"))), lambda x: x["group"]).alias("groups"))
     groups = groups.select("key", F.size("groups").cast("long").alias("n_groups"), F.array_join("groups", ";").alias("groups"))
     known = encoded.select("key", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")).join(groups, "key").join(figures, "key")
-    return materialize(known.select("key", *FIGURES, "groups")), counts
+    out = stored(known.select("key", *FIGURES, "groups"))
+    forget(ends, grouped, *([linked] if linked is not ends else []))
+    return out, counts
 
 
 def _assembled(docs: pa.Table, known: pa.Table, digest: bool) -> pa.Table:
@@ -186,19 +198,20 @@ def align_documents(docs: DataFrame, files: Tokenizers, *, links: str = "ends",
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block"), key.alias("doc_id"), "text").repartition(blocks, "block")
     parts = rows.select("block", "doc_id", stretches(F.col("text"), cut).alias("parts"))
-    held = materialize(parts.select("block", F.explode_outer("parts").alias("stretch")).where("stretch is not null").groupBy("block", "stretch").agg(F.count(F.lit(1)).alias("n")))
+    held = stored(parts.select("block", F.explode_outer("parts").alias("stretch")).where("stretch is not null").groupBy("block", "stretch").agg(F.count(F.lit(1)).alias("n")))
     distinct = held.groupBy("stretch").agg(F.sum("n").alias("n"))
-    encoded = materialize(distinct.mapInArrow(partial(_tokens, files=files), f"stretch string, n long, a {TOKENS}, b {TOKENS}").withColumn("key", F.monotonically_increasing_id()))
+    encoded = stored(distinct.mapInArrow(partial(_tokens, files=files), f"stretch string, n long, a {TOKENS}, b {TOKENS}").withColumn("key", F.monotonically_increasing_id()))
     broken = encoded.where(F.size("a") == 0).select("stretch")
     if broken.limit(1).count():  # what documents with such a stretch hold counts for nothing
         hit = held.join(broken, "stretch", "left_semi").select("block").distinct()
         in_blocks = parts.join(hit, "block", "left_semi").select("block", "doc_id", "parts", F.monotonically_increasing_id().alias("row"))
-        in_blocks = materialize(in_blocks.select("row", F.explode("parts").alias("stretch")))
+        in_blocks = stored(in_blocks.select("row", F.explode("parts").alias("stretch")))
         void = in_blocks.join(broken, "stretch", "left_semi").select("row").distinct()
         gone = in_blocks.join(void, "row", "left_semi").groupBy("stretch").agg(F.count(F.lit(1)).alias("gone"))
-        encoded = materialize(encoded.where(F.size("a") > 0).join(gone, "stretch", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").where("n > 0"))
+        encoded = stored(encoded.where(F.size("a") > 0).join(gone, "stretch", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").where("n > 0"))
     known, counts = align_stretches(encoded.select("key", "n", "a", "b"), links)
-    spelled = materialize(encoded.select("key", "stretch").join(known, "key").drop("key"))
+    spelled = stored(encoded.select("key", "stretch").join(known, "key").drop("key"))
+    forget(encoded, known)
     by_block = held.select("block", "stretch").join(spelled, "stretch").groupBy("block")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:

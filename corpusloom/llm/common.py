@@ -6,6 +6,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``materialize``, as a compressed table in the shared folder: for many rows or nested ones."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for f in t.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
