@@ -6,9 +6,10 @@ has a space after another character cannot reach over it (``cut_safe`` looks; ot
 vocabularies leave texts uncut).  So a document is a sequence of *stretches*, and each
 distinct stretch is tokenized and aligned once for the whole corpus, weighted by how often it occurs.
 
-The alignment is relational: tokens are exploded by position, a window gives each its end by cumulative length, an
-equi-join on stretch and end finds the cuts and links, a running count of cuts names the groups.  Links by
-overlap (``links="overlap"``) come from a range condition inside the groups.  An id pair's count is
+The alignment is relational: tokens are exploded by position, a window gives each its end by cumulative length, tokens of
+both sides meet on stretch and end (an equi-join, written as one grouping of both sides' rows, so that every step
+shares one exchange), which finds the cuts, a running count of cuts names the groups, and a group's last
+tokens are its link.  Links by overlap (``links="overlap"``) come from a range condition inside the groups.  An id pair's count is
 the number of linked occurrences in the corpus; a B id's best count is the highest of its pairs.
 
 Documents return by blocks: a block's distinct stretches, with their figures, meet the block's documents in one
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, group_count, release_memory, stored
+from .common import chunks, forget, group_count, release_memory, stored
 
 #: Characters that some tokenizer may take as white space.
 BLANK = r"\x00-\x20\x7F\x85\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u2064\u3000\uFEFF"
@@ -42,7 +43,9 @@ BLANK = r"\x00-\x20\x7F\x85\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u20
 CUT = rf"(?<=[^{BLANK}])(?=\x20[{BLANK}]*+[^{BLANK}])"
 #: A space at an end of the text or beside other white space.
 UNEVEN = rf"^\x20|\x20[{BLANK}]|[{BLANK}]\x20|\x20\z"
-TOKENS = "array<struct<id:int,size:int>>"
+TOKENS = "array<struct<side:int,id:int,size:int>>"
+#: Bytes of stretches that are tokenized in one call.
+CHUNK = 1 << 14
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -88,30 +91,49 @@ def vocabulary(a, b) -> tuple[list[bytes], list[bytes]]:
     return of_a, [spell(i) for i in range(b.get_piece_size())]
 
 
-def _tokens(batches, files: Tokenizers):
-    a, b = files.open()
-    of_a, of_b = vocabulary(a, b)
-    size_a, size_b = (np.array([len(x) for x in v], dtype=np.int32) for v in (of_a, of_b))
+class Side:
+    """One tokenizer over lists of stretches."""
+
+    def __init__(self, encode, of: list[bytes]):
+        self.encode, self.of, self.sizes = encode, of, np.array([len(x) for x in of], dtype=np.int32)
+
+    def together(self, parts: list[bytes]) -> list[np.ndarray] | None:
+        """The ids of each stretch from one call for all; None if that does not come back byte for byte, cut at the stretches' ends."""
+        text = b"".join(parts)
+        ids = np.array(self.encode(text.decode()[1:]), dtype=np.int32)
+        if b"".join([self.of[i] for i in ids.tolist()]) != text:
+            return None
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in parts])
+        cuts = np.searchsorted(ends, wanted) + 1
+        return np.split(ids, cuts[:-1]) if np.array_equal(ends[cuts - 1], wanted) else None
 
-    def column(ids: list[list[int]], sizes: np.ndarray):
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], names=["id", "size"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pairs)
+    def alone(self, part: bytes) -> np.ndarray | None:
+        found = self.together([part])
+        return None if found is None else found[0]
 
-    def come_back(ids: list[list[int]], of: list[bytes], parts: list[bytes]) -> list[bool]:
-        told = [b"".join([of[i] for i in x]) for x in ids]
-        return [x == y for x, y in zip(told, parts, strict=True)]
 
+def _tokens(batches, files: Tokenizers, cut: bool):
+    a, b = files.open()
+    of_a, of_b = vocabulary(a, b)
+    sides = [Side(lambda t: a.encode(" " + t, add_special_tokens=False).ids, of_a), Side(b.encode, of_b)]
+    none = np.zeros(0, dtype=np.int32)
     for batch in batches:
-        texts = batch.column("stretch").to_pylist()
-        spaced = [" " + t for t in texts]
-        ids_a = [x.ids for x in a.encode_batch_fast(spaced, add_special_tokens=False)]
-        ids_b = b.encode(texts, num_threads=1)
-        parts = [t.encode() for t in spaced]
-        for k, whole in enumerate(zip(come_back(ids_a, of_a, parts), come_back(ids_b, of_b, parts), strict=True)):
-            if not all(whole):
-                ids_a[k] = ids_b[k] = []
-        yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), column(ids_a, size_a), column(ids_b, size_b)], names=["stretch", "n", "a", "b"])
+        parts = [(" " + t).encode() for t in batch.column("stretch").to_pylist()]
+        found: list[list[np.ndarray]] = []
+        for first, last in chunks(parts, CHUNK if cut else 1):
+            both = [s.together(parts[first:last]) for s in sides]
+            if None in both:  # some stretch does not come back, or ends in white space
+                pairs = [[s.alone(p) for s in sides] for p in parts[first:last]]
+                found += [[none, none] if x is None or y is None else [x, y] for x, y in pairs]
+            else:
+                found += [list(x) for x in zip(*both, strict=True)]
+        flat = np.concatenate([x for pair in found for x in pair] or [none])
+        n = np.array([[len(x), len(y)] for x, y in found], dtype=np.int64).reshape(-1, 2)
+        side = np.repeat(np.tile(np.array([0, 1], dtype=np.int32), len(found)), n.reshape(-1))
+        sizes = np.where(side == 0, sides[0].sizes[np.minimum(flat, len(of_a) - 1)], sides[1].sizes[np.minimum(flat, len(of_b) - 1)])
+        tokens = pa.StructArray.from_arrays([pa.array(side), pa.array(flat), pa.array(sizes)], names=["side", "id", "size"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n.sum(axis=1))]), pa.int32()), tokens)
+        yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy()), lists], names=["stretch", "n", "n_a", "n_b", "tokens"])
 
 
 def stretches(text: Column, cut: bool) -> Column:
@@ -124,49 +146,47 @@ def stretches(text: Column, cut: bool) -> Column:
     return F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 
-def token_rows(encoded: DataFrame, side: str) -> DataFrame:
-    """key, n, pos, id and end of every token of a side."""
-    rows = encoded.select("key", "n", F.posexplode(side).alias("pos", "t")).select("key", "n", "pos", "t.id", "t.size")
-    end = F.sum("size").over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("key", "n", "pos", "id", end.alias("end"), (end - F.col("size")).alias("start"))
+def aligned_groups(encoded: DataFrame) -> DataFrame:
+    """key, n and groups (g, a, b: tokens with end, start and id, in order) of every stretch (key, n, tokens).
 
-
-def grouped_tokens(a: DataFrame, b: DataFrame, cuts: DataFrame) -> DataFrame:
-    """key, side, id, start, end and g (how many cuts lie before the token's end) of all tokens."""
-    both = a.select("key", "n", F.lit("a").alias("side"), "id", "start", "end").unionByName(b.select("key", "n", F.lit("b").alias("side"), "id", "start", "end"))
-    marked = both.join(cuts.select("key", "end", F.lit(1).alias("cut")), ["key", "end"], "left")
-    passed = F.sum(F.when(F.col("side") == "a", F.coalesce("cut", F.lit(0))).otherwise(0)).over(Window.partitionBy("key").orderBy("end").rangeBetween(Window.unboundedPreceding, 0))
-    return marked.select("key", "n", "side", "id", "start", "end", (passed - F.coalesce("cut", F.lit(0))).alias("g"))
+    All steps are by stretch: after one exchange of the stretches' rows none needs another.
+    """
+    rows = encoded.repartition("key").select("key", "n", F.posexplode("tokens").alias("pos", "t")).select("key", "n", "pos", "t.*")
+    end = F.sum("size").over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("key", "n", "side", "id", end.cast("int").alias("end"), (end - F.col("size")).cast("int").alias("start"))
+    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
+    met = rows.groupBy("key", "end").agg(F.max("n").alias("n"), *[of(s, c) for s in (0, 1) for c in ("id", "start")])
+    cut = (F.col("id_0").isNotNull() & F.col("id_1").isNotNull()).cast("int")
+    passed = F.sum(cut).over(Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, 0))
+    met = met.select("*", (passed - cut).cast("int").alias("g"))
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col(f"id_{s}").isNotNull(), F.struct("end", F.col(f"start_{s}").alias("start"), F.col(f"id_{s}").alias("id")))))
+    groups = met.groupBy("key", "g").agg(F.max("n").alias("n"), side(0).alias("a"), side(1).alias("b"))
+    return groups.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
 
 
 def align_stretches(encoded: DataFrame, links: str = "ends") -> tuple[DataFrame, DataFrame]:
-    """Figures and groups of each stretch (key, n, a, b), and the counts of linked id pairs (a, b, count, best).
+    """Figures and groups of each stretch (key, n, n_a, n_b, tokens), and the counts of linked id pairs (a, b, count, best).
 
     ``links``: "ends" links tokens that end at the same byte, "overlap" those that share one.
     """
-    encoded = encoded.repartition("key")  # windows, joins and groups by stretch below need no other exchange
-    a, b = token_rows(encoded, "a"), token_rows(encoded, "b")
-    named = lambda t, s: t.select("key", "n", "end", F.col("id").alias(s))
-    ends = stored(named(a, "a").join(named(b, "b").drop("n"), ["key", "end"]))
-    grouped = stored(grouped_tokens(a, b, ends))
+    grouped = stored(aligned_groups(encoded.select("key", "n", "tokens")))
+    each = grouped.select("key", "n", F.explode("groups").alias("x"))
     if links == "ends":
-        linked = ends
+        linked = each.select("key", "n", F.element_at("x.a", -1)["id"].alias("a"), F.element_at("x.b", -1)["id"].alias("b"))
     elif links == "overlap":
-        side = lambda s: grouped.where(F.col("side") == s).select("key", "n", "g", F.col("id").alias(s), F.col("start").alias(f"from_{s}"), F.col("end").alias(f"to_{s}"))
-        linked = stored(side("a").join(side("b").drop("n"), ["key", "g"]).where("from_a < to_b and from_b < to_a"))
+        pairs = each.select("key", "n", "x.b", F.explode("x.a").alias("p")).select("key", "n", "p", F.explode("b").alias("q"))
+        linked = pairs.where("p.start < q.end and q.start < p.end").select("key", "n", F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     else:
         raise ValueError(f"links: ends or overlap, not {links}")
     counts = stored(linked.groupBy("a", "b").agg(F.sum("n").alias("count")))
     counts = stored(counts.join(counts.groupBy("b").agg(F.max("count").alias("best")), "b"))
     figures = linked.join(counts, ["a", "b"]).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_links"), F.count(F.when(F.col("count") == F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
-    ids = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("end", "id")))), lambda x: x["id"].cast("string"))
-    groups = grouped.groupBy("key", "g").agg(F.concat(F.array_join(ids("a"), ","), F.lit("|"), F.array_join(ids("b"), ",")).alias("group"))
-    groups = groups.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "group"))), lambda x: x["group"]).alias("groups"))
-    groups = groups.select("key", F.size("groups").cast("long").alias("n_groups"), F.array_join("groups", ";").alias("groups"))
-    known = encoded.select("key", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")).join(groups, "key").join(figures, "key")
-    out = stored(known.select("key", *FIGURES, "groups"))
-    forget(ends, grouped, *([linked] if linked is not ends else []))
+    ids = lambda x: F.array_join(F.transform(x, lambda t: t["id"].cast("string")), ",")
+    told = F.array_join(F.transform("groups", lambda x: F.concat(ids(x["a"]), F.lit("|"), ids(x["b"]))), ";").alias("groups")
+    groups = grouped.select("key", F.size("groups").cast("long").alias("n_groups"), told)
+    out = stored(encoded.select("key", "n_a", "n_b").join(groups, "key").join(figures, "key").select("key", *FIGURES, "groups"))
+    forget(grouped)
     return out, counts
 
 
@@ -200,16 +220,16 @@ def align_documents(docs: DataFrame, files: Tokenizers, *, links: str = "ends",
     parts = rows.select("block", "doc_id", stretches(F.col("text"), cut).alias("parts"))
     held = stored(parts.select("block", F.explode_outer("parts").alias("stretch")).where("stretch is not null").groupBy("block", "stretch").agg(F.count(F.lit(1)).alias("n")))
     distinct = held.groupBy("stretch").agg(F.sum("n").alias("n"))
-    encoded = stored(distinct.mapInArrow(partial(_tokens, files=files), f"stretch string, n long, a {TOKENS}, b {TOKENS}").withColumn("key", F.monotonically_increasing_id()))
-    broken = encoded.where(F.size("a") == 0).select("stretch")
+    encoded = stored(distinct.mapInArrow(partial(_tokens, files=files, cut=cut), f"stretch string, n long, n_a long, n_b long, tokens {TOKENS}").withColumn("key", F.monotonically_increasing_id()))
+    broken = encoded.where(F.col("n_a") == 0).select("stretch")
     if broken.limit(1).count():  # what documents with such a stretch hold counts for nothing
         hit = held.join(broken, "stretch", "left_semi").select("block").distinct()
         in_blocks = parts.join(hit, "block", "left_semi").select("block", "doc_id", "parts", F.monotonically_increasing_id().alias("row"))
         in_blocks = stored(in_blocks.select("row", F.explode("parts").alias("stretch")))
         void = in_blocks.join(broken, "stretch", "left_semi").select("row").distinct()
         gone = in_blocks.join(void, "row", "left_semi").groupBy("stretch").agg(F.count(F.lit(1)).alias("gone"))
-        encoded = stored(encoded.where(F.size("a") > 0).join(gone, "stretch", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").where("n > 0"))
-    known, counts = align_stretches(encoded.select("key", "n", "a", "b"), links)
+        encoded = stored(encoded.where(F.col("n_a") > 0).join(gone, "stretch", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").where("n > 0"))
+    known, counts = align_stretches(encoded.drop("stretch"), links)
     spelled = stored(encoded.select("key", "stretch").join(known, "key").drop("key"))
     forget(encoded, known)
     by_block = held.select("block", "stretch").join(spelled, "stretch").groupBy("block")
