@@ -56,6 +56,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="corpusloom-")
 
 
+def named(column: str) -> Column:
+    """A column by its name as it stands, dots and blanks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -207,7 +212,7 @@ def group_of(key: Column, groups: int) -> Column:
 def with_groups(docs: DataFrame, groups: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(db, doc_id, text, carry): the group, the id (NO_ID if null), the text's UTF-8 bytes (null: empty), more columns."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(group_of(key, groups).alias("db"), key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    return docs.select(group_of(key, groups).alias("db"), key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *[named(c).alias(f"_{c}") for c in carry])
 
 
 def chunks(texts: list[bytes], size: int):

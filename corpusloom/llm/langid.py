@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import chunks, release_memory
+from .common import chunks, named, release_memory
 
 WINDOW = 64
 CHUNK = 1 << 18
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, *, sample_rows: int = 2000, seed: int = 3, **options) -
 
 def identify_languages(docs: DataFrame, net: Network | None, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``carry`` (columns of ``docs``) as a struct ``carried``, with the predicted language and its score, called ``names``."""
-    carried = F.struct(*[F.col(c) for c in carry]).alias("carried")
+    carried = F.struct(*map(named, carry)).alias("carried")
     if net is None:
         return docs.select(carried, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

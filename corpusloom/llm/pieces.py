@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import chunks, mix64, release_memory, stream64
+from .common import chunks, mix64, named, release_memory, stream64
 
 MARK = "▁"
 LONG = 96
@@ -293,8 +294,8 @@ def _encode(batches, model: PieceModel):
 
 def encode_documents(docs: DataFrame, model: PieceModel, carry: list[str]) -> DataFrame:
     """``carry`` with n_ids, ids (array of int) and round_trip: do the ids decode to the text."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, "text").mapInArrow(partial(_encode, model=model), f"{fields}, n_ids long, ids array<int>, round_trip boolean")
+    rows = docs.select(*map(named, carry), "text")
+    return rows.mapInArrow(partial(_encode, model=model), StructType([*rows.schema.fields[:-1], *StructType.fromDDL("n_ids long, ids array<int>, round_trip boolean")]))
 
 
 def _decode(batches, model: PieceModel):
@@ -309,5 +310,5 @@ def _decode(batches, model: PieceModel):
 
 def decode_documents(rows: DataFrame, model: PieceModel, carry: list[str]) -> DataFrame:
     """``carry`` with the text of ``ids``."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema)
-    return rows.select(*carry, F.col("ids")).mapInArrow(partial(_decode, model=model), f"{fields}, decoded string")
+    rows = rows.select(*map(named, carry), F.col("ids"))
+    return rows.mapInArrow(partial(_decode, model=model), StructType([*rows.schema.fields[:-1], *StructType.fromDDL("decoded string")]))

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from .common import chunks, components, is_in, materialize, mix64, release_memory, rolling, stream64, word_hashes, word_spans
 
-LAST_ID = (1 << 63) - 1
 ODD = 0x5555555555555555
 PRINTS = "doc_id long, fp long"
 
@@ -65,9 +64,8 @@ def _fingerprints(batches, width: int, seed: int):
 
 
 def simhashes(docs: DataFrame, *, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every whole text; A-Z lower-cased, null doc_ids as LAST_ID."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    """(doc_id, fp) of every whole text; A-Z lower-cased."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(partial(_fingerprints, width=width, seed=seed), PRINTS)
 
 
@@ -123,8 +121,7 @@ def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, dista
     named = materialize(ids.join(known, "fp", "left").select("fp", "doc_id", F.coalesce("g", "fp").alias("g")))
     least = materialize(named.groupBy("g").agg(F.min("doc_id").alias("component")))
     out = prints.join(materialize(named.join(least, "g").select("fp", "component")), "fp")
-    real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component").alias("component_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 # ------------------------------------------------- near copies by shingle similarity
@@ -263,7 +260,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
     marks the first row of each by doc_id (nulls last) and content.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
     texts = rows.select("content", "text")
     reps = materialize(texts.mapInArrow(partial(_shingled, width=width, grids=GRIDS, joined=JOINED), SHINGLED).dropDuplicates(["content"]))
 
@@ -282,11 +279,11 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
     grouped = near_groups(reps.drop("cells"), reps.select("content", F.explode("cells").alias("cell")), verified, similarity)
     ids = rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     named = materialize(ids.join(grouped, "content", "left").select("content", "doc_id", F.coalesce("g", "content").alias("g")))
-    least = named.groupBy("g").agg(F.min(F.struct("doc_id", "content")).alias("first"))
+    placed = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
+    least = named.groupBy("g").agg(F.min(placed).alias("first"))
     named = materialize(named.join(least, "g").select("content", "first"))
-    real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    kept = F.struct("doc_id", "content") == F.col("first")
-    return rows.select("doc_id", "content").join(named, "content").select(real("doc_id").alias("doc_id"), "content", real("first.doc_id").alias("component_id"), kept.alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content"))
+    return rows.select("doc_id", "content").join(named, "content").select("doc_id", "content", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -32,8 +32,9 @@ import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import NO_ID, chunks, group_count, is_in, materialize, mix64, packed, range_of, release_memory, rolling, runs_of, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
+from .common import NO_ID, chunks, group_count, is_in, materialize, mix64, named, packed, range_of, release_memory, rolling, runs_of, unpacked, window_least, winnow, with_groups, word_hashes, word_spans
 
 _U = np.uint64
 CHUNK = 1 << 20
@@ -356,6 +357,6 @@ def remove_repeated_windows(docs: DataFrame, *, window: int = 20, gram: int = 5,
     seen = grouped.groupBy("db").cogroup(all_marks.groupBy("db")).applyInArrow(partial(_verify_rows, window=window, gram=gram, ranges=parts), WINDOWS)
     firsts = seen.groupBy("r").applyInArrow(_first_of_all, "db int, h1 binary, h2 binary")
     back = firsts.unionByName(all_marks.select("db", F.col("hashes").alias("h1"), F.lit(None).cast("binary").alias("h2")))
-    out = grouped.groupBy("db").cogroup(back.groupBy("db")).applyInArrow(partial(_clean, window=window, gram=gram, digest=digest), ", ".join([CLEANED, *[f"`_{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]]))
+    out = grouped.groupBy("db").cogroup(back.groupBy("db")).applyInArrow(partial(_clean, window=window, gram=gram, digest=digest), StructType([*StructType.fromDDL(CLEANED), *[grouped.schema[f"_{c}"] for c in carry]]))
     real = F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")).alias("doc_id")
-    return out.select(real, "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), *[F.col(f"_{c}").alias(c) for c in carry])
+    return out.select(real, "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), *[named(f"_{c}").alias(c) for c in carry])

@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize
 
-LAST_ID = (1 << 63) - 1
-
 
 def calibrate(cosine: float, projections: int, sorted_by: int, miss: float) -> tuple[float, int]:
     """(window, least count): a pair at ``cosine`` is missed with probability ``miss`` at most.
@@ -170,7 +168,7 @@ def _half_steps(n: int) -> list[tuple[int, ...]]:
 
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    key = F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID))
+    key = F.col("vec_id").cast("long")
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     # doubles as bytes, each in the order numpy reads
@@ -187,8 +185,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, **options) -> Data
     named = materialize(named.join(least, "g").select("l2", "v2", "component", "n_links"))
     out = rows.join(named, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2")), "left")
     comp = F.coalesce("component", "vec_id")
-    real = lambda c: F.when(c != LAST_ID, c)
-    return out.select(real(F.col("vec_id")).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), real(comp).alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))
 
 
 def _as_bytes(batches):

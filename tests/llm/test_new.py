@@ -140,3 +140,30 @@ def test_alignment_of_empty_tables_and_long_words(spark):
     row = align.align_documents(docs, FILES)[0].where("doc_id = 1").first()
     want, _ = aligned([(1, "x" * 20000)], "ends")
     assert tuple(row) == want[0]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    import corpus_pipeline
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    names = ["a b", "x-y", "é:1", "a.b", "tick`", "_held", "rest"]
+    schema = StructType([StructField("doc_id", LongType(), False), StructField("text", StringType()), StructField("source", StringType()), StructField("lang", StringType()), *[StructField(n, StringType(), k % 2 == 0) for k, n in enumerate(names)]])
+    passage = " ".join(f"word{i}" for i in range(40))
+    texts = [passage + " end one", passage + " other end " + " ".join(f"x{i}" for i in range(90)), "short text here"]
+    docs = spark.createDataFrame([(i, t, "s", "en", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], schema)
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.simhash_near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+
+
+def test_largest_and_smallest_ids(spark):
+    from corpusloom.llm import simhash, vectors
+
+    top, low = (1 << 63) - 1, -(1 << 63)
+    docs = spark.createDataFrame([(top, "one text of its own"), (low, "two three four five"), (None, "nothing has an id here")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect()} == {(top, top), (low, low), (None, None)}
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in simhash.near_copies(docs).collect()} == {(top, top, True), (low, low, True), (None, None, True)}
+    rows = spark.createDataFrame([(top, [1.0, 0.0], 1), (low, [0.0, 1.0], 1), (None, [-1.0, 0.0], 1), (5, None, 1)], "vec_id long, embedding array<float>, label int")
+    assert {tuple(r) for r in vectors.near_vectors(rows).collect()} == {(top, 0, top, True), (low, 0, low, True), (None, 0, None, True), (5, 0, 5, True)}
