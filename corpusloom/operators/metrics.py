@@ -42,14 +42,26 @@ def index_percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
     return d.groupBy(group).agg(F.avg(value).alias("mean"), at(F.floor(F.col("_n") / 2)).alias("p50"), at(last).alias("p95"), F.max(value).alias("max"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: a sum of logarithms up to 32, Stirling's series beyond."""
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.least(n, F.lit(32)), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * F.pi() * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(n <= 32, few).otherwise(series)
+
+
 def mcnemar(df: DataFrame, right_a: Column, right_b: Column) -> DataFrame:
-    """(only_a, only_b, p): the exact two-sided test on discordant pairs."""
+    """(only_a, only_b, p): the exact two-sided test on discordant pairs.
+
+    The tail is summed from its largest term downwards; 10 standard deviations further on terms are below the last digit.
+    """
     n = df.agg(F.count_if(right_a & ~right_b).alias("only_a"), F.count_if(~right_a & right_b).alias("only_b"))
     total, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # each log term follows from the one before, so the tail is linear in the counts and keeps in range; the sum is relative to the last, largest term
-    step = lambda s, i: F.struct((s["t"] + F.log((total - i + 1).cast("double") / i)).alias("t"), (s["sum"] * i.cast("double") / (total - i + 1) + 1.0).alias("sum"))
-    every = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(every, F.struct((-total * F.log(F.lit(2.0))).alias("t"), F.lit(1.0).alias("sum")), step, lambda s: F.exp(s["t"]) * s["sum"])
+    top = log_factorial(total) - log_factorial(k) - log_factorial(total - k) - total * F.log(F.lit(2.0))
+    far = F.greatest(F.lit(1).cast("long"), k - (5 * F.sqrt(total.cast("double"))).cast("long") - 40)
+    below = F.when(k > 0, F.sequence(k, far, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    step = lambda s, i: F.struct((s["sum"] + s["t"] * i.cast("double") / (total - i + 1)).alias("sum"), (s["t"] * i.cast("double") / (total - i + 1)).alias("t"))
+    tail = F.aggregate(below, F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("t")), step, lambda s: F.exp(top) * s["sum"])
     return n.select("only_a", "only_b", F.least(F.lit(1.0), 2 * tail).alias("p"))
 
 
