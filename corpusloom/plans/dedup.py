@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import fixed_lexicon, text
 from corpusloom.functions.fingerprints import context_hash, text_digest
-from corpusloom.operators import graph, joins, window
+from corpusloom.operators import graph, joins, lexicon, window
 
 from .audit import KEY
 from .registry import query, table
@@ -92,28 +92,79 @@ def sorted_neighbourhood_pairs(spark, sf_dir):
     return j.where("h1 = h2").select("left", "right")
 
 
-LEXICON = [("R1", "en", "the of"), ("R1", "fr", "de la"), ("R2", "en", "and the"), ("R2", "de", "und der"), ("R3", "es", "de los"), ("R3", "en", "not"), ("R4", "fr", "les")]
+LEXICON = [
+    ("R1", "en", "the of"), ("R1", "fr", "de la"), ("R2", "en", "and the"), ("R2", "de", "und der"), ("R3", "es", "de los"), ("R3", "en", "not"), ("R4", "fr", "les"),
+    ("R5", "en", "with that"), ("R5", "fr", "Dans, pour"), ("R6", "en", "from this that with"), ("R6", "en", "pain"), ("R7", "fr", "froid"), ("R7", "en", "Red"), ("R8", "fr", "été"), ("R8", "de", "für"), ("R9", "en", "that"), ("R9", "es", "para"),
+]
 LEX = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LEXICON) + ") l(rule_id, lang, term)"
-FOLDED = r"' ' || trim(regexp_replace(lower(strip_accents(replace(replace(text, 'ß', ' '), 'ẞ', ' '))), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+def _bare(text):
+    return f"lower(strip_accents(replace(replace({text}, 'ß', 'ss'), 'ẞ', 'ss')))"
+
+
+def _folded(text, others="[^a-z0-9]+"):
+    return f"trim(regexp_replace({_bare(text)}, '{others}', ' ', 'g'))"
 
 
 def _lexicon(spark):
     return spark.createDataFrame(LEXICON, "rule_id string, lang string, term string")
 
 
-@query(f"SELECT doc_id, rule_id, term FROM (SELECT doc_id, lang, {FOLDED} AS t FROM documents) d JOIN {LEX} ON l.lang = d.lang WHERE instr(t, ' ' || term || ' ') > 0")
+GENERIC = " OR ".join(f"(lang = '{k}' AND t IN ({', '.join(repr(t) for t in v)}))" for k, v in fixed_lexicon.GENERIC_TERMS.items())
+MOTIFS = f"""(SELECT doc_id, rule_id, x.t AS term FROM (SELECT doc_id, lang, ' ' || {_folded('text')} || ' ' AS body FROM documents) d
+  JOIN (SELECT DISTINCT rule_id, lang, {_folded('term')} AS t FROM {LEX}) x ON x.lang = d.lang WHERE contains(body, ' ' || x.t || ' ') AND NOT ({GENERIC.replace("lang", "x.lang").replace(" t ", " x.t ")}))"""
+
+
+@query(f"SELECT doc_id, rule_id, term FROM {MOTIFS}")
 def lexicon_match(spark, sf_dir):
-    return joins.lexicon_matches(table(spark, sf_dir, "documents"), _lexicon(spark), "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(lexicon.language_motifs(_lexicon(spark), F.col("text"), F.col("lang"))).alias("m"))
+    return d.select("doc_id", "m.rule_id", F.explode("m.matched_terms").alias("term"))
 
 
 @query(f"""
-WITH m AS (SELECT doc_id, rule_id, 2.0 * count(*) AS score FROM (SELECT doc_id, lang, {FOLDED} AS t FROM documents) d JOIN {LEX} ON l.lang = d.lang WHERE instr(t, ' ' || term || ' ') > 0 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER w AS k, lead(score, 1, 0) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, rule_id))
-SELECT doc_id, rule_id AS best, score::DOUBLE AS best_score, (score - nxt)::DOUBLE AS margin, CASE WHEN score < 2 THEN 'weak' WHEN score - nxt < 1 THEN 'ambiguous' ELSE 'unique' END AS status FROM r WHERE k = 1""")
+WITH t AS (SELECT doc_id, rule_id, max(length(term)) AS longest, string_agg(term, ',' ORDER BY length(term) DESC, term) AS terms FROM {MOTIFS} GROUP BY doc_id, rule_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY longest DESC, rule_id) AS place, rule_id, terms FROM t""")
+def lexicon_candidate_order(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lexicon.language_motifs(_lexicon(spark), F.col("text"), F.col("lang"))).alias("p", "m"))
+    return d.select("doc_id", (F.col("p") + 1).cast("long").alias("place"), "m.rule_id", F.array_join("m.matched_terms", ",").alias("terms"))
+
+
+WORD_OTHERS = r"[^\p{L}\p{N}_]+"
+SCORED_GENERIC = ", ".join(repr(t) for t in fixed_lexicon.SCORED_GENERIC_TERMS)
+SCORES = f"""
+WITH x AS (SELECT DISTINCT rule_id, t, list_filter(string_split(t, ' '), lambda w: length(w) >= 4) AS w FROM (SELECT rule_id, {_folded('term', WORD_OTHERS)} AS t FROM {LEX}) WHERE t NOT IN ({SCORED_GENERIC})),
+f AS (SELECT doc_id, {_folded("text || ' ' || string_split(text, chr(10))[1] || ' ' || coalesce(source, '')", WORD_OTHERS)} AS body, {_folded("string_split(text, chr(10))[1]", WORD_OTHERS)} AS f1, {_folded("coalesce(source, '')", WORD_OTHERS)} AS f2 FROM documents),
+b AS (SELECT doc_id, unnest([body, f1, f2]) AS v, unnest([0, 1, 2]) AS k FROM f),
+v AS (SELECT doc_id, k, ' ' || v || ' ' AS v, string_split(v, ' ') AS ws FROM b),
+s AS (SELECT doc_id, k, rule_id, t, CASE WHEN contains(v, ' ' || t || ' ') THEN 2.0 WHEN len(w) >= 2 AND len(list_filter(w, lambda q: list_contains(ws, q))) >= 0.75 * len(w) THEN 1.0 ELSE 0 END AS score FROM v, x),
+m AS (SELECT doc_id, rule_id, sum(score) FILTER (k = 0) + 0.5 * count(DISTINCT k) FILTER (k > 0) AS score, string_agg(t, ',' ORDER BY t) FILTER (k = 0) AS terms, count(DISTINCT k) FILTER (k > 0) AS n_fields FROM s WHERE score > 0 GROUP BY doc_id, rule_id),
+r AS (SELECT *, row_number() OVER w AS place, lead(score, 1, 0) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, rule_id)),
+o AS (SELECT d.doc_id, CASE WHEN score IS NULL THEN 'no_match' WHEN score < 2 THEN 'weak_match' WHEN score - nxt < 1 THEN 'ambiguous_match' ELSE 'unique_match' END AS status, coalesce(score, 0)::DOUBLE AS best_score, coalesce(score - nxt, 0)::DOUBLE AS margin,
+  rule_id AS best, terms, n_fields FROM documents d LEFT JOIN (SELECT * FROM r WHERE place = 1) b ON b.doc_id = d.doc_id)"""
+
+
+def _recovered(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    fields = {"first_line": F.get(F.split("text", "\n"), F.lit(0)), "source": F.col("source")}
+    return d.select("doc_id", lexicon.resolved(lexicon.scored_rules(_lexicon(spark), F.col("text"), fields)).alias("m"))
+
+
+@query(f"{SCORES} SELECT * FROM o")
 def lexicon_best_margin(spark, sf_dir):
-    m = joins.lexicon_matches(table(spark, sf_dir, "documents"), _lexicon(spark), "doc_id").groupBy("doc_id", "rule_id").agg((2.0 * F.count(F.lit(1))).alias("score"))
-    status = F.when(F.col("best_score") < 2, "weak").when(F.col("margin") < 1, "ambiguous").otherwise("unique")
-    return window.best_margin(m, "doc_id", "rule_id", "score").withColumn("status", status)
+    best = F.get("m.candidates", F.lit(0))
+    return _recovered(spark, sf_dir).select("doc_id", "m.status", F.col("m.score").alias("best_score"), "m.margin", best["rule_id"].alias("best"), F.array_join(best["matched_terms"], ",").alias("terms"), F.when(best.isNotNull(), F.size(best["structured_hits"]).cast("long")).alias("n_fields"))
+
+
+@query(f"""{SCORES} SELECT count_if(status = 'no_match') AS no_match, count_if(status = 'weak_match') AS weak_match, count_if(status = 'ambiguous_match') AS ambiguous_match, count_if(status = 'unique_match') AS unique_match,
+  count_if(status = 'unique_match' AND n_fields > 0) AS unique_with_fields, count_if(status = 'unique_match' AND n_fields = 0) AS unique_by_text FROM o""")
+def recovery_counts(spark, sf_dir):
+    return _recovered(spark, sf_dir).agg(*lexicon.recovery_counts(F.col("m")))
+
+
+@query(f"SELECT doc_id, rule_id, t AS term FROM (SELECT doc_id, lang, ' ' || {_folded('text')} || ' ' AS body FROM documents) d JOIN (SELECT DISTINCT rule_id, lang, {_folded('term')} AS t FROM {LEX}) x ON x.lang = d.lang WHERE contains(body, ' ' || t || ' ')".replace("'ss'", "' '"))
+def lexicon_match_by_join(spark, sf_dir):
+    return joins.lexicon_matches(table(spark, sf_dir, "documents"), _lexicon(spark), "doc_id").distinct()
 
 
 PREFS = "(SELECT o_custkey AS prompt, o_orderkey % 5 AS chosen, (o_orderkey // 5) % 5 AS rejected FROM orders WHERE o_orderkey % 5 <> (o_orderkey // 5) % 5)"
