@@ -60,6 +60,11 @@ RECOGNIZERS = [
     ]),
     ("PHONE_NUMBER", "[PHONE]", [r"\+?[0-9]{2,3}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}\b"]),
 ]
+#: How sure a recognizer is of its matches; of two at one place the surer one counts.
+RECOGNIZER_SCORES = {
+    "EMAIL_ADDRESS": 1.0, "URL": 0.6, "IP_ADDRESS": 0.6, "FR_NIR": 0.85, "PATIENT_ID": 0.8, "DATE_OF_BIRTH": 0.8,
+    "IDENTITY_INTRODUCTION": 0.85, "PHONE_NUMBER": 0.6,
+}
 CASED = ["EMAIL_ADDRESS", "URL", "IP_ADDRESS", "FR_NIR", "PHONE_NUMBER"]
 
 #: Reasons of the semantic dimensions; {} stands for what was found.

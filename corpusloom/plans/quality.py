@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import fixed, flags, privacy, records, text
+from corpusloom.functions import fixed, flags, privacy, records, redaction, text
 from corpusloom.functions.fingerprints import record_id, seeded_order
 
 from .registry import query, table
@@ -169,3 +169,22 @@ def qcm_checks(spark, sf_dir):
 @query("""SELECT doc_id, substr(sha256(lower(source) || '␟' || doc_id || '␟' || lower(lang)), 1, 24) AS id, sha256('[42,"' || doc_id || '"]') AS draw FROM documents""")
 def record_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", record_id(F.col("source"), F.col("doc_id"), F.col("lang")).alias("id"), seeded_order(F.col("doc_id")).alias("draw"))
+
+
+def _spans_sql(category, mark, patterns):
+    """Matches of one category with their places: text between matches and matches add up."""
+    p = (mark + "|".join(f"(?:{x})" for x in patterns)).replace("'", "''")
+    return f"""SELECT doc_id, '{category}' AS category, list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)::BIGINT AS start, hits[i] AS v
+  FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM documents) WHERE len(hits) > 0)"""
+
+
+@query(f"""SELECT doc_id, category, start, (start + length(v))::BIGINT AS "end", sha256(v) AS value_hash, CASE category {" ".join(f"WHEN '{c}' THEN '{t}'" for c, t, _ in fixed.RECOGNIZERS)} END AS replacement
+FROM ({" UNION ALL ".join(_spans_sql(*x) for x in PII)})""")
+def redaction_log(spark, sf_dir):
+    log = redaction.redaction_log(redaction.scan_texts(table(spark, sf_dir, "documents")))
+    return log.select("doc_id", "category", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value_hash", "replacement")
+
+
+@query()
+def redacted_digests(spark, sf_dir):
+    return redaction.redacted_digests(redaction.scan_texts(table(spark, sf_dir, "documents")))
