@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chats, clinical, curation, dedup, enrichment, evaluation, knowledge, more, quality, selection, semantic, signs, tables  # noqa: F401
+from . import audit, chats, clinical, curation, dedup, enrichment, evaluation, knowledge, monitoring, more, quality, selection, semantic, signs, tables  # noqa: F401
 from .registry import QUERIES, SQL
 
 
