@@ -153,9 +153,12 @@ def vector_links(nodes: DataFrame, *, cosine: float, projections: int = 48, sort
     far = F.array(*[(F.get("cells", F.lit(i)) + F.col(f"step.{n}")) for i, n in enumerate(names)])
     side = lambda s, cells: [F.col("label").alias("label" + s), F.col("size").alias("size" + s), cells.alias("cells" + s), F.col("block").alias("block" + s), *[F.col(n).alias(n + s) for n in held]]
     still = F.forall(F.array(*[F.col(f"step.{n}") for n in names]), lambda x: x == 0)
-    one = first.select(*side("1", far), still.alias("same"))
+    # the partner's block is part of the key, so that a hot cell is as many keys as it has blocks
+    partner = sizes.select(F.col("label").alias("label1"), F.col("size").alias("size1"), F.col("cells").alias("cells1"), F.sequence(F.lit(0), F.col("salts") - 1).alias("partners"))
+    one = first.select(*side("1", far), still.alias("same")).join(partner, ["label1", "size1", "cells1"])
+    one = one.select("*", F.explode("partners").alias("partner")).drop("partners").where(~F.col("same") | (F.col("block1") <= F.col("partner")))
     two = blocks.select(*side("2", F.col("cells")))
-    met = one.join(two, (F.col("label1") == F.col("label2")) & (F.col("size1") == F.col("size2")) & (F.col("cells1") == F.col("cells2"))).where(~F.col("same") | (F.col("block1") <= F.col("block2")))
+    met = one.join(two, (F.col("label1") == F.col("label2")) & (F.col("size1") == F.col("size2")) & (F.col("cells1") == F.col("cells2")) & (F.col("partner") == F.col("block2")))
     met = met.select(F.col("size1").alias("size"), F.when(F.col("same"), F.col("block1")).otherwise(-1).alias("block1"), "block2", *[n + s for s in ("1", "2") for n in held])
     return met.mapInArrow(partial(_summed, cosine=cosine, projections=projections, sorted_by=sorted_by, window=window, count=count, seed=seed), "a long, b long, near long")
 
