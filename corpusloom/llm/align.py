@@ -26,24 +26,32 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, forget, group_count, release_memory, stored
 
-#: Characters that some tokenizer may take as white space.
-BLANK = r"\x00-\x20\x7F\x85\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u2064\u3000\uFEFF"
+#: Characters that some tokenizer may take as white space, as ranges of code points.
+BLANK = "0-20 7F 85 A0 1680 180E 2000-200F 2028-202F 205F-2064 3000 FEFF"
+_IN_CLASS = "".join("-".join(rf"\x{{{c}}}" for c in r.split("-")) for r in BLANK.split())
+_IN_CLASS_PY = "".join("-".join(rf"\u{int(c, 16):04x}" for c in r.split("-")) for r in BLANK.split())
 #: Before a space that follows a visible character and has one after its white space.
-CUT = rf"(?<=[^{BLANK}])(?=\x20[{BLANK}]*+[^{BLANK}])"
-#: A space at an end of the text or beside other white space.
-UNEVEN = rf"^\x20|\x20[{BLANK}]|[{BLANK}]\x20|\x20\z"
-TOKENS = "array<struct<side:int,id:int,size:int>>"
+CUT = re.compile(rf"(?<=[^{_IN_CLASS_PY}])(?=\x20[{_IN_CLASS_PY}]*+[^{_IN_CLASS_PY}])")
+#: A space at an end of the text or beside other white space: most texts have none, and need no look around each place.
+UNEVEN = rf"^\x20|\x20[{_IN_CLASS}]|[{_IN_CLASS}]\x20|\x20\z"
+#: A token is its size, side and id in one number: size << 33 | side << 32 | id.
+TOKENS = "array<long>"
+#: Counts of id pairs up to so many rows are broadcast.
+BROADCAST = 1_000_000
+#: Grouping of rows that are in order already goes without hashing.
+SORTED = {"spark.sql.execution.replaceHashWithSortAgg": "true"}
 #: Bytes of stretches that are tokenized in one call.
 CHUNK = 1 << 14
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -129,70 +137,98 @@ def _tokens(batches, files: Tokenizers, cut: bool):
                 found += [list(x) for x in zip(*both, strict=True)]
         flat = np.concatenate([x for pair in found for x in pair] or [none])
         n = np.array([[len(x), len(y)] for x, y in found], dtype=np.int64).reshape(-1, 2)
-        side = np.repeat(np.tile(np.array([0, 1], dtype=np.int32), len(found)), n.reshape(-1))
+        side = np.repeat(np.tile(np.array([0, 1], dtype=np.int64), len(found)), n.reshape(-1))
         sizes = np.where(side == 0, sides[0].sizes[np.minimum(flat, len(of_a) - 1)], sides[1].sizes[np.minimum(flat, len(of_b) - 1)])
-        tokens = pa.StructArray.from_arrays([pa.array(side), pa.array(flat), pa.array(sizes)], names=["side", "id", "size"])
+        tokens = pa.array(sizes.astype(np.int64) << 33 | side << 32 | flat)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n.sum(axis=1))]), pa.int32()), tokens)
-        yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy()), lists], names=["stretch", "n", "n_a", "n_b", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), lists], names=["stretch", "n", "tokens"])
 
 
-def stretches(text: Column, cut: bool) -> Column:
-    """The stretches of space and text, each without its first space; none of a null or empty text."""
-    if not cut:
-        parts = F.array(text)
-    else:
-        apart = F.transform(F.split(F.concat(F.lit(" "), text), CUT), lambda x: F.substring(x, 2, 2**31 - 1))
-        parts = F.when(text.rlike(UNEVEN), apart).otherwise(F.split(text, " "))  # most texts need no look around each place
-    return F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<string>"))
+def _lists(texts: pa.Array | pa.ChunkedArray, cut: bool) -> pa.ListArray:
+    """The stretches of space and text of every text, each without its first space; none of a null or empty text."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    kind = pa.list_(pa.string())
+    texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, pa.string()), texts)
+    uneven = pc.match_substring_regex(texts, UNEVEN) if cut else pc.is_valid(texts)
+    even = pc.split_pattern(pc.if_else(uneven, pa.scalar(None, pa.string()), texts), " ").cast(kind)
+    if pc.any(uneven).as_py():
+        parts = lambda t: [x[1:] for x in CUT.split(" " + t)] if cut else [t]
+        found = pa.array([parts(t) if u else None for t, u in zip(texts.to_pylist(), uneven.to_pylist(), strict=True)], kind)
+        even = pc.coalesce(even, found)
+    return pc.coalesce(even, pa.scalar([], kind))
 
 
-def aligned_groups(encoded: DataFrame) -> DataFrame:
-    """key, n and groups (g, a, b: tokens with end, start and id, in order) of every stretch (key, n, tokens).
+def _occurring(batches, cut: bool):
+    """Each block's stretches of a batch and how often they occur."""
+    for batch in batches:
+        lists = _lists(batch.column("text"), cut)
+        table = pa.table({"block": pc.take(batch.column("block"), pc.list_parent_indices(lists)), "stretch": pc.list_flatten(lists)})
+        counted = table.group_by(["block", "stretch"]).aggregate([([], "count_all")])
+        yield from counted.select(["block", "stretch", "count_all"]).rename_columns(["block", "stretch", "n"]).to_batches(max_chunksize=1 << 16)
+
 
-    All steps are by stretch: after one exchange of the stretches' rows none needs another.
+def aligned_groups(encoded: DataFrame, starts: bool = False) -> DataFrame:
+    """key, n, g, a, b (ids that end at the group's end), told (``a1,a2|b1``), n_a, n_b of every group of every stretch (key, n,
+    tokens); with ``starts`` also the groups' tokens (end, start, id) in order.
+
+    All steps are by stretch: after one exchange of the stretches' rows none needs another, and rows stay in order of stretch.
     """
-    rows = encoded.repartition("key").select("key", "n", F.posexplode("tokens").alias("pos", "t")).select("key", "n", "pos", "t.*")
-    end = F.sum("size").over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("key", "n", "side", "id", end.cast("int").alias("end"), (end - F.col("size")).cast("int").alias("start"))
-    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
-    met = rows.groupBy("key", "end").agg(F.max("n").alias("n"), *[of(s, c) for s in (0, 1) for c in ("id", "start")])
-    cut = (F.col("id_0").isNotNull() & F.col("id_1").isNotNull()).cast("int")
-    passed = F.sum(cut).over(Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, 0))
-    met = met.select("*", (passed - cut).cast("int").alias("g"))
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col(f"id_{s}").isNotNull(), F.struct("end", F.col(f"start_{s}").alias("start"), F.col(f"id_{s}").alias("id")))))
-    groups = met.groupBy("key", "g").agg(F.max("n").alias("n"), side(0).alias("a"), side(1).alias("b"))
-    return groups.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
+    lists = encoded.select("key", "n", "tokens").repartition("key").sortWithinPartitions("key")
+    rows = lists.select("key", "n", F.posexplode("tokens").alias("pos", "t")).select(
+        "key", "n", "pos", F.shiftright("t", 32).bitwiseAND(1).cast("int").alias("side"), F.shiftright("t", 33).cast("int").alias("size"), F.col("t").bitwiseAND(0xFFFFFFFF).cast("int").alias("id"))
+    end = F.sum("size").over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.select("key", "n", "side", "id", "size", end.alias("end"))
+    of = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
+    met = rows.groupBy("key", "n", "end").agg(*[of(c, s) for c in (["id", "size"] if starts else ["id"]) for s in (0, 1)])
+    cut = F.col("id_0").isNotNull() & F.col("id_1").isNotNull()
+    passed = F.sum(cut.cast("int")).over(Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, 0))
+    met = met.select("*", (passed - cut.cast("int")).cast("int").alias("g")).sortWithinPartitions("key", "n", "g")
+    held = lambda s, *more: F.sort_array(F.collect_list(F.when(F.col(f"id_{s}").isNotNull(), F.struct("end", *more, F.col(f"id_{s}").alias("id")))))
+    told = F.concat_ws("|", *[F.array_join(held(s)["id"].cast("array<string>"), ",") for s in (0, 1)]).alias("told")
+    more = [held(s, (F.col("end") - F.col(f"size_{s}")).alias("start")).alias(f"tokens_{s}") for s in (0, 1)] if starts else []
+    return met.groupBy("key", "n", "g").agg(
+        F.max(F.when(cut, F.col("id_0"))).alias("a"), F.max(F.when(cut, F.col("id_1"))).alias("b"), told, F.count("id_0").alias("n_a"), F.count("id_1").alias("n_b"), *more)
 
 
 def align_stretches(encoded: DataFrame, links: str = "ends") -> tuple[DataFrame, DataFrame]:
-    """Figures and groups of each stretch (key, n, n_a, n_b, tokens), and the counts of linked id pairs (a, b, count, best).
+    """Figures and groups of each stretch (key, n, tokens), and the counts of linked id pairs (a, b, count, best).
 
-    ``links``: "ends" links tokens that end at the same byte, "overlap" those that share one.
+    ``links``: "ends" links tokens that end at the same byte, "overlap" those that share one.  The counts, which the vocabularies
+    bound, are broadcast up to ``BROADCAST`` rows and exchanged beyond.
     """
-    grouped = stored(aligned_groups(encoded.select("key", "n", "tokens")))
-    each = grouped.select("key", "n", F.explode("groups").alias("x"))
-    if links == "ends":
-        linked = each.select("key", "n", F.element_at("x.a", -1)["id"].alias("a"), F.element_at("x.b", -1)["id"].alias("b"))
-    elif links == "overlap":
-        pairs = each.select("key", "n", "x.b", F.explode("x.a").alias("p")).select("key", "n", "p", F.explode("b").alias("q"))
-        linked = pairs.where("p.start < q.end and q.start < p.end").select("key", "n", F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    else:
+    if links not in ("ends", "overlap"):
         raise ValueError(f"links: ends or overlap, not {links}")
+    by_range = links == "overlap"
+    groups = aligned_groups(encoded, by_range)
+    item = F.struct("g", "told", "a", "b", *(["tokens_0", "tokens_1"] if by_range else []))
+    grouped = groups.groupBy("key", "n").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sort_array(F.collect_list(item)).alias("x"))
+    drawn = F.transform("x", lambda x: F.struct(x["tokens_0"].alias("p"), x["tokens_1"].alias("q"))) if by_range else F.transform("x", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    grouped = stored(grouped.select("key", "n", "n_a", "n_b", F.size("x").cast("long").alias("n_groups"), F.array_join(F.col("x")["told"], ";").alias("groups"), drawn.alias("links")), SORTED)
+    linked = grouped.select("key", "n", F.explode("links").alias("x")).select("key", "n", "x.*")
+    if by_range:
+        pairs = linked.select("key", "n", "q", F.explode("p").alias("p")).select("key", "n", "p", F.explode("q").alias("q"))
+        linked = pairs.where("p.start < q.end and q.start < p.end").select("key", "n", F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     counts = stored(linked.groupBy("a", "b").agg(F.sum("n").alias("count")))
     counts = stored(counts.join(counts.groupBy("b").agg(F.max("count").alias("best")), "b"))
-    figures = linked.join(counts, ["a", "b"]).groupBy("key").agg(
+    looked = F.broadcast(counts) if counts.count() <= BROADCAST else counts
+    figures = linked.join(looked, ["a", "b"]).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_links"), F.count(F.when(F.col("count") == F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
-    ids = lambda x: F.array_join(F.transform(x, lambda t: t["id"].cast("string")), ",")
-    told = F.array_join(F.transform("groups", lambda x: F.concat(ids(x["a"]), F.lit("|"), ids(x["b"]))), ";").alias("groups")
-    groups = grouped.select("key", F.size("groups").cast("long").alias("n_groups"), told)
-    out = stored(encoded.select("key", "n_a", "n_b").join(groups, "key").join(figures, "key").select("key", *FIGURES, "groups"))
+    out = stored(encoded.select("key", "stretch").join(grouped.drop("n", "links"), "key").join(figures, "key").select("stretch", *FIGURES, "groups"))
     forget(grouped)
     return out, counts
 
 
-def _assembled(docs: pa.Table, known: pa.Table, digest: bool) -> pa.Table:
+def _in_order(batches, cut: bool):
+    """Rows' stretches, one by one."""
+    for batch in batches:
+        lists = _lists(batch.column("text"), cut)
+        table = pa.table({"row": pc.take(batch.column("row"), pc.list_parent_indices(lists)), "stretch": pc.list_flatten(lists)})
+        yield from table.to_batches(max_chunksize=1 << 16)
+
+
+def _assembled(docs: pa.Table, known: pa.Table, digest: bool, cut: bool) -> pa.Table:
     """A block's documents with the sums of their stretches' figures and their groups in order."""
-    lists = docs.column("parts").combine_chunks()
+    lists = _lists(docs.column("text"), cut)
     coded = pc.dictionary_encode(lists.flatten())
     place = pc.index_in(coded.dictionary, value_set=known.column("stretch").combine_chunks())
     of = pc.fill_null(place, len(known)).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
@@ -214,28 +250,29 @@ def _assembled(docs: pa.Table, known: pa.Table, digest: bool) -> pa.Table:
 def align_documents(docs: DataFrame, files: Tokenizers, *, links: str = "ends", digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs): n_a, n_b, n_groups, n_links, n_best, count_sum and groups (``a1,a2|b1;a3|b2``; with ``digest``
     their SHA-256) of every row, and the counts of linked id pairs (a, b, count, best)."""
-    cut, blocks = files.cut_safe(), group_count(docs)
+    cut, blocks = files.cut_safe(), group_count(docs, least=1)
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block"), key.alias("doc_id"), "text").repartition(blocks, "block")
-    parts = rows.select("block", "doc_id", stretches(F.col("text"), cut).alias("parts"))
-    held = stored(parts.select("block", F.explode_outer("parts").alias("stretch")).where("stretch is not null").groupBy("block", "stretch").agg(F.count(F.lit(1)).alias("n")))
+    counted = rows.select("block", "text").mapInArrow(partial(_occurring, cut=cut), "block int, stretch string, n long")
+    held = stored(counted.groupBy("block", "stretch").agg(F.sum("n").alias("n")))
     distinct = held.groupBy("stretch").agg(F.sum("n").alias("n"))
-    encoded = stored(distinct.mapInArrow(partial(_tokens, files=files, cut=cut), f"stretch string, n long, n_a long, n_b long, tokens {TOKENS}").withColumn("key", F.monotonically_increasing_id()))
-    broken = encoded.where(F.col("n_a") == 0).select("stretch")
+    encoded = stored(distinct.mapInArrow(partial(_tokens, files=files, cut=cut), f"stretch string, n long, tokens {TOKENS}").withColumn("key", F.monotonically_increasing_id()))
+    broken = encoded.where(F.size("tokens") == 0).select("stretch")
     if broken.limit(1).count():  # what documents with such a stretch hold counts for nothing
         hit = held.join(broken, "stretch", "left_semi").select("block").distinct()
-        in_blocks = parts.join(hit, "block", "left_semi").select("block", "doc_id", "parts", F.monotonically_increasing_id().alias("row"))
-        in_blocks = stored(in_blocks.select("row", F.explode("parts").alias("stretch")))
+        in_blocks = rows.join(hit, "block", "left_semi").select(F.monotonically_increasing_id().alias("row"), "text")
+        in_blocks = stored(in_blocks.mapInArrow(partial(_in_order, cut=cut), "row long, stretch string"))
         void = in_blocks.join(broken, "stretch", "left_semi").select("row").distinct()
         gone = in_blocks.join(void, "row", "left_semi").groupBy("stretch").agg(F.count(F.lit(1)).alias("gone"))
-        encoded = stored(encoded.where(F.col("n_a") > 0).join(gone, "stretch", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").where("n > 0"))
-    known, counts = align_stretches(encoded.drop("stretch"), links)
-    spelled = stored(encoded.select("key", "stretch").join(known, "key").drop("key"))
-    forget(encoded, known)
-    by_block = held.select("block", "stretch").join(spelled, "stretch").groupBy("block")
+        encoded = stored(encoded.where(F.size("tokens") > 0).join(gone, "stretch", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").where("n > 0"))
+    spelled, counts = align_stretches(encoded, links)
+    forget(encoded)
+    # stretches go to blocks by their hash: one that shares it comes along, and is not looked up
+    code = F.xxhash64("stretch").alias("code")
+    by_block = held.select("block", code).join(spelled.select(code, "*"), "code").drop("code").groupBy("block")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _assembled(left, right, digest)
+        return _assembled(left, right, digest, cut)
 
     fields = ", ".join(f"{c} long" for c in FIGURES)
-    return parts.groupBy("block").cogroup(by_block).applyInArrow(assemble, f"doc_id long, {fields}, groups string"), counts
+    return rows.groupBy("block").cogroup(by_block).applyInArrow(assemble, f"doc_id long, {fields}, groups string"), counts

@@ -30,10 +30,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``materialize``, as a compressed table in the shared folder: for many rows or nested ones."""
+#: The exchanges of a run that wrote a table are deleted with its end: the table takes their place.
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of one run."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """Like ``materialize``, as a compressed table in the shared folder: for many rows or nested ones.
+
+    ``more``: settings of the run that writes it.
+    """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(df.sparkSession, FREED | (more or {})):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,14 +86,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def group_count(docs: DataFrame, group_bytes: int = 32 << 20) -> int:
-    """Groups to cut a table of texts into: two a shuffle partition, more if a group would pass ``group_bytes``.
+def group_count(docs: DataFrame, group_bytes: int = 32 << 20, least: int = 2) -> int:
+    """Groups to cut a table of texts into: ``least`` a shuffle partition, more if a group would pass ``group_bytes``.
 
     A task holds one group at a time, so its memory does not grow with the table.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size < 1 << 60  # else Spark cannot tell
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-size // group_bytes) if known else 0)
+    return max(least * shuffle_partitions(docs.sparkSession), -(-size // group_bytes) if known else 0)
 
 
 def release_memory() -> None:
