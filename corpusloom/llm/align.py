@@ -177,17 +177,17 @@ def aligned_groups(encoded: DataFrame, starts: bool = False) -> DataFrame:
     rows = lists.select("key", "n", F.posexplode("tokens").alias("pos", "t")).select(
         "key", "n", "pos", F.shiftright("t", 32).bitwiseAND(1).cast("int").alias("side"), F.shiftright("t", 33).cast("int").alias("size"), F.col("t").bitwiseAND(0xFFFFFFFF).cast("int").alias("id"))
     end = F.sum("size").over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    rows = rows.select("key", "n", "side", "id", "size", end.alias("end"))
-    of = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
+    rows = rows.select("key", "n", "side", "id", "size", end.alias("end")).sortWithinPartitions("key", "n", "end")
+    of = lambda c, s: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True).alias(f"{c}_{s}")
     met = rows.groupBy("key", "n", "end").agg(*[of(c, s) for c in (["id", "size"] if starts else ["id"]) for s in (0, 1)])
     cut = F.col("id_0").isNotNull() & F.col("id_1").isNotNull()
-    passed = F.sum(cut.cast("int")).over(Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, 0))
+    passed = F.sum(cut.cast("int")).over(Window.partitionBy("key", "n").orderBy("end").rowsBetween(Window.unboundedPreceding, 0))
     met = met.select("*", (passed - cut.cast("int")).cast("int").alias("g")).sortWithinPartitions("key", "n", "g")
     held = lambda s, *more: F.sort_array(F.collect_list(F.when(F.col(f"id_{s}").isNotNull(), F.struct("end", *more, F.col(f"id_{s}").alias("id")))))
     told = F.concat_ws("|", *[F.array_join(held(s)["id"].cast("array<string>"), ",") for s in (0, 1)]).alias("told")
     more = [held(s, (F.col("end") - F.col(f"size_{s}")).alias("start")).alias(f"tokens_{s}") for s in (0, 1)] if starts else []
     return met.groupBy("key", "n", "g").agg(
-        F.max(F.when(cut, F.col("id_0"))).alias("a"), F.max(F.when(cut, F.col("id_1"))).alias("b"), told, F.count("id_0").alias("n_a"), F.count("id_1").alias("n_b"), *more)
+        F.max(F.when(cut, F.col("id_0"))).alias("a"), F.max(F.when(cut, F.col("id_1"))).alias("b"), told, F.count("id_0").alias("n_a"), F.count("id_1").alias("n_b"), *more).sortWithinPartitions("key", "n")
 
 
 def align_stretches(encoded: DataFrame, links: str = "ends") -> tuple[DataFrame, DataFrame]:
