@@ -13,8 +13,9 @@ tokens are its link.  Links by overlap (``links="overlap"``) come from a range c
 the number of linked occurrences in the corpus; a B id's best count is the highest of its pairs.
 
 Documents return by blocks: a block's distinct stretches, with their figures, meet the block's documents in one
-task, which adds the figures up and joins the groups in order.  Texts are exchanged twice and tokens never; a task holds one
-block of about 32 MB.
+task, which adds the figures up and joins the groups in order.  Blocks are dealt
+to three runs, one after another, so that their exchanges need not be on disk together.  Texts are exchanged twice and
+tokens never; a task holds one block of at most about 32 MB.
 
 Defined results: null and empty texts have no tokens; a text of which a stretch does not come back byte for byte from both
 tokenizers has none either, and counts for nothing; null doc_ids are kept; rows that repeat a document are aligned and
@@ -27,8 +28,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from binascii import hexlify
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ CUT = re.compile(rf"(?<=[^{_IN_CLASS_PY}])(?=\x20[{_IN_CLASS_PY}]*+[^{_IN_CLASS_
 UNEVEN = rf"^\x20|\x20[{_IN_CLASS}]|[{_IN_CLASS}]\x20|\x20\z"
 #: A token is its size, side and id in one number: size << 33 | side << 32 | id.
 TOKENS = "array<long>"
+#: Documents return in so many runs, each over its share of the blocks: the exchanges of one are deleted before the next.
+WAVES = 3
 #: Counts of id pairs up to so many rows are broadcast.
 BROADCAST = 1_000_000
 #: Grouping of rows that are in order already goes without hashing.
@@ -158,6 +162,22 @@ def _lists(texts: pa.Array | pa.ChunkedArray, cut: bool) -> pa.ListArray:
     return pc.coalesce(even, pa.scalar([], kind))
 
 
+def packed(spelled: DataFrame) -> DataFrame:
+    """Figures and groups in fewer bytes, for the exchange: two signs of the groups a byte, and differences that are mostly zero."""
+    signs = F.translate("groups", ",|;", "abc")
+    even = F.when(F.length(signs) % 2 == 1, F.concat(F.lit("f"), signs)).otherwise(signs)
+    return spelled.select("stretch", "n_a", "n_b", "n_groups", (F.col("n_links") - F.col("n_groups")).alias("n_links"), (F.col("n_links") - F.col("n_best")).alias("n_best"), "count_sum", F.unhex(even).alias("groups"))
+
+
+def _unpacked(known: pa.Table) -> tuple[list[np.ndarray], list[bytes]]:
+    """Figures and groups of ``packed`` rows."""
+    values = {name: known.column(name).to_numpy() for name in FIGURES}
+    values["n_links"] = values["n_links"] + values["n_groups"]
+    values["n_best"] = values["n_links"] - values["n_best"]
+    signs = bytes.maketrans(b"abc", b",|;")
+    return [values[name] for name in FIGURES], [hexlify(x).translate(signs, b"f") for x in known.column("groups").to_pylist()]
+
+
 def _occurring(batches, cut: bool):
     """Each block's stretches of a batch and how often they occur."""
     for batch in batches:
@@ -236,12 +256,12 @@ def _assembled(docs: pa.Table, known: pa.Table, digest: bool, cut: bool) -> pa.T
     lost = np.concatenate([[0], np.cumsum(of == len(known))])[ends]
     whole = (np.diff(lost) == 0) & (np.diff(ends) > 0)  # all stretches came back from both tokenizers
     out = [docs.column("doc_id")]
-    for name in FIGURES:
-        total = np.concatenate([[0], np.cumsum(np.append(known.column(name).to_numpy(), 0)[of])])[ends]
+    figures, names = _unpacked(known)
+    for values in figures:
+        total = np.concatenate([[0], np.cumsum(np.append(values, 0)[of])])[ends]
         out.append(pa.array(np.where(whole, np.diff(total), 0)))
-    names = known.column("groups").to_pylist()
-    texts = (";".join([names[i] for i in of[a:b].tolist()]) if w else "" for a, b, w in zip(ends[:-1].tolist(), ends[1:].tolist(), whole.tolist(), strict=True))
-    out.append(pa.array((hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts) if digest else texts, pa.string()))
+    texts = (b";".join([names[i] for i in of[a:b].tolist()]) if w else b"" for a, b, w in zip(ends[:-1].tolist(), ends[1:].tolist(), whole.tolist(), strict=True))
+    out.append(pa.array((hashlib.sha256(t).hexdigest() if t else "" for t in texts) if digest else (t.decode() for t in texts), pa.string()))
     table = pa.table(out, names=["doc_id", *FIGURES, "groups"])
     release_memory()
     return table
@@ -252,7 +272,8 @@ def align_documents(docs: DataFrame, files: Tokenizers, *, links: str = "ends",
     their SHA-256) of every row, and the counts of linked id pairs (a, b, count, best)."""
     cut, blocks = files.cut_safe(), group_count(docs, least=1)
     key = F.col("doc_id").cast("long")
-    rows = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block"), key.alias("doc_id"), "text").repartition(blocks, "block")
+    placed = docs.select(F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block"), key.alias("doc_id"), "text")
+    rows = placed.repartition(blocks, "block")
     counted = rows.select("block", "text").mapInArrow(partial(_occurring, cut=cut), "block int, stretch string, n long")
     held = stored(counted.groupBy("block", "stretch").agg(F.sum("n").alias("n")))
     distinct = held.groupBy("stretch").agg(F.sum("n").alias("n"))
@@ -267,12 +288,17 @@ def align_documents(docs: DataFrame, files: Tokenizers, *, links: str = "ends",
         encoded = stored(encoded.where(F.size("tokens") > 0).join(gone, "stretch", "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").where("n > 0"))
     spelled, counts = align_stretches(encoded, links)
     forget(encoded)
-    # stretches go to blocks by their hash: one that shares it comes along, and is not looked up
-    code = F.xxhash64("stretch").alias("code")
-    by_block = held.select("block", code).join(spelled.select(code, "*"), "code").drop("code").groupBy("block")
-
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         return _assembled(left, right, digest, cut)
 
     fields = ", ".join(f"{c} long" for c in FIGURES)
-    return rows.groupBy("block").cogroup(by_block).applyInArrow(assemble, f"doc_id long, {fields}, groups string"), counts
+    # stretches go to blocks by their hash: one that shares it comes along, and is not looked up
+    code = F.xxhash64("stretch").alias("code")
+    done = []
+    for wave in range(WAVES):
+        mine = F.pmod("block", F.lit(WAVES)) == wave
+        by_block = held.where(mine).select("block", code).join(packed(spelled).select(code, "*"), "code").drop("code").groupBy("block")
+        texts = placed.where(mine).repartition(blocks, "block")
+        done.append(stored(texts.groupBy("block").cogroup(by_block).applyInArrow(assemble, f"doc_id long, {fields}, groups string")))
+    forget(held, spelled)
+    return reduce(DataFrame.union, done), counts
