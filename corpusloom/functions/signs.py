@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 
 from .fixed_fields import FIELDS, FREQUENCY_ITEM, NOT_VALUES, QUESTION_TAIL
 from .fixed_signs import CONDITIONS, HISTORY_NARRATIVES, HISTORY_SECTIONS, NO_HISTORY, NOT_CONDITIONS, NOT_SYMPTOMS, SYMPTOM_NARRATIVES, SYMPTOM_SECTIONS
+from .gates import all_matches, needed, plain_case
 from .text import clean_text, key_text
 
 ANY_CASE = "(?iU)"
@@ -28,7 +29,7 @@ def _fragments(values: Column) -> Column:
 
 
 def _matches(text: Column, patterns: list[str]) -> Column:
-    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(ANY_CASE + p), F.lit(1)) for p in patterns]))
+    return all_matches(text, patterns, ANY_CASE)
 
 
 def unique(values: Column) -> Column:
@@ -108,19 +109,16 @@ def any_sign(patterns: list[str]) -> re.Pattern:
 def sign_states(positive: dict[str, list[str]], negative: dict[str, list[str]]):
     """A function of a text column: struct(states, present, conflicts). A sign is PRESENT where matches lie outside
     all negations, ABSENT where only negations are, else UNKNOWN; both together are a conflict too. Null: all UNKNOWN."""
-    made = lambda p: [re.compile(x, re.IGNORECASE) for x in p]
+    made = lambda p: [(re.compile(x, re.IGNORECASE), needed(x) or ("",)) for x in p]
     signs = [(name, made(p), made(negative.get(name, []))) for name, p in positive.items()]
-    anything = any_sign([x for group in (*positive.values(), *negative.values()) for x in group])
-    nothing = ({name: "UNKNOWN" for name in positive}, [], [])
-    spans = lambda patterns, t: [m.span() for p in patterns for m in p.finditer(t)]
+    nothing = {name: "UNKNOWN" for name in positive}
+    spans = lambda patterns, t, low: [m.span() for p, words in patterns if any(w in low for w in words) for m in p.finditer(t)]
 
     def told(t: str) -> tuple[dict, list, list]:
-        if not anything.search(t):
-            return nothing
-        states, conflicts = {}, []
+        low, states, conflicts = plain_case(t), nothing.copy(), []
         for name, yes, no in signs:
-            against = spans(no, t)
-            there = any(not any(a <= i and j <= b for a, b in against) for i, j in spans(yes, t))
+            against = spans(no, t, low)
+            there = any(not any(a <= i and j <= b for a, b in against) for i, j in spans(yes, t, low))
             states[name] = "UNKNOWN" if there == bool(against) else "PRESENT" if there else "ABSENT"
             if there and against:
                 conflicts.append(name)
