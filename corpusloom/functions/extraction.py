@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .fixed_clinical import AGE, CMHG_TO_MMHG, NUMBER_TENS, NUMBER_UNITS, NUMBERS, PATIENT_SEX, PLAUSIBLE, PRESSURE_CMHG, PRESSURE_MMHG, TEMPERATURE, WORD_AGE
 from .fixed_signs import DURATIONS, EVOLUTIONS, MINUTES
+from .gates import all_matches, matches_any, once
 from .text import clean_text, key_text
 
 ANY_CASE = "(?iU)"
@@ -20,17 +21,16 @@ def _number(value: Column) -> Column:
 
 
 def _found(text: Column, patterns: list[str], part: int = 1) -> Column:
-    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(ANY_CASE + p), F.lit(part)) for p in patterns]))
+    return all_matches(text, patterns, ANY_CASE, part)
 
 
 def plausible(value: Column, name: str) -> Column:
     low, high = PLAUSIBLE[name]
-    return F.when(value.between(low, high), value)
+    return once(value, lambda v: F.when(v.between(low, high), v))
 
 
 def only_value(values: Column) -> Column:
-    kinds = F.array_distinct(values)
-    return F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0)))
+    return once(F.array_distinct(values), lambda kinds: F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))))
 
 
 def vital(text: Column, name: str) -> Column:
@@ -48,12 +48,12 @@ def temperature(text: Column) -> Column:
 def pressure(text: Column) -> Column:
     """struct(s, d), systolic and diastolic in mmHg: the first match that is plausible and in order, centimetres before
     millimetres; else each on its own."""
+    ok = lambda p: p["s"].between(*PLAUSIBLE["systolic_bp"]) & p["d"].between(*PLAUSIBLE["diastolic_bp"]) & (p["s"] > p["d"])
     tried = []
     for patterns, factor in ((PRESSURE_CMHG, CMHG_TO_MMHG), (PRESSURE_MMHG, 1)):
-        for p in patterns:
-            s, d = (_number(F.regexp_extract(text, ANY_CASE + p, k)) * factor for k in (1, 2))
-            ok = plausible(s, "systolic_bp").isNotNull() & plausible(d, "diastolic_bp").isNotNull() & (s > d)
-            tried.append(F.when(ok, F.struct(s.alias("s"), d.alias("d"))))
+        for pattern in patterns:
+            s, d = (_number(F.regexp_extract(text, ANY_CASE + pattern, k)) * factor for k in (1, 2))
+            tried.append(once(F.struct(s.alias("s"), d.alias("d")), lambda p: F.when(ok(p), p)))
     return F.coalesce(*tried, F.struct(vital(text, "systolic_bp").alias("s"), vital(text, "diastolic_bp").alias("d")))
 
 
@@ -83,7 +83,7 @@ def word_age(text: Column) -> Column:
 
 def age(text: Column) -> Column:
     """struct(unit, value): days, months or years, the first that has one plausible value; else years in words."""
-    named = lambda unit, v: F.when(v.isNotNull(), F.struct(F.lit(unit).alias("unit"), v.cast("int").alias("value")))
+    named = lambda unit, value: once(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(unit).alias("unit"), v.cast("int").alias("value"))))
     tried = [named(unit, plausible(only_value(F.transform(_found(text, p), _number)), unit)) for unit, p in AGE.items()]
     return F.coalesce(*tried, named("age_years", word_age(text)))
 
@@ -99,26 +99,24 @@ def age_years(text: Column) -> Column:
 
 def sex(text: Column) -> Column:
     """male or female if patterns of exactly one are there."""
-    m, f = (text.rlike(ANY_CASE + "|".join(PATIENT_SEX[k])) for k in ("male", "female"))
-    return F.when(m & ~f, "male").when(f & ~m, "female")
+    told = F.struct(*[matches_any(text, PATIENT_SEX[k], ANY_CASE).alias(k) for k in ("male", "female")])
+    return once(told, lambda t: F.when(t["male"] & ~t["female"], "male").when(t["female"] & ~t["male"], "female"))
 
 
 def duration(text: Column) -> Column:
     """How long something has lasted, as told, if all matches tell the same."""
-    told = F.transform(_found(text, DURATIONS), clean_text)
-    return F.when(F.size(F.array_distinct(F.transform(told, lambda v: F.lower(key_text(v))))) == 1, F.get(told, F.lit(0)))
+    same = lambda told: F.size(F.array_distinct(F.transform(told, lambda v: F.lower(key_text(v))))) == 1
+    return once(F.transform(_found(text, DURATIONS), clean_text), lambda told: F.when(same(told), F.get(told, F.lit(0))))
 
 
 def duration_minutes(text: Column) -> Column:
-    told = F.lower(duration(text))
-    unit = F.regexp_extract(told, r"[a-z]+", 0)
-    scale = F.coalesce(*[F.when(unit.rlike(f"^(?:{p})"), F.lit(float(n))) for p, n in MINUTES])
-    return F.round(_number(F.regexp_extract(told, r"^[0-9.,]+", 0)) * scale, 2)
+    scale = lambda unit: F.coalesce(*[F.when(unit.rlike(f"^(?:{p})"), F.lit(float(n))) for p, n in MINUTES])
+    return once(F.lower(duration(text)), lambda told: F.round(_number(F.regexp_extract(told, r"^[0-9.,]+", 0)) * once(F.regexp_extract(told, r"[a-z]+", 0), scale), 2))
 
 
 def evolution(text: Column) -> Column:
     """worsening, improving, stable, sudden or progressive, if exactly one is told."""
-    return only_value(F.array_compact(F.array(*[F.when(text.rlike(ANY_CASE + "|".join(p)), k) for k, p in EVOLUTIONS.items()])))
+    return only_value(F.array_compact(F.array(*[F.when(matches_any(text, p, ANY_CASE), k) for k, p in EVOLUTIONS.items()])))
 
 
 def tri_state(text: Column, positive: str, negative: str) -> Column:

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as shuffles have: a small file is read by one task, however much work its rows are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def query(sql: str | None = None):
     """Register a function (spark, sf_dir) under its name, with the SQL of the same rows."""
     def keep(f):

@@ -9,7 +9,7 @@ from corpusloom.functions.fixed_knowledge import ALIAS_EXCLUDED, LANGUAGE_MARKER
 from corpusloom.functions.text import key_text
 from corpusloom.operators import aliases, medical
 
-from .registry import query, table
+from .registry import query, spread, table
 
 #: Told at the end of each document: facts, near misses and negations.
 TOLD = [
@@ -80,10 +80,12 @@ SELECT *, patient_fields <> '' AS has_patient_information, knowledge_fields <> '
 def medical_extractions(spark, sf_dir):
     case = F.element_at(F.array(*map(F.lit, CASES)), (F.col("p_partkey") % len(CASES) + 1).cast("int"))
     none = F.lit(None).cast("string")
-    r = table(spark, sf_dir, "part").select("p_partkey", case.alias("context"), F.col("p_name").alias("question"), none.alias("answer"), F.lit(None).cast("map<string,string>").alias("choices"), none.alias("labels"), F.lit("de").alias("language"))
-    r = medical.extract_knowledge(medical.extract_patient(r))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    r = part.select("p_partkey", case.alias("context"), F.col("p_name").alias("question"), none.alias("answer"), F.lit(None).cast("map<string,string>").alias("choices"), none.alias("labels"), F.lit("de").alias("language"))
+    r = medical.extract_knowledge(medical.extract_patient(r)).select("p_partkey", *[F.col(f"{c}.extracted_fields").alias(c) for c in ("patient", "medical_knowledge")])
     rules = F.array().cast("array<string>")
-    s = r.select("p_partkey", medical.extraction_summary(F.col("patient"), F.col("medical_knowledge"), rules, rules).alias("s"))
+    fields = [F.struct(F.col(c).alias("extracted_fields")) for c in ("patient", "medical_knowledge")]
+    s = r.select("p_partkey", medical.extraction_summary(*fields, rules, rules).alias("s"))
     listed = lambda c: F.array_join(f"s.{c}", ",")
     return s.select("p_partkey", listed("patient_fields").alias("patient_fields"), listed("medical_knowledge_fields").alias("knowledge_fields"), "s.has_patient_information", "s.has_medical_knowledge")
 
