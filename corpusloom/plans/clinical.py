@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import extraction
 from corpusloom.operators import rules
 
-from .registry import query, table
+from .registry import query, spread, table
 
 #: A small protocol that reaches every kind of decision.
 PROTOCOL = {"motifs": [
@@ -91,7 +91,7 @@ SELECT p_partkey, (p_partkey % 90 + 5)::DOUBLE AS age, CASE WHEN p_partkey % 2 =
   (p_size + 100)::DOUBLE AS systolic, (p_size + 30)::DOUBLE AS diastolic, CASE WHEN p_partkey % 7 <> 0 THEN (p_size + 60) / (p_size + 100) END AS shock_index, (p_partkey % 9 + 1) * 1440.0 AS minutes, round(36 + (p_size % 10) / 10.0, 1)::DOUBLE AS temperature,
   CASE WHEN p_partkey % 3 = 0 THEN 'PRESENT' WHEN p_partkey % 3 = 1 THEN 'ABSENT' ELSE 'UNKNOWN' END AS fever FROM part""")
 def clinical_facts(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     s, k = F.col("p_size"), F.col("p_partkey")
     t = F.concat(F.when(k % 2 == 0, "Homme de ").otherwise("Femme de "), (k % 90 + 5).cast("string"), F.lit(" ans. FC: "), (s + 60).cast("string"), F.when(k % 7 == 0, F.concat(F.lit(" puis 3"), (s % 10).cast("string"), F.lit(" bpm"))).otherwise(""), F.lit(", TA "), (s + 100).cast("string"), F.lit("/"), (s + 30).cast("string"),
                  F.lit(", T 36."), (s % 10).cast("string"), F.lit(" °C depuis "), (k % 9 + 1).cast("string"), F.lit(" jours. "), F.when(k % 3 == 0, "fever present").when(k % 3 == 1, "no fever").otherwise("nothing"))
