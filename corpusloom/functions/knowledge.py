@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_knowledge import ANATOMY, CHOICE_OPTION, CHOICE_QUESTION, INTENTS, NOT_CONFLICT, NOT_DUPLICATE, SUBJECTS
+from .gates import lowered, may_match, once
 from .records import unique_texts
 from .text import clean_text
 
@@ -24,13 +25,18 @@ def question_subject(question: Column) -> Column:
     return F.coalesce(*[F.nullif(clean_text(F.regexp_extract(q, ANY_CASE + p, 1)), F.lit("")) for p in SUBJECTS])
 
 
+def _gated(text: Column, hit, terms: list[str]) -> Column:
+    return once(lowered(text), lambda low: F.array_compact(F.array(*[hit(low, t) for t in terms])))
+
+
 def anatomy(text: Column, language: Column) -> Column:
     """Sorted anatomical terms that stand as whole words; none in languages other than French and English."""
     code = F.substring(F.lower(F.trim(language)), 1, 2)
     found = F.array().cast("array<string>")
     for lang, terms in ANATOMY.items():
-        hits = [F.when(text.rlike(rf"{ANY_CASE}(?<!\w){t}(?!\w)"), F.lit(t)) for t in sorted(terms)]
-        found = F.when(code == lang, F.array_compact(F.array(*hits))).otherwise(found)
+        hit = lambda low, t: F.when(may_match(low, [t]) & text.rlike(rf"{ANY_CASE}(?<!\w){t}(?!\w)"), F.lit(t))
+        hits = _gated(text, hit, sorted(terms))
+        found = F.when(code == lang, hits).otherwise(found)
     return found
 
 
