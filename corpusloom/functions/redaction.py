@@ -9,15 +9,18 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .fixed import CASED, RECOGNIZER_SCORES, RECOGNIZERS
 
 SPAN = "struct<category:string,start:int,end:int,score:double,value_hash:string,replacement:string>"
 SCAN = f"struct<spans:array<{SPAN}>,places:array<struct<category:string,start:int,end:int>>,redacted:string>"
+PLACED = [("category", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
+SCANNED = pa.struct([("spans", pa.list_(pa.struct([*PLACED, ("score", pa.float64()), ("value_hash", pa.string()), ("replacement", pa.string())]))), ("places", pa.list_(pa.struct(PLACED))), ("redacted", pa.string())])
+#: Texts that Python holds with their spans at once.
+AT_ONCE = 64
 TOKENS = {c: token for c, token, _ in RECOGNIZERS}
 Found = tuple[str, int, int, float]
 
@@ -77,14 +80,24 @@ def replaced(text: str, places: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _scan(texts: pd.Series) -> pd.DataFrame:
-    recognizers, rows = compiled(), []
+def _scan(texts: list[str], recognizers: list[tuple[str, re.Pattern]]) -> list[dict]:
+    rows = []
     for t in texts:
         spans = found_in(t, recognizers)
         places = resolved(spans, t)
         told = [{"category": c, "start": a, "end": b, "score": s, "value_hash": hashlib.sha256(t[a:b].encode()).hexdigest(), "replacement": TOKENS[c]} for c, a, b, s in spans]
-        rows.append((told, [{"category": c, "start": a, "end": b} for c, a, b in places], replaced(t, places)))
-    return pd.DataFrame(rows, columns=["spans", "places", "redacted"])
+        rows.append({"spans": told, "places": [{"category": c, "start": a, "end": b} for c, a, b in places], "redacted": replaced(t, places)})
+    return rows
+
+
+def _scanned(batches):
+    """text_hash and scan, a few texts at a time: memory does not grow with the batches that Spark sends."""
+    recognizers = compiled()
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(first, AT_ONCE)
+            scans = pa.array(_scan(part.column("text").to_pylist(), recognizers), SCANNED)
+            yield pa.RecordBatch.from_arrays([part.column("text_hash"), scans], names=["text_hash", "scan"])
 
 
 def any_match(text: Column) -> Column:
@@ -101,7 +114,7 @@ def scan_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(key, text.alias("text"), F.sha2(text, 256).alias("text_hash"))
     may = keyed.where(any_match(F.col("text"))).groupBy("text_hash").agg(F.any_value("text").alias("text"))
-    once = may.select("text_hash", pandas_udf(_scan, SCAN)("text").alias("scan"))
+    once = may.select("text_hash", "text").mapInArrow(_scanned, f"text_hash string, scan {SCAN}")
     none = F.struct(F.array().cast(f"array<{SPAN}>").alias("spans"), F.array().cast("array<struct<category:string,start:int,end:int>>").alias("places"), F.lit(None).cast("string").alias("redacted"))
     return keyed.select(key, "text_hash").join(once, "text_hash", "left").select(key, "text_hash", F.coalesce("scan", none).alias("scan"))
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from corpusloom.functions import redaction
 from corpusloom.functions.fixed import CASED, RECOGNIZER_SCORES, RECOGNIZERS
 
@@ -61,3 +63,10 @@ def test_overlaps():
     spans = [("URL", 0, 30, 0.6), ("EMAIL_ADDRESS", 10, 20, 1.0), ("FR_NIR", 40, 50, 0.85), ("PHONE_NUMBER", 45, 60, 0.6), ("IP_ADDRESS", 70, 80, 0.6), ("PHONE_NUMBER", 70, 80, 0.6)]
     assert redaction.resolved(spans, "x" * 100) == [("URL", 0, 30), ("FR_NIR", 40, 45), ("PHONE_NUMBER", 45, 60), ("IP_ADDRESS", 70, 80)]
     assert redaction.merged([("URL", 0, 3, 0.6), ("URL", 4, 6, 0.6), ("URL", 8, 9, 0.6)], "aaa bb,,c") == [("URL", 0, 6, 0.6), ("URL", 8, 9, 0.6)]
+
+
+def test_scans_come_in_small_batches():
+    batch = pa.RecordBatch.from_pydict({"text_hash": [str(i) for i in range(1000)], "text": ["mail a@b.example.org"] * 1000})
+    out = list(redaction._scanned([batch]))
+    assert sum(b.num_rows for b in out) == 1000 and max(b.num_rows for b in out) <= redaction.AT_ONCE
+    assert [x.as_py() for b in out for x in b.column("text_hash")] == [str(i) for i in range(1000)] and out[0].column("scan")[0].as_py()["spans"]
