@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .curation import triage_marker_status
 from .fixed_categories import MEDICAL_TERMS, RISK, SENSITIVE_HEALTH, TRIAGE
+from .gates import may_match
 from .text import fold_accents, key_text
 
 WIDE = "(?U)"
@@ -26,7 +27,7 @@ def _any_of(patterns: list[str]) -> str:
 
 def detect(text: Column, markers: dict[str, list[str]]) -> Column:
     """Names whose patterns stand in a folded text, in the order of the dictionary."""
-    return F.array_compact(F.array(*[F.when(text.rlike(_any_of(p)), k) for k, p in markers.items()]))
+    return F.array_compact(F.array(*[F.when(may_match(text, p) & text.rlike(_any_of(p)), k) for k, p in markers.items()]))
 
 
 def medical_markers(text: Column) -> Column:

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import extraction, fixed_clinical, fixed_concepts, fixed_fields, fixed_signs, gates
+from corpusloom.functions import categories, extraction, fixed_categories, fixed_clinical, fixed_concepts, fixed_fields, fixed_signs, gates, knowledge
 from corpusloom.plans import catalogue
 from corpusloom.plans.signs import CASES, TOLD
 
@@ -42,3 +42,12 @@ def test_values_are_computed_once():
 @pytest.mark.parametrize("name", ["clinical_facts", "medical_extractions"])
 def test_one_small_file_is_dealt_to_many_tasks(spark, name):
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_categories_and_anatomy_are_gated(spark):
+    d = spark.createDataFrame([("Severe CHEST pain, coma; le cœur", "fr"), ("nothing", "en"), ("The HEART", "en"), (None, "fr")], "t string, lang string")
+    found = d.select(F.array_join(categories.detect(categories.folded(F.col("t")), fixed_categories.TRIAGE), ",").alias("c"), F.array_join(knowledge.anatomy(F.col("t"), F.col("lang")), ",").alias("a"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("contains(") > len(fixed_categories.TRIAGE)
+    got = found.collect()
+    assert got[0].c == "CONSCIOUSNESS,ACUTE_PAIN" and got[0].a == "cœur" and got[1] == ("", "") and got[2] == ("", "heart") and got[3].c == ""
