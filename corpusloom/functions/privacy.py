@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import gates
 from .fixed import CASED, RECOGNIZERS
 
 PERSON_AFTER_TITLE = r"\b(?:M\.|Mr\.?|Mme|Mrs\.?|Ms\.?|Dr\.?|Prof\.?)\s+[A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+)?"
+#: What each match of a recognizer holds, where no string is certain.
+DIGITS = {"IP_ADDRESS": r"[0-9]\.[0-9]", "FR_NIR": r"(?U)[12]\s?\d{2}\s?\d{2}\s?\d", "PHONE_NUMBER": r"[0-9]{2}[ .-][0-9]{2}"}
 BIRTH_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d"]
 
 
@@ -21,24 +24,50 @@ def _pattern(category: str, patterns: list[str]) -> str:
     return ("(?U)" if category in CASED else "(?iU)") + joined
 
 
+def _may(text: Column, low: Column, category: str, patterns: list[str]) -> Column:
+    """Whether a text (``low``: in lower case) has the string or the digits that a recognizer needs."""
+    digits = DIGITS.get(category)
+    return text.rlike(digits) if digits else gates.may_match(low, patterns)
+
+
 def matches(text: Column) -> Column:
-    """array<struct<category, value_hash>> of all recognizers, in their order."""
+    """array<struct<category, value_hash>> of all recognizers, in their order; each runs only on texts with what it needs."""
+    return gates.once(text, lambda t: gates.once(gates.lowered(t), lambda low: _matches(t, low)))
+
+
+def _matches(text: Column, low: Column) -> Column:
     def found_as(category: str):
         return lambda v: F.struct(F.lit(category).alias("category"), F.sha2(v, 256).alias("value_hash"))
 
-    found = [F.transform(F.regexp_extract_all(text, F.lit(_pattern(c, p)), F.lit(0)), found_as(c)) for c, _, p in RECOGNIZERS]
-    return F.flatten(F.array(*found))
+    none = F.array().cast("array<string>")
+    values = lambda c, p: F.when(_may(text, low, c, p), F.regexp_extract_all(text, F.lit(_pattern(c, p)), F.lit(0))).when(text.isNotNull(), none)
+    return F.flatten(F.array(*[F.transform(values(c, p), found_as(c)) for c, _, p in RECOGNIZERS]))
 
 
 def categories(text: Column) -> Column:
     """The sorted categories found in a text; PERSON where a title stands before a name."""
-    tests = {c: text.rlike(_pattern(c, p)) for c, _, p in RECOGNIZERS} | {"PERSON": text.rlike(PERSON_AFTER_TITLE)}
-    return F.array_compact(F.array(*[F.when(tests[c], c) for c in sorted(tests)]))
+    def found(t: Column, low: Column) -> Column:
+        tests = {c: _may(t, low, c, p) & t.rlike(_pattern(c, p)) for c, _, p in RECOGNIZERS} | {"PERSON": t.rlike(PERSON_AFTER_TITLE)}
+        return F.array_compact(F.array(*[F.when(tests[c], c) for c in sorted(tests)]))
+
+    return gates.once(text, lambda t: gates.once(gates.lowered(t), lambda low: found(t, low)))
 
 
 def redact(text: Column) -> Column:
+    """Every match replaced by its category's token, one recognizer after the other."""
+    return gates.once(text, lambda t: gates.once(gates.lowered(t), lambda low: _redacted(t, low)))
+
+
+def _redacted(text: Column, low: Column) -> Column:
+    def kept(category: str, token: str, patterns: list[str]):
+        return lambda t: F.when(_may(t, low, category, patterns), F.regexp_replace(t, _pattern(category, patterns), token)).otherwise(t)
+
+    tokens: list[str] = []
     for c, token, p in RECOGNIZERS:
-        text = F.regexp_replace(text, _pattern(c, p), token)
+        # what is needed must stand in the text from the start, unless a token brings it
+        brought = any(w in t.lower() for q in p for w in gates.needed(q) or () for t in tokens)
+        text = F.regexp_replace(text, _pattern(c, p), token) if brought else gates.once(text, kept(c, token, p))
+        tokens.append(token)
     return text
 
 
