@@ -48,7 +48,9 @@ def plain_case(text: str) -> str:
 
 
 def lowered(text: Column) -> Column:
-    return F.lower(F.translate(text, ODD_CASE, PLAIN_CASE))
+    for odd, plain in zip(ODD_CASE, PLAIN_CASE, strict=True):  # plain searches, where a translation looks up every character
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
 
 
 def once(value: Column, f) -> Column:
