@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold_term, key_text, tokens
 
+from .graph import reliable
+
+#: Rows that are sent to every task at most.
+MOST_SENT = 1_000_000
 
 def override(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """``left`` with ``value`` replaced where ``right`` has one."""
@@ -40,16 +44,33 @@ def shingle_rows(df: DataFrame, key: str, text: Column, width: int) -> DataFrame
 
     Words are exploded with their places and joined to windows in sorted order, so no text is split twice.
     """
+    return _shingles(df, key, text, width).select(key, F.explode("_s").alias("shingle"))
+
+
+def _shingles(df: DataFrame, key: str, text: Column, width: int) -> DataFrame:
+    """(key, _s): the distinct shingles of each row."""
     words = df.select(key, F.filter(F.split(F.lower(key_text(text)), " "), lambda w: w != "").alias("_w"))
     cut = F.get(F.transform(F.array(F.col("_w")), lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(*[F.get(w, i + k - 1) for k in range(width)])))), F.lit(0))
-    return words.select(key, F.explode(F.array_distinct(F.coalesce(cut, F.array().cast("array<bigint>")))).alias("shingle"))
+    return words.select(key, F.array_distinct(F.coalesce(cut, F.array().cast("array<bigint>"))).alias("_s"))
+
+
+def _sent_whole(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to every task if it is small, so that the other side of its join is not exchanged."""
+    df = reliable(df)
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
 
 
 def containment(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *, width: int = 5, least: float = 0.6) -> DataFrame:
-    """(left_key, right_key, shared, containment): shared shingles over the smaller set, at least ``least``."""
-    a, b = shingle_rows(left, left_key, F.col("text"), width), shingle_rows(right, right_key, F.col("text"), width)
-    na, nb = a.groupBy(left_key).agg(F.count(F.lit(1)).alias("_na")), b.groupBy(right_key).agg(F.count(F.lit(1)).alias("_nb"))
-    shared = a.join(b, "shingle").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
+    """(left_key, right_key, shared, containment): shared shingles over the smaller set, at least ``least``.
+
+    Shingles of the right side are sent to every task up to ``MOST_SENT`` of them, so only shared ones of the left are
+    exchanged.  Sets are counted for those rows that share one.
+    """
+    a, b = shingle_rows(left, left_key, F.col("text"), width), _sent_whole(shingle_rows(right, right_key, F.col("text"), width))
+    shared = reliable(a.join(b, "shingle").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared")))
+    met = left.join(_sent_whole(shared.select(left_key).distinct()), left_key, "left_semi")
+    na = _shingles(met, left_key, F.col("text"), width).groupBy(left_key).agg(F.sum(F.size("_s")).alias("_na"))
+    nb = b.groupBy(right_key).agg(F.count(F.lit(1)).alias("_nb"))
     out = shared.join(na, left_key).join(nb, right_key).withColumn("containment", F.col("shared") / F.least("_na", "_nb"))
     return out.where(F.col("containment") >= least).select(left_key, right_key, "shared", "containment")
 
