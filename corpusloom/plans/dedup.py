@@ -199,7 +199,7 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS n
 r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
 SELECT node, min(seen) AS group_id FROM r GROUP BY node""".replace("{CONTAIN}", "@"))
 def benchmark_groups(spark, sf_dir):
-    c = containment_vs_benchmark(spark, sf_dir)
+    c = graph.reliable(containment_vs_benchmark(spark, sf_dir))
     e = c.select(F.col("doc_id").alias("a"), (F.col("item_id") + 10000000).alias("b"))
     return graph.group_ids(e.select(F.explode(F.array("a", "b")).alias("node")).distinct(), e)
 
