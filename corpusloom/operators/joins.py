@@ -11,6 +11,8 @@ from .graph import reliable
 
 #: Rows that are sent to every task at most.
 MOST_SENT = 1_000_000
+#: First words of terms that a plan names at most.
+MOST_FIRST = 1_000
 
 def override(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """``left`` with ``value`` replaced where ``right`` has one."""
@@ -78,13 +80,18 @@ def containment(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 def lexicon_matches(docs: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """(key, rule_id, term) of lexicon (rule_id, lang, term) terms that stand as whole words in the folded text.
 
-    Terms of n words join on the text's n-grams, so the lexicon may grow; the language must agree.
+    Terms of n words join on the text's n-grams, so the lexicon may grow; the language must agree.  Up to ``MOST_SENT`` terms are sent
+    to every task, and no n-gram is exchanged.
     """
     lex = lexicon.select("rule_id", F.col("lang").alias("_lang"), fold_term(F.col("term")).alias("term")).withColumn("_n", F.size(F.split("term", " ")))
+    lex = _sent_whole(lex)
     sizes = lex.select("_n").distinct()
     d = docs.select(key, F.col("lang").alias("_lang"), tokens(F.col("text")).alias("_w"))
     d = d.crossJoin(F.broadcast(sizes))  # a handful of term lengths
-    grams = F.get(F.transform(F.array(F.struct("_w", "_n")), lambda s: F.when(F.size(s["_w"]) >= s["_n"], F.transform(F.sequence(F.lit(1), F.size(s["_w"]) - s["_n"] + 1), lambda i: F.array_join(F.slice(s["_w"], i, s["_n"]), " ")))), F.lit(0))
+    first = [r["w"] for r in lex.select(F.get(F.split("term", " "), F.lit(0)).alias("w")).distinct().limit(MOST_FIRST + 1).collect()]
+    # of a few first words it is known where a term can start
+    starts = lambda w, i: F.filter(i, lambda k: F.get(w, k - 1).isin(first)) if len(first) <= MOST_FIRST else i
+    grams = F.get(F.transform(F.array(F.struct("_w", "_n")), lambda s: F.when(F.size(s["_w"]) >= s["_n"], F.transform(starts(s["_w"], F.sequence(F.lit(1), F.size(s["_w"]) - s["_n"] + 1)), lambda i: F.array_join(F.slice(s["_w"], i, s["_n"]), " ")))), F.lit(0))
     g = d.select(key, "_lang", "_n", F.explode(F.array_distinct(F.coalesce(grams, F.array().cast("array<string>")))).alias("term"))
     return g.join(lex, ["_lang", "_n", "term"]).select(key, "rule_id", "term")
 
