@@ -16,15 +16,19 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from corpusloom.functions import fixed_lexicon as fixed
 
 MOST_TERMS = 1_000_000
 CANDIDATES = "array<struct<rule_id:string,score:double,matched_terms:array<string>,structured_hits:array<string>>>"
 MOTIFS = "array<struct<rule_id:string,matched_terms:array<string>>>"
+FOUND = pa.list_(pa.struct([("rule_id", pa.string()), ("matched_terms", pa.list_(pa.string()))]))
+#: Texts that Python holds at once.
+AT_ONCE = 64
 
 
 def folded(text: str | None, plain: bool = False) -> str:
@@ -123,9 +127,11 @@ def language_motifs(lexicon: DataFrame, text: Column, lang: Column) -> Column:
             by_lang[language].append((rule, t))
     index = {language: TermIndex(rows) for language, rows in by_lang.items()}
 
-    @pandas_udf(MOTIFS)
-    def match(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([index[language].motifs(folded(t, plain=True)) if language in index else [] for t, language in zip(texts, langs, strict=True)])
+    @arrow_udf(MOTIFS)
+    def match(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        told = lambda k: zip(*(v.slice(k, AT_ONCE).to_pylist() for v in (texts, langs)), strict=True)
+        parts = [pa.array([index[language].motifs(folded(t, plain=True)) if language in index else [] for t, language in told(k)], FOUND) for k in range(0, len(texts), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], FOUND)
 
     return match(text, lang)
 
