@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 from itertools import combinations
 
@@ -126,8 +127,8 @@ def simhash_components(docs: DataFrame, *, width: int = 3, seed: int = 42, dista
 
 # ------------------------------------------------- near copies by shingle similarity
 
-#: Bits of a wide fingerprint (the parities of a shingle set in as many buckets), in segments of 64.
-SKETCH = 512
+#: Bits of the SimHash of a shingle set, in words of 64.
+SKETCH = 256
 KS = [f"k{i}" for i in range(SKETCH // 64)]
 SHINGLED = "content long, size int, " + ", ".join(f"{k} long" for k in KS) + ", cells array<long>"
 #: Keys that are broadcast at most: some tens of MB.
@@ -135,6 +136,8 @@ MOST_KEYS = 1_000_000
 SHINGLE_SEED, SHINGLE_BASE = 5, 0x9E3779B97F4A7C15
 #: Minwise grids, and least hashes that a cell of one joins: a pair at a similarity of 0.8 shares no cell with a chance of 0.0007.
 GRIDS, JOINED = 24, 6
+#: Grids of segment counts of the SimHash.
+COUNT_GRIDS = 16
 
 
 def shingle_sets(texts: list[bytes], width: int):
@@ -164,17 +167,49 @@ def minwise_cells(sets: list[np.ndarray], grids: int, joined: int) -> np.ndarray
     return out
 
 
-def _shingled(batches, width: int, grids: int, joined: int):
+def wide_simhash(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, SKETCH / 64) words: a bit is 1 if it is set in over half of the set's hashes (hashed anew for each word)."""
+    filled = [s if len(s) else np.zeros(1, dtype=np.uint64) for s in sets]
+    flat = np.concatenate(filled)
+    size = np.array([len(s) for s in filled])
+    starts = np.cumsum(size) - size
+    out = np.empty((len(sets), len(KS)), dtype=np.uint64)
+    for k, f in enumerate(stream64(len(KS), SHINGLE_SEED + 1)):
+        counts = np.zeros((len(sets), 64), dtype=np.int64)
+        for a in range(0, len(flat), 1 << 16):
+            h = mix64(flat[a : a + (1 << 16)] * f)
+            i, j = np.searchsorted(starts, a, side="right") - 1, np.searchsorted(starts, a + len(h))
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+            counts[i:j] += np.add.reduceat(bits, np.maximum(starts[i:j] - a, 0), axis=0, dtype=np.int32)
+        out[:, k] = np.packbits(2 * counts > size[:, None], axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def count_cells(prints: np.ndarray, grids: int, chosen: int) -> np.ndarray:
+    """(prints, grids): of each grid a hash of the counts (in ``segment_counts``' code) of ``chosen`` two-bit segments."""
+    a, b = prints & np.uint64(ODD), prints >> np.uint64(1) & np.uint64(ODD)
+    code = a | b | (a & b) << np.uint64(1)
+    out = np.empty((len(prints), grids), dtype=np.uint64)
+    for g in range(grids):
+        masks = [0] * len(KS)
+        for s in np.argsort(stream64(SKETCH // 2, SHINGLE_SEED + 2 + g))[:chosen].tolist():
+            masks[s // 32] |= 3 << 2 * (s % 32)
+        key = np.full(len(prints), GRIDS + g + 1, dtype=np.uint64)
+        for k, m in enumerate(masks):
+            key = mix64(key * np.uint64(SHINGLE_BASE) + (code[:, k] & np.uint64(m)))
+        out[:, g] = key
+    return out
+
+
+def _shingled(batches, width: int, grids: int, joined: int, chosen: int):
     for batch in batches:
         content, texts = np.asarray(batch.column("content")), batch.column("text").to_pylist()
-        for first, last in chunks(texts, 1 << 22):
+        for first, last in chunks(texts, 1 << 20):
             sets = list(shingle_sets(texts[first:last], width))
-            bits = np.empty((len(sets), SKETCH), dtype=np.uint8)
-            for i, s in enumerate(sets):
-                bits[i] = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-            bits = np.packbits(bits, axis=1).view(np.int64)
-            cells = minwise_cells(sets, grids, joined).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * grids, pa.int32()), pa.array(cells.reshape(-1)))
+            prints = wide_simhash(sets)
+            cells = np.concatenate([count_cells(prints, COUNT_GRIDS, chosen), minwise_cells(sets, grids, joined)], axis=1).view(np.int64)
+            bits = prints.view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * cells.shape[1], pa.int32()), pa.array(cells.reshape(-1)))
             size = pa.array([len(s) for s in sets], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(content[first:last]), size, *[pa.array(bits[:, k].copy()) for k in range(len(KS))], lists], names=["content", "size", *KS, "cells"])
         release_memory()
@@ -198,16 +233,16 @@ def _similar(batches, similarity: float):
 
 
 def within_reach(similarity: float) -> Column:
-    """Whether marks 1 and 2 (size and segments of the wide fingerprint) may belong to sets of ``similarity``.
+    """Whether marks 1 and 2 (size and words of the SimHash) may belong to sets of ``similarity``.
 
-    The Manhattan distance of the segments' bit counts is at most the Hamming distance of the fingerprints, which
-    is at most the number of shingles that only one set has: no similar pair fails.
+    The Manhattan distance of the counts of two-bit segments is at most the Hamming distance of the SimHashes.  Of two sets
+    the bits differ by chance, each with that of the angle between them, or up to 1.3 times that in small sets with
+    ties; the bound is seven standard deviations above, so a similar pair fails with a chance under 10^-9.
     """
-    total = lambda f: sum((f(F.col(k + "1"), F.col(k + "2")) for k in KS), F.lit(0))
-    counts = total(lambda x, y: F.abs(F.bit_count(x) - F.bit_count(y)))
-    bits = total(lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    most = (1 - similarity) / (1 + similarity) * (F.col("size1") + F.col("size2")) + 1e-9
-    return (F.least("size1", "size2") >= similarity * F.greatest("size1", "size2") - 1e-9) & (counts <= most) & (bits <= most)
+    total = lambda f: sum((F.bit_count(f(F.col(k + "1")).bitwiseXOR(f(F.col(k + "2")))) for k in KS), F.lit(0))
+    p = min(1.3 * math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.5)
+    most = SKETCH * p + 7 * math.sqrt(SKETCH * p * (1 - p))
+    return (F.least("size1", "size2") >= similarity * F.greatest("size1", "size2") - 1e-9) & (total(segment_counts) <= most) & (total(lambda x: x) <= most)
 
 
 def _marked(df: DataFrame, marks: DataFrame, key: str, side: str) -> DataFrame:
@@ -251,10 +286,11 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
     """doc_id, content (XXH64 of the text, seed 42), component_id, kept: documents whose word shingles have a
     Jaccard similarity of ``similarity`` or more.
 
-    Wide fingerprints are mapped to the bit counts of their segments, pairs that share a cell of a grid are held
-    against the Manhattan bound and the fingerprints' distance (``within_reach``), and what is left is verified
-    on the shingle sets; links go to components.  The cells are minwise hashes of the shingle sets,
-    since bit counts are too much alike at this distance to cut a table into cells.
+    Every shingle set has a SimHash of 256 bits, which is mapped to the counts of its two-bit segments; texts meet in cells of
+    grids, each of which holds the counts of some segments.  Pairs are held against the Manhattan bound and the SimHashes'
+    distance (``within_reach``), and what is left is verified on the shingle sets; links go to components.  The number of
+    segments grows with the logarithm of the table, so that a cell holds few unrelated texts.  At a similarity of 0.8 some 15% of the bits
+    differ, so that no affordable number of such grids brings all pairs together: minwise cells of the shingle sets add those that it leaves.
 
     Texts are told apart by their content; components take the smallest doc_id at the end, and ``kept``
     marks the first row of each by doc_id (nulls last) and content.
@@ -262,7 +298,8 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("text"))
     texts = rows.select("content", "text")
-    reps = materialize(texts.mapInArrow(partial(_shingled, width=width, grids=GRIDS, joined=JOINED), SHINGLED).dropDuplicates(["content"]))
+    chosen = 2 + math.ceil(math.log(max(docs.count(), 1)) / math.log(8 / 3))  # unrelated segments agree in 3 of 8
+    reps = materialize(texts.mapInArrow(partial(_shingled, width=width, grids=GRIDS, joined=JOINED, chosen=chosen), SHINGLED).dropDuplicates(["content"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         close = materialize(pairs)
