@@ -34,7 +34,7 @@ from .common import chunks, mix64, named, release_memory, stream64
 
 MARK = "▁"
 LONG = 96
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
